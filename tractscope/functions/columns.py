@@ -97,43 +97,45 @@ def haversine_km(lat0: float | Column, lon0: float | Column,
 
 
 def hex_cell(x: str | Column, y: str | Column, gridsize: int,
-             extent: tuple[float, float, float, float]) -> dict[str, Column]:
+             extent: tuple[float, float, float, float]) -> list[dict[str, Column]]:
     """Hexagonal bin of a point (Carr et al., 1987): two rectangular
     lattices offset by half a cell; the nearer center (with the y axis
     scaled by sqrt 3) wins.
 
     ``extent`` is ``(xmin, xmax, ymin, ymax)``; the lattice has ``gridsize``
-    columns and ``int(gridsize / sqrt(3))`` rows.  Returns the columns
-    ``hex_lattice`` (0 or 1), ``hex_col``, ``hex_row`` and ``hex_inside`` (the point belongs to a hexagon of the lattice).
-    Rounding is ``floor(v + 0.5)``.
+    columns and ``int(gridsize / sqrt(3))`` rows; rounding is
+    ``floor(v + 0.5)``.  Returns three steps of columns to apply with
+    successive ``withColumns`` calls, so every intermediate value is
+    computed once (one expression tree would repeat them).  The last step
+    gives ``hex_lattice`` (0 or 1), ``hex_col``, ``hex_row`` and
+    ``hex_inside`` (the point belongs to a hexagon of the lattice).
     """
     xmin, xmax, ymin, ymax = (float(v) for v in extent)
     nx = int(gridsize)
     ny = int(nx / math.sqrt(3))
     sx = (xmax - xmin) / nx
     sy = (ymax - ymin) / ny
-    ix = (_col(x) - F.lit(xmin)) / F.lit(sx)
-    iy = (_col(y) - F.lit(ymin)) / F.lit(sy)
-    ix1, iy1 = F.floor(ix + F.lit(0.5)), F.floor(iy + F.lit(0.5))
-    ix2, iy2 = F.floor(ix), F.floor(iy)
+    ix, iy = F.col("__hx"), F.col("__hy")
+    step1 = {"__hx": (_col(x) - F.lit(xmin)) / F.lit(sx), "__hy": (_col(y) - F.lit(ymin)) / F.lit(sy)}
+    step2 = {
+        "__hx1": F.floor(ix + F.lit(0.5)), "__hy1": F.floor(iy + F.lit(0.5)),
+        "__hx2": F.floor(ix), "__hy2": F.floor(iy),
+    }
+    ix1, iy1, ix2, iy2 = (F.col(c) for c in ("__hx1", "__hy1", "__hx2", "__hy2"))
     dx1, dy1 = ix - ix1, iy - iy1
     dx2, dy2 = ix - ix2 - F.lit(0.5), iy - iy2 - F.lit(0.5)
     d1 = dx1 * dx1 + F.lit(3.0) * (dy1 * dy1)
     d2 = dx2 * dx2 + F.lit(3.0) * (dy2 * dy2)
-    on_first = d1 < d2
-    col = F.when(on_first, ix1).otherwise(ix2)
-    row = F.when(on_first, iy1).otherwise(iy2)
-    lattice = F.when(on_first, F.lit(0)).otherwise(F.lit(1))
-    inside = F.when(
-        on_first,
-        ix1.between(0, nx) & iy1.between(0, ny),
-    ).otherwise(ix2.between(0, nx - 1) & iy2.between(0, ny - 1))
-    return {
-        "hex_lattice": lattice,
-        "hex_col": col,
-        "hex_row": row,
-        "hex_inside": inside,
+    step3 = {"__hfirst": d1 < d2}
+    first = F.col("__hfirst")
+    step4 = {
+        "hex_lattice": F.when(first, F.lit(0)).otherwise(F.lit(1)),
+        "hex_col": F.when(first, ix1).otherwise(ix2),
+        "hex_row": F.when(first, iy1).otherwise(iy2),
+        "hex_inside": F.when(first, ix1.between(0, nx) & iy1.between(0, ny))
+                       .otherwise(ix2.between(0, nx - 1) & iy2.between(0, ny - 1)),
     }
+    return [step1, step2, step3, step4]
 
 
 def hex_center(lattice: str | Column, col: str | Column, row: str | Column, gridsize: int,

@@ -30,5 +30,5 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str =
     salt = "__salt"
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
     salted_big = big.withColumn(salt, F.pmod(row_hash, F.lit(salt_buckets)))
-    salted_small = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).cast("long"))
+    salted_small = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt_buckets - 1).cast("long"))))
     return salted_big.join(salted_small, keys + [salt], how).drop(salt)

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def _allow_group_limit(df: DataFrame, n: int) -> None:
+    """Spark inserts the pre-shuffle ``WindowGroupLimit`` only for limits up
+    to this threshold (1000 by default); raise it to ``n`` so a top-6000
+    per group still cuts every map task's output before the shuffle."""
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT_CONF, "1000")) < n:
+        conf.set(GROUP_LIMIT_CONF, str(n))
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
                   rank_col: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group by ``order`` (``row_number``).
@@ -17,6 +29,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     task forwards at most ``n`` rows per group: a group holding a third of
     all rows is cut down before it reaches its one window task.
     """
+    _allow_group_limit(df, n)
     w = Window.partitionBy(*keys).orderBy(*order)
     rn = rank_col or "__rn"
     out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= n)

@@ -108,9 +108,16 @@ def hexbin(df: DataFrame, gridsize: int = 80,
            x: str = "LON_d", y: str = "LAT_d") -> DataFrame:
     """Point count per hexagon over ``extent`` = (xmin, xmax, ymin, ymax),
     all points (no sample); empty hexagons are not listed."""
-    cell = X.hex_cell(x, y, gridsize, extent)
-    binned = df.select(*[v.alias(k) for k, v in cell.items()]).filter("hex_inside")
-    counts = binned.groupBy("hex_lattice", "hex_col", "hex_row").agg(F.count(F.lit(1)).alias("count"))
+    binned = df.select(x, y)
+    for step in X.hex_cell(x, y, gridsize, extent):
+        binned = binned.withColumns(step)
+    # "inside" depends on the bin keys only, so points outside the lattice
+    # form bins of count 0 that are dropped after the aggregate; a filter
+    # on the derived column would be pushed below the projections and
+    # re-inline the whole bin computation.
+    counts = (binned.groupBy("hex_lattice", "hex_col", "hex_row")
+              .agg(F.sum(F.col("hex_inside").cast("long")).alias("count"))
+              .filter(F.col("count") > 0))
     cx, cy = X.hex_center("hex_lattice", "hex_col", "hex_row", gridsize, extent)
     return counts.withColumns({"hex_x": cx, "hex_y": cy})
 
