@@ -48,10 +48,15 @@ def enrich_region(incidents: DataFrame, tracts: DataFrame) -> DataFrame:
 
 
 def label_cells(cells: DataFrame, cell_region: DataFrame,
-                keys: tuple[str, str] = ("lat_i", "lon_i")) -> DataFrame:
+                keys: tuple[str, str] = ("lat_i", "lon_i"), max_cells: int | None = None) -> DataFrame:
     """Left join of cells to the dominant region of each cell, on the
-    integer cell indexes (never on the derived doubles).  The cell set is
-    the small side: it first semi-filters ``cell_region``."""
+    integer cell indexes (never on the derived doubles).
+
+    The cell set is the small side: its keys semi-filter ``cell_region``
+    (one row per cell), so both joins see at most as many rows as there
+    are cells.  ``max_cells`` is that bound when the caller knows it (a
+    top-K gives K); otherwise the cells are counted once."""
     k = list(keys)
-    wanted = join_small(cell_region, cells.select(*k), k, "left_semi")
-    return join_small(cells, wanted.select(*k, "spa"), k, "left")
+    bound = max_cells if max_cells is not None else cells.count()
+    wanted = join_small(cell_region, cells.select(*k), k, "left_semi", known_rows=bound)
+    return join_small(cells, wanted.select(*k, "spa"), k, "left", known_rows=bound)

@@ -656,7 +656,8 @@ def assign_nearest(spark, d):
 
 @register("label_cells", q(_LABELLED_SQL))
 def label_cells(spark, d):
-    return J.label_cells(fixed_pred(spark, d), dominant_cells(spark, d).select("lat_i", "lon_i", "spa"))
+    return J.label_cells(fixed_pred(spark, d), dominant_cells(spark, d).select("lat_i", "lon_i", "spa"),
+                         max_cells=CLUSTER_K)
 
 
 @register("cluster_summary_fixed", q(
@@ -674,7 +675,8 @@ def cluster_totals_fixed(spark, d):
 
 
 def _cluster_region(spark, d) -> DataFrame:
-    return M.cluster_region_totals(fixed_pred(spark, d), dominant_cells(spark, d).select("lat_i", "lon_i", "spa"))
+    return M.cluster_region_totals(fixed_pred(spark, d), dominant_cells(spark, d).select("lat_i", "lon_i", "spa"),
+                                   max_cells=CLUSTER_K)
 
 
 @register("cluster_region_totals_fixed", q(_CLUSTER_REGION_SQL))

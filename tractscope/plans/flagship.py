@@ -20,7 +20,7 @@ def hotspot_regions(enriched: DataFrame, scale: int = 500, k: int = 8000) -> Dat
     from ..operators.clean import valid_geo
     cells = G.hotspots(valid_geo(enriched), scale, k)
     dominant = R.top_one_per_group(A.cell_region_counts(enriched, scale), ["lat_i", "lon_i"], "n", "spa")
-    return J.label_cells(cells, dominant.select("lat_i", "lon_i", "spa"))
+    return J.label_cells(cells, dominant.select("lat_i", "lon_i", "spa"), max_cells=k)
 
 
 def flagship(spark: SparkSession, sf_dir: str, scale: int = 500, k: int = 8000) -> DataFrame:

@@ -84,9 +84,18 @@ def tracts_from_supplier(supplier: DataFrame) -> DataFrame:
     )
 
 
+def spread_narrow(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than task slots (one
+    small file, one row group), so per-row work uses every core.  A scan
+    of a large table already has many partitions and is left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def load_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
-    return incidents_from_orders(spark.read.parquet(f"{sf_dir}/orders.parquet").select(*cols))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*cols)
+    return incidents_from_orders(spread_narrow(orders))
 
 
 def load_tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
