@@ -790,3 +790,33 @@ from .flagship import flagship as _flagship  # noqa: E402
     f"ON h.lat_i = dm.lat_i AND h.lon_i = dm.lon_i"))
 def flagship_hotspot_regions(spark, d):
     return _flagship(spark, d, SCALE, 8000)
+
+
+# ============================================================ the report's default view
+# The interactive report runs its queries on the filtered frame; its default
+# choice is every region, the latest three years and every listed month.
+
+_DEFAULT_VIEW = f'(SELECT * FROM enriched WHERE {_LATEST} AND "Occured_Month" IS NOT NULL)'
+_DEFAULT_GEO = (f'(SELECT *, CAST("LAT" AS DOUBLE) AS "LAT_d", CAST("LON" AS DOUBLE) AS "LON_d" FROM {_DEFAULT_VIEW} '
+                f'WHERE CAST("LAT" AS DOUBLE) BETWEEN 33.5 AND 34.5 AND CAST("LON" AS DOUBLE) BETWEEN -119.0 AND -117.0)')
+
+
+def default_view(spark, d) -> DataFrame:
+    return FL.filter_defaults(B.enriched(spark, d))
+
+
+@register("view_hotspots", q(f"SELECT *, round(ln(1 + count), 6) AS weight FROM ({_hot_sql(_DEFAULT_GEO, 8000)})"))
+def view_hotspots(spark, d):
+    cells = G.hotspots(C.valid_geo(default_view(spark, d)), SCALE, 8000)
+    return r6(G.add_weight(cells), "weight")
+
+
+@register("view_top_crimes", q(_count_sql(_DEFAULT_VIEW, ["Crm_Cd_Desc"], TOP_N)))
+def view_top_crimes(spark, d):
+    return A.top_counts(default_view(spark, d), "Crm_Cd_Desc", TOP_N)
+
+
+@register("view_income_vs_count", q(f"SELECT spa, round(avg(med_hh_income), 6) AS avg_income, count(*) AS crime_count "
+                                    f"FROM {_DEFAULT_VIEW} GROUP BY spa"))
+def view_income_vs_count(spark, d):
+    return r6(A.income_vs_count(default_view(spark, d)), "avg_income")

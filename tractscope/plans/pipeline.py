@@ -31,6 +31,6 @@ def run_batch_pipeline(spark: SparkSession, incidents_csv: str, tracts_csv: str,
     raw_tr = S.read_tracts_csv(spark, tracts_csv)
     enriched = enriched_from_frames(raw_inc, raw_tr, fanout)
     out = f"{out_root}/enriched"
-    S.write_table(enriched, out, partition_by=["Occured_Year"])
+    S.write_table(enriched, out, partition_by=["Occured_Year"], sort_by=["LAT", "LON"])
     S.write_csv(C.clean_tracts(raw_tr), f"{out_root}/tracts_clean", single=True)
     return out
