@@ -820,3 +820,55 @@ def view_top_crimes(spark, d):
                                     f"FROM {_DEFAULT_VIEW} GROUP BY spa"))
 def view_income_vs_count(spark, d):
     return r6(A.income_vs_count(default_view(spark, d)), "avg_income")
+
+
+# ============================================================ spatial reports on the fan-out join
+# The source's spatial and clustering notebooks read the merged (J1) table,
+# so their counts carry each region's income multiplier; these twins keep
+# that parity.
+
+def _cell_region_sql(src: str) -> str:
+    return _CELL_REGION_SQL.replace("FROM enriched)", f"FROM {src})")
+
+
+def _dominant_sql(src: str) -> str:
+    return _DOMINANT_SQL.replace("FROM enriched)", f"FROM {src})")
+
+
+def _day_night_sql(src: str) -> str:
+    return CATALOG["hotspots_day_night"][1].split("\n")[-1].replace("FROM geo)", f"FROM {src})")
+
+
+FANOUT_SPATIAL: list[tuple[str, Query, str]] = [
+    ("hotspots_topk_fanout", lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, 8000),
+     _hot_sql("geo_fanout", 8000)),
+    ("hotspots_min_count_fanout", lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, None, min_count=10),
+     _hot_sql("geo_fanout", None, 10)),
+    ("hotspots_day_night_fanout", lambda spark, d: G.hotspots_by_part(B.geo_fanout(spark, d), SCALE, 6000),
+     _day_night_sql("geo_fanout")),
+    ("hotspots_month_fanout",
+     lambda spark, d: G.hotspots(G.filter_month(B.geo_fanout(spark, d), *MONTH_PICK), SCALE, 5000),
+     _hot_sql(f'(SELECT * FROM geo_fanout WHERE "Occured_Year" = {MONTH_PICK[0]} '
+              f'AND "Occured_Month" = {MONTH_PICK[1]})', 5000)),
+    ("hexbin_fanout", lambda spark, d: r6(G.hexbin(B.geo_fanout(spark, d), HEX_GRIDSIZE, HEX_EXTENT), "hex_x", "hex_y"),
+     _hexbin_sql().replace("FROM geo)", "FROM geo_fanout)")),
+    ("top_crimes_box_fanout", lambda spark, d: A.top_counts(G.within_box(B.geo_fanout(spark, d), *BOX), "Crm_Cd_Desc", TOP_N),
+     _count_sql(f"(SELECT * FROM geo_fanout WHERE {_BOX_WHERE})", ["Crm_Cd_Desc"], TOP_N)),
+    ("top_crimes_radius_fanout",
+     lambda spark, d: A.top_counts(G.within_radius(B.geo_fanout(spark, d), *CENTER, RADIUS_KM), "Crm_Cd_Desc", TOP_N),
+     _count_sql(f"(SELECT * FROM (SELECT *, {_DIST} AS dist_km FROM geo_fanout) WHERE dist_km <= {lit(RADIUS_KM)})",
+                ["Crm_Cd_Desc"], TOP_N)),
+    ("cell_region_counts_fanout", lambda spark, d: A.cell_region_counts(B.enriched_fanout(spark, d), SCALE),
+     _cell_region_sql("enriched_fanout")),
+    ("dominant_region_per_cell_fanout",
+     lambda spark, d: R.top_one_per_group(A.cell_region_counts(B.enriched_fanout(spark, d), SCALE),
+                                          ["lat_i", "lon_i"], "n", "spa"),
+     _dominant_sql("enriched_fanout")),
+    ("cluster_input_fanout",
+     lambda spark, d: G.hotspots(B.geo_fanout(spark, d).select("LAT_d", "LON_d").na.drop(), SCALE, CLUSTER_K),
+     _hot_sql('(SELECT "LAT_d", "LON_d" FROM geo_fanout WHERE "LAT_d" IS NOT NULL AND "LON_d" IS NOT NULL)',
+              CLUSTER_K)),
+]
+
+for _name, _fn, _sql in FANOUT_SPATIAL:
+    register(_name, q(_sql))(_fn)

@@ -47,4 +47,8 @@ def geo(spark: SparkSession, d: str) -> DataFrame:
     return C.valid_geo(enriched(spark, d))
 
 
+def geo_fanout(spark: SparkSession, d: str) -> DataFrame:
+    return C.valid_geo(enriched_fanout(spark, d))
+
+
 BASES = {"enriched": enriched, "enriched_fanout": enriched_fanout}

@@ -155,6 +155,11 @@ geo AS (
   SELECT *, CAST("LAT" AS DOUBLE) AS "LAT_d", CAST("LON" AS DOUBLE) AS "LON_d" FROM enriched
   WHERE CAST("LAT" AS DOUBLE) BETWEEN {lit(LAT_MIN)} AND {lit(LAT_MAX)}
     AND CAST("LON" AS DOUBLE) BETWEEN {lit(LON_MIN)} AND {lit(LON_MAX)}
+),
+geo_fanout AS (
+  SELECT *, CAST("LAT" AS DOUBLE) AS "LAT_d", CAST("LON" AS DOUBLE) AS "LON_d" FROM enriched_fanout
+  WHERE CAST("LAT" AS DOUBLE) BETWEEN {lit(LAT_MIN)} AND {lit(LAT_MAX)}
+    AND CAST("LON" AS DOUBLE) BETWEEN {lit(LON_MIN)} AND {lit(LON_MAX)}
 )
 """
 
