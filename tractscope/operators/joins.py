@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: rows above which a "small" side is not broadcast
-MAX_BROADCAST_ROWS = 2_000_000
+#: rows above which a "small" side is not broadcast (a few tens of bytes per
+#: row: about 15 MB shipped to every executor at the limit)
+MAX_BROADCAST_ROWS = 250_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left",
