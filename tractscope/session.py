@@ -43,14 +43,18 @@ def build_session(master: str | None = None, app: str = "tractscope",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (tests, local runs) fall back to a fresh local scratch folder."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+    Only a local-mode session without it (tests, a laptop) gets a fresh
+    scratch folder; on a cluster a machine-local folder would not survive
+    the loss of an executor, so it is an error."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
     if path:
         return path
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="tractscope-ckpt-")
     sc.setCheckpointDir(path)
     return path
