@@ -393,17 +393,24 @@ def group_mean_income(spark, d):
                     .alias("low_income_mean")), "low_income_mean")
 
 
-_CELL_REGION_SQL = (
-    f"SELECT lat_i, lon_i, spa, count(*) AS n, lat_i / {SCALE} AS lat_grid, lon_i / {SCALE} AS lon_grid FROM ("
-    f"SELECT {grid_i('CAST(\"LAT\" AS DOUBLE)', SCALE)} AS lat_i, {grid_i('CAST(\"LON\" AS DOUBLE)', SCALE)} AS lon_i, "
-    f"spa FROM enriched) WHERE lat_i IS NOT NULL AND lon_i IS NOT NULL AND spa IS NOT NULL "
-    f"GROUP BY lat_i, lon_i, spa")
-_DOMINANT_SQL = (
-    f"SELECT lat_i, lon_i, spa, n FROM (SELECT *, row_number() OVER (PARTITION BY lat_i, lon_i "
-    f"ORDER BY n DESC, spa) AS rn FROM ({_CELL_REGION_SQL})) WHERE rn = 1")
+def _cell_region_sql(src: str = "enriched") -> str:
+    return (
+        f"SELECT lat_i, lon_i, spa, count(*) AS n, lat_i / {SCALE} AS lat_grid, lon_i / {SCALE} AS lon_grid FROM ("
+        f"SELECT {grid_i('CAST(\"LAT\" AS DOUBLE)', SCALE)} AS lat_i, "
+        f"{grid_i('CAST(\"LON\" AS DOUBLE)', SCALE)} AS lon_i, "
+        f"spa FROM {src}) WHERE lat_i IS NOT NULL AND lon_i IS NOT NULL AND spa IS NOT NULL "
+        f"GROUP BY lat_i, lon_i, spa")
 
 
-@register("cell_region_counts", q(_CELL_REGION_SQL))
+def _dominant_sql(src: str = "enriched") -> str:
+    return (f"SELECT lat_i, lon_i, spa, n FROM (SELECT *, row_number() OVER (PARTITION BY lat_i, lon_i "
+            f"ORDER BY n DESC, spa) AS rn FROM ({_cell_region_sql(src)})) WHERE rn = 1")
+
+
+_DOMINANT_SQL = _dominant_sql()
+
+
+@register("cell_region_counts", q(_cell_region_sql()))
 def cell_region_counts(spark, d):
     return A.cell_region_counts(B.enriched(spark, d), SCALE)
 
@@ -457,13 +464,18 @@ def hotspots_min_count(spark, d):
     return G.hotspots(B.geo(spark, d), SCALE, None, min_count=10)
 
 
-@register("hotspots_day_night", q(
-    f"SELECT day_part, lat_i, lon_i, count, lat_grid, lon_grid, rank FROM ("
-    f"SELECT *, CAST(row_number() OVER (PARTITION BY day_part ORDER BY count DESC, lat_i, lon_i) AS INTEGER) AS rank "
-    f"FROM (SELECT day_part, lat_i, lon_i, count(*) AS count, lat_i / {SCALE} AS lat_grid, lon_i / {SCALE} AS lon_grid "
-    f"FROM (SELECT CASE WHEN \"Hour\" >= 6 AND \"Hour\" < 18 THEN 'Day' ELSE 'Night' END AS day_part, "
-    f"{grid_i(chr(34) + 'LAT_d' + chr(34), SCALE)} AS lat_i, {grid_i(chr(34) + 'LON_d' + chr(34), SCALE)} AS lon_i "
-    f"FROM geo) GROUP BY day_part, lat_i, lon_i)) WHERE rank <= 6000"))
+def _day_night_sql(src: str = "geo") -> str:
+    lat_i, lon_i = grid_i('"LAT_d"', SCALE), grid_i('"LON_d"', SCALE)
+    return (
+        f"SELECT day_part, lat_i, lon_i, count, lat_grid, lon_grid, rank FROM ("
+        f"SELECT *, CAST(row_number() OVER (PARTITION BY day_part ORDER BY count DESC, lat_i, lon_i) AS INTEGER) "
+        f"AS rank FROM (SELECT day_part, lat_i, lon_i, count(*) AS count, lat_i / {SCALE} AS lat_grid, "
+        f"lon_i / {SCALE} AS lon_grid FROM (SELECT CASE WHEN \"Hour\" >= 6 AND \"Hour\" < 18 THEN 'Day' "
+        f"ELSE 'Night' END AS day_part, {lat_i} AS lat_i, {lon_i} AS lon_i FROM {src}) "
+        f"GROUP BY day_part, lat_i, lon_i)) WHERE rank <= 6000")
+
+
+@register("hotspots_day_night", q(_day_night_sql()))
 def hotspots_day_night(spark, d):
     return G.hotspots_by_part(B.geo(spark, d), SCALE, 6000)
 
@@ -484,7 +496,11 @@ def haversine(spark, d):
     return r6(G.add_distance(B.geo(spark, d), *CENTER).select("DR_NO", "dist_km"), "dist_km")
 
 
-_NEAR_SRC = f'(SELECT *, {_DIST} AS dist_km FROM geo)'
+def _near_src(src: str = "geo") -> str:
+    return f"(SELECT *, {_DIST} AS dist_km FROM {src})"
+
+
+_NEAR_SRC = _near_src()
 
 
 @register("within_radius", q(f'SELECT "DR_NO", "LAT_d", "LON_d", round(dist_km, 6) AS dist_km FROM {_NEAR_SRC} '
@@ -508,10 +524,10 @@ def top_crimes_radius(spark, d):
     return A.top_counts(G.within_radius(B.geo(spark, d), *CENTER, RADIUS_KM), "Crm_Cd_Desc", TOP_N)
 
 
-def _hexbin_sql() -> str:
+def _hexbin_sql(src: str = "geo") -> str:
     h = hex_sql('"LON_d"', '"LAT_d"', HEX_GRIDSIZE, HEX_EXTENT)
     inner = (f"SELECT {h['lattice']} AS hex_lattice, {h['col']} AS hex_col, {h['row']} AS hex_row, "
-             f"{h['inside']} AS hex_inside FROM geo")
+             f"{h['inside']} AS hex_inside FROM {src}")
     return (f"SELECT hex_lattice, hex_col, hex_row, count(*) AS count, "
             f"round({h['cx']('hex_lattice', 'hex_col')}, 6) AS hex_x, "
             f"round({h['cy']('hex_lattice', 'hex_row')}, 6) AS hex_y "
@@ -827,18 +843,6 @@ def view_income_vs_count(spark, d):
 # so their counts carry each region's income multiplier; these twins keep
 # that parity.
 
-def _cell_region_sql(src: str) -> str:
-    return _CELL_REGION_SQL.replace("FROM enriched)", f"FROM {src})")
-
-
-def _dominant_sql(src: str) -> str:
-    return _DOMINANT_SQL.replace("FROM enriched)", f"FROM {src})")
-
-
-def _day_night_sql(src: str) -> str:
-    return CATALOG["hotspots_day_night"][1].split("\n")[-1].replace("FROM geo)", f"FROM {src})")
-
-
 FANOUT_SPATIAL: list[tuple[str, Query, str]] = [
     ("hotspots_topk_fanout", lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, 8000),
      _hot_sql("geo_fanout", 8000)),
@@ -851,12 +855,12 @@ FANOUT_SPATIAL: list[tuple[str, Query, str]] = [
      _hot_sql(f'(SELECT * FROM geo_fanout WHERE "Occured_Year" = {MONTH_PICK[0]} '
               f'AND "Occured_Month" = {MONTH_PICK[1]})', 5000)),
     ("hexbin_fanout", lambda spark, d: r6(G.hexbin(B.geo_fanout(spark, d), HEX_GRIDSIZE, HEX_EXTENT), "hex_x", "hex_y"),
-     _hexbin_sql().replace("FROM geo)", "FROM geo_fanout)")),
+     _hexbin_sql("geo_fanout")),
     ("top_crimes_box_fanout", lambda spark, d: A.top_counts(G.within_box(B.geo_fanout(spark, d), *BOX), "Crm_Cd_Desc", TOP_N),
      _count_sql(f"(SELECT * FROM geo_fanout WHERE {_BOX_WHERE})", ["Crm_Cd_Desc"], TOP_N)),
     ("top_crimes_radius_fanout",
      lambda spark, d: A.top_counts(G.within_radius(B.geo_fanout(spark, d), *CENTER, RADIUS_KM), "Crm_Cd_Desc", TOP_N),
-     _count_sql(f"(SELECT * FROM (SELECT *, {_DIST} AS dist_km FROM geo_fanout) WHERE dist_km <= {lit(RADIUS_KM)})",
+     _count_sql(f"(SELECT * FROM {_near_src('geo_fanout')} WHERE dist_km <= {lit(RADIUS_KM)})",
                 ["Crm_Cd_Desc"], TOP_N)),
     ("cell_region_counts_fanout", lambda spark, d: A.cell_region_counts(B.enriched_fanout(spark, d), SCALE),
      _cell_region_sql("enriched_fanout")),
