@@ -44,3 +44,51 @@ def test_split_is_stable(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     share = sum(r.split == "train" for r in a) / len(a)
     assert 0.7 < share < 0.9
+
+
+def test_panel_ridge_matches_closed_form(spark):
+    """The registered ridge model (regParam 0.1, standardization on) equals
+    argmin 1/(2n)|y - Xb - b0|^2 + (lambda/2) sum (sd_j^2 / sd_y) b_j^2 with
+    population standard deviations; zero-variance features get 0."""
+    from tractscope.operators import summary as A
+    from tractscope.plans import frames as B
+
+    panel = A.region_month_panel(B.enriched(spark, "/root/testdata/sf0.001"))
+    train, _ = M.split_by_key(panel, ["spa", "Occured_Year", "Occured_Month"])
+    model = M.fit_count_model(train)
+    rows = model.transform(train).select("features", "crime_count").collect()
+    X = np.array([r.features.toArray() for r in rows])
+    y = np.array([float(r.crime_count) for r in rows])
+    n = len(y)
+    sx, sy = X.std(axis=0), y.std()
+    live = sx > 0
+    Xc, yc = X[:, live] - X[:, live].mean(0), y - y.mean()
+    A_ = Xc.T @ Xc / n + 0.1 * np.diag(sx[live] ** 2 / sy)
+    b = np.zeros(X.shape[1])
+    b[live] = np.linalg.solve(A_, Xc.T @ yc / n)
+    b0 = y.mean() - X.mean(0) @ b
+    lr = model.stages[-1]
+    assert np.allclose(lr.coefficients.toArray(), b, rtol=1e-6, atol=1e-8)
+    assert abs(lr.intercept - b0) < 1e-6 * max(1.0, abs(b0))
+
+
+def test_silhouette_matches_brute_force(spark):
+    """Silhouette of the registered k-means (k 8, seed 42) on the top cells
+    equals the textbook definition with squared Euclidean distances."""
+    from tractscope.plans.catalog import cluster_input_frame
+
+    _, pred = M.cluster_cells(cluster_input_frame(spark, "/root/testdata/sf0.001"), k=8, seed=42)
+    rows = pred.select("lat_grid", "lon_grid", "prediction").collect()
+    P = np.array([[r.lat_grid, r.lon_grid] for r in rows])
+    lab = np.array([r.prediction for r in rows])
+    D = ((P[:, None, :] - P[None, :, :]) ** 2).sum(-1)
+    scores = []
+    for i in range(len(P)):
+        own = lab == lab[i]
+        if own.sum() == 1:
+            scores.append(0.0)
+            continue
+        a = D[i, own].sum() / (own.sum() - 1)
+        b = min(D[i, lab == c].mean() for c in set(lab.tolist()) if c != lab[i])
+        scores.append((b - a) / max(a, b))
+    assert abs(M.silhouette(pred) - float(np.mean(scores))) < 1e-9
