@@ -67,6 +67,33 @@ def hotspots_by_part(df: DataFrame, scale: int = 500, k: int = 6000,
                          rank_col="rank")
 
 
+def hotspots_with_region(df: DataFrame, scale: int = 500, k: int | None = 8000) -> DataFrame:
+    """Hotspot cells (points inside the city box) with the region that
+    holds most of each cell's incidents (all points, ties to the lowest
+    label), in one scan: counts per ``(cell, region)`` with a second count
+    of the in-box points, then one aggregate per cell for both the count
+    and the argmax region.  Equal to ``hotspots`` joined to
+    ``dominant_region_per_cell`` (J2) without the join or a second scan."""
+    from .clean import geo_flag
+    pts = geo_flag(df).select(
+        X.grid_index("LAT_d", scale).alias("lat_i"),
+        X.grid_index("LON_d", scale).alias("lon_i"),
+        "spa", "geo_valid",
+    ).na.drop(subset=["lat_i", "lon_i", "spa"])
+    per_region = pts.groupBy("lat_i", "lon_i", "spa").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("geo_valid").alias("n_valid"))
+    cells = per_region.groupBy("lat_i", "lon_i").agg(
+        F.sum("n_valid").alias("count"),
+        F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("spa").alias("spa"))).alias("best"),
+    )
+    out = (cells.filter(F.col("count") > 0)
+           .select("lat_i", "lon_i", "count",
+                   (F.col("lat_i") / F.lit(scale)).alias("lat_grid"),
+                   (F.col("lon_i") / F.lit(scale)).alias("lon_grid"),
+                   F.col("best.spa").alias("spa")))
+    return out if k is None else out.orderBy(F.col("count").desc(), "lat_i", "lon_i").limit(k)
+
+
 def filter_month(df: DataFrame, year: int, month: int) -> DataFrame:
     return df.filter((F.col("Occured_Year") == year) & (F.col("Occured_Month") == month))
 

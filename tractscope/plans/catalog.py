@@ -691,8 +691,9 @@ def cluster_totals_fixed(spark, d):
 
 
 def _cluster_region(spark, d) -> DataFrame:
-    return M.cluster_region_totals(fixed_pred(spark, d), dominant_cells(spark, d).select("lat_i", "lon_i", "spa"),
-                                   max_cells=CLUSTER_K)
+    # cells and their dominant region from one scan (same rows as the J2 path)
+    cells = G.hotspots_with_region(B.enriched(spark, d), SCALE, CLUSTER_K)
+    return M.cluster_region_totals(M.assign_nearest(cells, FIXED_CENTERS))
 
 
 @register("cluster_region_totals_fixed", q(_CLUSTER_REGION_SQL))

@@ -1,27 +1,19 @@
 """Flagship: clean -> region -> income join -> valid points -> top-K
 hotspot cells, each labelled with the region that dominates it.
 
-Crosses cleaning (projections/filters), a broadcast join of bounded size,
-partial/final aggregation, a top-K and a semi-join-pruned per-cell argmax.
+One scan and two aggregate shuffles (``spatial.hotspots_with_region``):
+it crosses cleaning, the bounded broadcast join (removed by Catalyst when
+income is not read), partial/final aggregation, an argmax per group and a
+top-K.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import enrich as J
-from ..operators import rank as R
-from ..operators import spatial as G
-from ..operators import summary as A
+from ..operators.spatial import hotspots_with_region
 from . import frames as B
 
 
-def hotspot_regions(enriched: DataFrame, scale: int = 500, k: int = 8000) -> DataFrame:
-    from ..operators.clean import valid_geo
-    cells = G.hotspots(valid_geo(enriched), scale, k)
-    dominant = R.top_one_per_group(A.cell_region_counts(enriched, scale), ["lat_i", "lon_i"], "n", "spa")
-    return J.label_cells(cells, dominant.select("lat_i", "lon_i", "spa"), max_cells=k)
-
-
 def flagship(spark: SparkSession, sf_dir: str, scale: int = 500, k: int = 8000) -> DataFrame:
-    return hotspot_regions(B.enriched(spark, sf_dir), scale, k)
+    return hotspots_with_region(B.enriched(spark, sf_dir), scale, k)
