@@ -29,6 +29,39 @@ def enrich_fanout(incidents: DataFrame, tracts: DataFrame, salt_buckets: int = 2
     return join_small(incidents, right, "spa", "left", salt_buckets=salt_buckets)
 
 
+FANOUT_WEIGHT = "fan_w"
+FANOUT_INCOME_SUM = "fan_income_sum"
+FANOUT_INCOME_N = "fan_income_n"
+
+
+def fanout_weights(tracts: DataFrame) -> DataFrame:
+    """Per region, what the fan-out join would attach to each incident:
+    how many rows it becomes (distinct income triples), and the sum and
+    number of their non-null incomes."""
+    triples = _tracts_in_domain(tracts).select(*TRACT_COLUMNS).distinct()
+    return triples.groupBy("spa").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.sum("med_hh_income").alias(FANOUT_INCOME_SUM),
+        F.count("med_hh_income").alias(FANOUT_INCOME_N),
+    )
+
+
+def enrich_fanout_weighted(incidents: DataFrame, tracts: DataFrame) -> DataFrame:
+    """The fan-out join (J1) without its rows: each incident keeps one row
+    and carries ``fan_w`` (how many rows J1 gives it, at least 1 since the
+    join is a left join), ``fan_income_sum`` and ``fan_income_n``.  A count
+    over J1 is ``sum(fan_w)``, a mean of an incident column is the
+    ``fan_w``-weighted mean and the mean income is
+    ``sum(fan_income_sum) / sum(fan_income_n)`` - the same answers without
+    multiplying the table.  The right side has one row per region label
+    (a structural bound), so it is broadcast."""
+    joined = join_small(incidents, fanout_weights(tracts), "spa", "left", known_rows=len(REGION_DOMAIN))
+    return joined.withColumns({
+        FANOUT_WEIGHT: F.coalesce(F.col("__n"), F.lit(1)).cast("long"),
+        FANOUT_INCOME_N: F.coalesce(F.col(FANOUT_INCOME_N), F.lit(0)).cast("long"),
+    }).drop("__n")
+
+
 def region_income(tracts: DataFrame) -> DataFrame:
     """One row per region: mean tract income and the most common income
     category (highest count, ties to the lowest label, nulls ignored)."""

@@ -35,20 +35,25 @@ def add_grid(df: DataFrame, scale: int = 500, lat: str = "LAT_d", lon: str = "LO
     })
 
 
-def _cell_counts(df: DataFrame, scale: int, extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    g = add_grid(df, scale).select(*extra_keys, "lat_i", "lon_i")
-    return (g.groupBy(*extra_keys, "lat_i", "lon_i").agg(F.count(F.lit(1)).alias("count"))
+def _n(weight: str | None) -> F.Column:
+    return F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+
+
+def _cell_counts(df: DataFrame, scale: int, extra_keys: tuple[str, ...] = (),
+                 weight: str | None = None) -> DataFrame:
+    g = add_grid(df, scale).select(*extra_keys, "lat_i", "lon_i", *([weight] if weight else []))
+    return (g.groupBy(*extra_keys, "lat_i", "lon_i").agg(_n(weight).alias("count"))
             .withColumns({"lat_grid": F.col("lat_i") / F.lit(scale),
                           "lon_grid": F.col("lon_i") / F.lit(scale)}))
 
 
 def hotspots(df: DataFrame, scale: int = 500, k: int | None = 8000,
-             min_count: int | None = None) -> DataFrame:
+             min_count: int | None = None, weight: str | None = None) -> DataFrame:
     """Incident count per grid cell; cells with at least ``min_count``
     incidents (HAVING) and/or the ``k`` busiest cells (ties to the lowest
     cell).  The count is partial per map task, so only one row per cell
     and task is shuffled however dense a cell is."""
-    cells = _cell_counts(df, scale)
+    cells = _cell_counts(df, scale, weight=weight)
     if min_count is not None:
         cells = cells.filter(F.col("count") >= min_count)
     if k is None:
@@ -57,12 +62,12 @@ def hotspots(df: DataFrame, scale: int = 500, k: int | None = 8000,
 
 
 def hotspots_by_part(df: DataFrame, scale: int = 500, k: int = 6000,
-                     part: str = "day_part") -> DataFrame:
+                     part: str = "day_part", weight: str | None = None) -> DataFrame:
     """Top-``k`` cells of each day part in one job: ``(part, cell)``
     counts, then ``row_number`` per part with a pre-shuffle group limit."""
     if part not in df.columns:
         df = df.withColumn(part, X.day_part("Hour"))
-    cells = _cell_counts(df, scale, (part,))
+    cells = _cell_counts(df, scale, (part,), weight)
     return top_per_group(cells, [part], [F.col("count").desc(), F.col("lat_i"), F.col("lon_i")], k,
                          rank_col="rank")
 
@@ -132,10 +137,10 @@ def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
 
 def hexbin(df: DataFrame, gridsize: int = 80,
            extent: tuple[float, float, float, float] = (-118.7, -118.15, 33.7, 34.35),
-           x: str = "LON_d", y: str = "LAT_d") -> DataFrame:
+           x: str = "LON_d", y: str = "LAT_d", weight: str | None = None) -> DataFrame:
     """Point count per hexagon over ``extent`` = (xmin, xmax, ymin, ymax),
     all points (no sample); empty hexagons are not listed."""
-    binned = df.select(x, y)
+    binned = df.select(x, y, *([weight] if weight else []))
     for step in X.hex_cell(x, y, gridsize, extent):
         binned = binned.withColumns(step)
     # "inside" depends on the bin keys only, so points outside the lattice
@@ -143,7 +148,8 @@ def hexbin(df: DataFrame, gridsize: int = 80,
     # on the derived column would be pushed below the projections and
     # re-inline the whole bin computation.
     counts = (binned.groupBy("hex_lattice", "hex_col", "hex_row")
-              .agg(F.sum(F.col("hex_inside").cast("long")).alias("count"))
+              .agg(F.sum(F.col("hex_inside").cast("long") * (F.col(weight) if weight else F.lit(1)))
+                   .cast("long").alias("count"))
               .filter(F.col("count") > 0))
     cx, cy = X.hex_center("hex_lattice", "hex_col", "hex_row", gridsize, extent)
     return counts.withColumns({"hex_x": cx, "hex_y": cy})

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import enrich as J
 from ..operators import filters as FL
 from ..operators import profile as P
 from ..operators import rank as R
@@ -321,61 +322,71 @@ def _profile_sql(t: str, keys: list[str], rounded: bool = True) -> str:
             " AND ".join(f'"{c}" IS NOT NULL' for c in keys + _PROFILE_COLS))
 
 
-SUMMARIES: list[tuple[str, Callable[[DataFrame], DataFrame], Callable[[str], str]]] = [
-    ("by_year", lambda df: A.count_by(df, "Occured_Year"), lambda t: _count_sql(t, ["Occured_Year"])),
-    ("by_month", lambda df: A.count_by(df, "Occured_Month"), lambda t: _count_sql(t, ["Occured_Month"])),
-    ("by_hour", lambda df: A.count_by(df, "Hour"), lambda t: _count_sql(t, ["Hour"])),
-    ("top_crimes", lambda df: A.top_counts(df, "Crm_Cd_Desc", TOP_N),
+W = J.FANOUT_WEIGHT  # multiplicity column of the weighted fan-out frame
+
+SUMMARIES: list[tuple[str, Callable[..., DataFrame], Callable[[str], str]]] = [
+    ("by_year", lambda df, w=None: A.count_by(df, "Occured_Year", weight=w),
+     lambda t: _count_sql(t, ["Occured_Year"])),
+    ("by_month", lambda df, w=None: A.count_by(df, "Occured_Month", weight=w),
+     lambda t: _count_sql(t, ["Occured_Month"])),
+    ("by_hour", lambda df, w=None: A.count_by(df, "Hour", weight=w), lambda t: _count_sql(t, ["Hour"])),
+    ("top_crimes", lambda df, w=None: A.top_counts(df, "Crm_Cd_Desc", TOP_N, weight=w),
      lambda t: _count_sql(t, ["Crm_Cd_Desc"], TOP_N)),
-    ("by_descent", lambda df: A.count_by(df, "Vict_Descent"), lambda t: _count_sql(t, ["Vict_Descent"])),
+    ("by_descent", lambda df, w=None: A.count_by(df, "Vict_Descent", weight=w),
+     lambda t: _count_sql(t, ["Vict_Descent"])),
     ("mean_age_by_crime",
-     lambda df: r6(A.mean_by(df, "Crm_Cd_Desc", "Vict_Age", TOP_N, out="avg_victim_age"), "avg_victim_age"),
+     lambda df, w=None: r6(A.mean_by(df, "Crm_Cd_Desc", "Vict_Age", TOP_N, out="avg_victim_age", weight=w),
+                           "avg_victim_age"),
      lambda t: (f'SELECT "Crm_Cd_Desc", round(avg("Vict_Age"), 6) AS avg_victim_age FROM {t} '
                 f'GROUP BY "Crm_Cd_Desc" ORDER BY avg("Vict_Age") DESC NULLS LAST, "Crm_Cd_Desc" NULLS LAST '
                 f'LIMIT {TOP_N}')),
-    ("top_areas", lambda df: A.top_counts(df, "AREA_NAME", TOP_N), lambda t: _count_sql(t, ["AREA_NAME"], TOP_N)),
-    ("top_premises", lambda df: A.top_counts(df, "Premis_Desc", TOP_N),
+    ("top_areas", lambda df, w=None: A.top_counts(df, "AREA_NAME", TOP_N, weight=w),
+     lambda t: _count_sql(t, ["AREA_NAME"], TOP_N)),
+    ("top_premises", lambda df, w=None: A.top_counts(df, "Premis_Desc", TOP_N, weight=w),
      lambda t: _count_sql(t, ["Premis_Desc"], TOP_N)),
-    ("weapon_split", lambda df: A.count_by(_flag(df), "Has_Weapon"),
+    ("weapon_split", lambda df, w=None: A.count_by(_flag(df), "Has_Weapon", weight=w),
      lambda t: _count_sql(_flag_sql(t), ["Has_Weapon"])),
-    ("top_weapons", lambda df: A.top_counts(df.filter(F.col("Weapon_Desc").isNotNull()), "Weapon_Desc", TOP_N),
+    ("top_weapons",
+     lambda df, w=None: A.top_counts(df.filter(F.col("Weapon_Desc").isNotNull()), "Weapon_Desc", TOP_N, weight=w),
      lambda t: _count_sql(f'(SELECT * FROM {t} WHERE "Weapon_Desc" IS NOT NULL)', ["Weapon_Desc"], TOP_N)),
-    ("weapon_share", lambda df: r6(A.share_by(_flag(df), "Has_Weapon"), "pct"),
+    ("weapon_share", lambda df, w=None: r6(A.share_by(_flag(df), "Has_Weapon", weight=w), "pct"),
      lambda t: (f'SELECT "Has_Weapon", count(*) AS count, '
                 f'round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct '
                 f'FROM {_flag_sql(t)} GROUP BY "Has_Weapon"')),
-    ("by_region", lambda df: A.count_by(df, "spa"), lambda t: _count_sql(t, ["spa"])),
-    ("top_region_crimes", lambda df: A.top_counts(df, ["spa", "Crm_Cd_Desc"], 20),
+    ("by_region", lambda df, w=None: A.count_by(df, "spa", weight=w), lambda t: _count_sql(t, ["spa"])),
+    ("top_region_crimes", lambda df, w=None: A.top_counts(df, ["spa", "Crm_Cd_Desc"], 20, weight=w),
      lambda t: _count_sql(t, ["spa", "Crm_Cd_Desc"], 20)),
-    ("income_vs_count", lambda df: r6(A.income_vs_count(df), "avg_income"),
+    ("income_vs_count", lambda df, w=None: r6(A.income_vs_count(df, weight=w), "avg_income"),
      lambda t: f"SELECT spa, round(avg(med_hh_income), 6) AS avg_income, count(*) AS crime_count FROM {t} GROUP BY spa"),
-    ("by_year_region", lambda df: A.count_by(df, ["Occured_Year", "spa"]),
+    ("by_year_region", lambda df, w=None: A.count_by(df, ["Occured_Year", "spa"], weight=w),
      lambda t: _count_sql(t, ["Occured_Year", "spa"])),
-    ("region_series", lambda df: A.series_by(df, "spa", "Occured_Year"),
+    ("region_series", lambda df, w=None: A.series_by(df, "spa", "Occured_Year", weight=w),
      lambda t: (f'SELECT spa, "Occured_Year", count(*) AS count, CAST(row_number() OVER '
                 f'(PARTITION BY spa ORDER BY "Occured_Year" NULLS LAST) AS INTEGER) AS step '
                 f'FROM {t} GROUP BY spa, "Occured_Year"')),
-    ("weapon_by_region", lambda df: A.count_by(_flag(df), ["spa", "Has_Weapon"], 200),
+    ("weapon_by_region", lambda df, w=None: A.count_by(_flag(df), ["spa", "Has_Weapon"], 200, weight=w),
      lambda t: _count_sql(_flag_sql(t), ["spa", "Has_Weapon"], 200)),
-    ("weapon_pivot", lambda df: A.pivot_counts(_flag(df), "spa", "Has_Weapon", ["No", "Yes"]),
+    ("weapon_pivot", lambda df, w=None: A.pivot_counts(_flag(df), "spa", "Has_Weapon", ["No", "Yes"], weight=w),
      lambda t: (f'SELECT spa, NULLIF(count(*) FILTER (WHERE "Has_Weapon" = \'No\'), 0) AS "No", '
                 f'NULLIF(count(*) FILTER (WHERE "Has_Weapon" = \'Yes\'), 0) AS "Yes" '
                 f'FROM {_flag_sql(t)} GROUP BY spa')),
-    ("region_profile", lambda df: r6(A.region_profile(df), *_PROFILE_COLS[1:]),
+    ("region_profile", lambda df, w=None: r6(A.region_profile(df, weight=w), *_PROFILE_COLS[1:]),
      lambda t: _profile_sql(t, ["spa"])),
-    ("region_month_panel", lambda df: r6(A.region_month_panel(df), *_PROFILE_COLS[1:]),
+    ("region_month_panel", lambda df, w=None: r6(A.region_month_panel(df, weight=w), *_PROFILE_COLS[1:]),
      lambda t: _profile_sql(t, ["spa", "Occured_Year", "Occured_Month"])),
 ]
 
 
-def _summary_query(base: Callable[[SparkSession, str], DataFrame], op) -> Query:
-    return lambda spark, d: op(base(spark, d))
+def _summary_query(base: Callable[[SparkSession, str], DataFrame], op, weight: str | None = None) -> Query:
+    return lambda spark, d: op(base(spark, d), weight)
 
 
+# J1b reports; the _fanout twins read the weighted J1 frame (same answers as
+# aggregating the row-multiplied join, which the oracle does literally).
 for _name, _op, _sql in SUMMARIES:
     register(_name, q(_sql("enriched")))(_summary_query(B.enriched, _op))
 for _name, _op, _sql in SUMMARIES:
-    register(_name + "_fanout", q(_sql("enriched_fanout")))(_summary_query(B.enriched_fanout, _op))
+    register(_name + "_fanout", q(_sql("enriched_fanout")))(_summary_query(B.enriched_weighted, _op, W))
 
 
 @register("mean_income_by_region", q("SELECT spa, round(avg(med_hh_income), 6) AS avg_income FROM raw_tract "
@@ -580,7 +591,6 @@ def marker_label(spark, d):
 
 # ============================================================ statistics and ML (M), exact part
 
-from ..operators import enrich as J  # noqa: E402
 from ..operators import model as M  # noqa: E402
 
 # Fixed cluster centers (lat, lon) for the exact k-means assignment step.
@@ -845,32 +855,37 @@ def view_income_vs_count(spark, d):
 # that parity.
 
 FANOUT_SPATIAL: list[tuple[str, Query, str]] = [
-    ("hotspots_topk_fanout", lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, 8000),
+    ("hotspots_topk_fanout", lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, 8000, weight=W),
      _hot_sql("geo_fanout", 8000)),
-    ("hotspots_min_count_fanout", lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, None, min_count=10),
+    ("hotspots_min_count_fanout",
+     lambda spark, d: G.hotspots(B.geo_fanout(spark, d), SCALE, None, min_count=10, weight=W),
      _hot_sql("geo_fanout", None, 10)),
-    ("hotspots_day_night_fanout", lambda spark, d: G.hotspots_by_part(B.geo_fanout(spark, d), SCALE, 6000),
+    ("hotspots_day_night_fanout", lambda spark, d: G.hotspots_by_part(B.geo_fanout(spark, d), SCALE, 6000, weight=W),
      _day_night_sql("geo_fanout")),
     ("hotspots_month_fanout",
-     lambda spark, d: G.hotspots(G.filter_month(B.geo_fanout(spark, d), *MONTH_PICK), SCALE, 5000),
+     lambda spark, d: G.hotspots(G.filter_month(B.geo_fanout(spark, d), *MONTH_PICK), SCALE, 5000, weight=W),
      _hot_sql(f'(SELECT * FROM geo_fanout WHERE "Occured_Year" = {MONTH_PICK[0]} '
               f'AND "Occured_Month" = {MONTH_PICK[1]})', 5000)),
-    ("hexbin_fanout", lambda spark, d: r6(G.hexbin(B.geo_fanout(spark, d), HEX_GRIDSIZE, HEX_EXTENT), "hex_x", "hex_y"),
+    ("hexbin_fanout",
+     lambda spark, d: r6(G.hexbin(B.geo_fanout(spark, d), HEX_GRIDSIZE, HEX_EXTENT, weight=W), "hex_x", "hex_y"),
      _hexbin_sql("geo_fanout")),
-    ("top_crimes_box_fanout", lambda spark, d: A.top_counts(G.within_box(B.geo_fanout(spark, d), *BOX), "Crm_Cd_Desc", TOP_N),
+    ("top_crimes_box_fanout",
+     lambda spark, d: A.top_counts(G.within_box(B.geo_fanout(spark, d), *BOX), "Crm_Cd_Desc", TOP_N, weight=W),
      _count_sql(f"(SELECT * FROM geo_fanout WHERE {_BOX_WHERE})", ["Crm_Cd_Desc"], TOP_N)),
     ("top_crimes_radius_fanout",
-     lambda spark, d: A.top_counts(G.within_radius(B.geo_fanout(spark, d), *CENTER, RADIUS_KM), "Crm_Cd_Desc", TOP_N),
+     lambda spark, d: A.top_counts(G.within_radius(B.geo_fanout(spark, d), *CENTER, RADIUS_KM), "Crm_Cd_Desc", TOP_N,
+                                   weight=W),
      _count_sql(f"(SELECT * FROM {_near_src('geo_fanout')} WHERE dist_km <= {lit(RADIUS_KM)})",
                 ["Crm_Cd_Desc"], TOP_N)),
-    ("cell_region_counts_fanout", lambda spark, d: A.cell_region_counts(B.enriched_fanout(spark, d), SCALE),
+    ("cell_region_counts_fanout", lambda spark, d: A.cell_region_counts(B.enriched_weighted(spark, d), SCALE, W),
      _cell_region_sql("enriched_fanout")),
     ("dominant_region_per_cell_fanout",
-     lambda spark, d: R.top_one_per_group(A.cell_region_counts(B.enriched_fanout(spark, d), SCALE),
+     lambda spark, d: R.top_one_per_group(A.cell_region_counts(B.enriched_weighted(spark, d), SCALE, W),
                                           ["lat_i", "lon_i"], "n", "spa"),
      _dominant_sql("enriched_fanout")),
     ("cluster_input_fanout",
-     lambda spark, d: G.hotspots(B.geo_fanout(spark, d).select("LAT_d", "LON_d").na.drop(), SCALE, CLUSTER_K),
+     lambda spark, d: G.hotspots(B.geo_fanout(spark, d).select("LAT_d", "LON_d", W).na.drop(), SCALE, CLUSTER_K,
+                                 weight=W),
      _hot_sql('(SELECT "LAT_d", "LON_d" FROM geo_fanout WHERE "LAT_d" IS NOT NULL AND "LON_d" IS NOT NULL)',
               CLUSTER_K)),
 ]

@@ -47,8 +47,13 @@ def geo(spark: SparkSession, d: str) -> DataFrame:
     return C.valid_geo(enriched(spark, d))
 
 
+def enriched_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """J1 as weights: one row per incident with its fan-out multiplicity."""
+    return J.enrich_fanout_weighted(regioned(spark, d), tracts(spark, d))
+
+
 def geo_fanout(spark: SparkSession, d: str) -> DataFrame:
-    return C.valid_geo(enriched_fanout(spark, d))
+    return C.valid_geo(enriched_weighted(spark, d))
 
 
 BASES = {"enriched": enriched, "enriched_fanout": enriched_fanout}
