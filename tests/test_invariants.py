@@ -42,3 +42,18 @@ def test_day_plus_night(spark):
     geo = B.geo(spark, SF)
     parts = G.hotspots_by_part(geo, 500, 10 ** 6)
     assert parts.agg(F.sum("count")).first()[0] == geo.count()
+
+
+def test_weighted_fanout_equals_literal_fanout(spark):
+    from tractscope.operators.enrich import FANOUT_WEIGHT as W
+    lit_ = B.enriched_fanout(spark, SF)
+    wtd = B.enriched_weighted(spark, SF)
+    assert wtd.count() == B.regioned(spark, SF).count()
+    a = {tuple(r) for r in A.count_by(lit_, ["spa", "Occured_Year"]).collect()}
+    b = {tuple(r) for r in A.count_by(wtd, ["spa", "Occured_Year"], weight=W).collect()}
+    assert a == b
+    pa = {r.spa: (r.crime_count, round(r.avg_income, 6), r.avg_victim_age, r.weapon_rate)
+          for r in A.region_profile(lit_).collect()}
+    pb = {r.spa: (r.crime_count, round(r.avg_income, 6), r.avg_victim_age, r.weapon_rate)
+          for r in A.region_profile(wtd, weight=W).collect()}
+    assert pa == pb
