@@ -92,3 +92,36 @@ def test_silhouette_matches_brute_force(spark):
         b = min(D[i, lab == c].mean() for c in set(lab.tolist()) if c != lab[i])
         scores.append((b - a) / max(a, b))
     assert abs(M.silhouette(pred) - float(np.mean(scores))) < 1e-9
+
+
+def test_hexbin_matches_numpy_two_lattice_rule(spark):
+    """Hexagon counts equal a NumPy version of the two-lattice rule: each
+    point goes to the nearer of its lattice-A center (rounded indexes) and
+    lattice-B center (floored + 1/2), distances with y scaled by sqrt 3."""
+    from tractscope.operators import spatial as G
+    from tractscope.plans import frames as B
+
+    extent = (-118.7, -118.15, 33.7, 34.35)
+    geo = B.geo(spark, "/root/testdata/sf0.001").select("LON_d", "LAT_d")
+    pts = np.array([(r.LON_d, r.LAT_d) for r in geo.collect()])
+    nx = 80
+    ny = int(nx / np.sqrt(3))
+    sx = (extent[1] - extent[0]) / nx
+    sy = (extent[3] - extent[2]) / ny
+    ix = (pts[:, 0] - extent[0]) / sx
+    iy = (pts[:, 1] - extent[2]) / sy
+    a = np.floor(ix + 0.5), np.floor(iy + 0.5)
+    b = np.floor(ix), np.floor(iy)
+    d1 = (ix - a[0]) ** 2 + 3.0 * (iy - a[1]) ** 2
+    d2 = (ix - b[0] - 0.5) ** 2 + 3.0 * (iy - b[1] - 0.5) ** 2
+    first = d1 < d2
+    want: dict[tuple, int] = {}
+    for i in range(len(pts)):
+        if first[i]:
+            key, ok = (0, int(a[0][i]), int(a[1][i])), 0 <= a[0][i] <= nx and 0 <= a[1][i] <= ny
+        else:
+            key, ok = (1, int(b[0][i]), int(b[1][i])), 0 <= b[0][i] < nx and 0 <= b[1][i] < ny
+        if ok:
+            want[key] = want.get(key, 0) + 1
+    got = {(r.hex_lattice, r.hex_col, r.hex_row): r["count"] for r in G.hexbin(geo, 80, extent).collect()}
+    assert got == want
