@@ -1,57 +1,99 @@
-"""Named base frames of the test pipeline, built lazily from ``sf_dir``."""
+"""Named base frames of the test pipeline, built lazily from ``sf_dir``.
+
+The lazy frames are memoized per session and folder, as a long-running
+report keeps its loaded frame: later queries skip re-listing the files and
+re-analysing the same cleaning plan.  Only plans are kept, never data;
+``forget`` drops them (e.g. after the folder's files change).
+"""
 
 from __future__ import annotations
 
+import functools
+import weakref
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clean as C
 from ..operators import enrich as J
 from ..sources import load_incidents, load_tracts
 
+_MEMO: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _memo(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, d: str) -> DataFrame:
+        frames = _MEMO.setdefault(spark, {})
+        key = (fn.__name__, d)
+        if key not in frames:
+            frames[key] = fn(spark, d)
+        return frames[key]
+    return wrapper
+
+
+def forget(spark: SparkSession | None = None) -> None:
+    """Drop memoized frames (of one session, or all)."""
+    if spark is None:
+        _MEMO.clear()
+    else:
+        _MEMO.pop(spark, None)
+
 
+@_memo
 def raw_incidents(spark: SparkSession, d: str) -> DataFrame:
     return load_incidents(spark, d)
 
 
+@_memo
 def renamed(spark: SparkSession, d: str) -> DataFrame:
     return C.standardize_columns(raw_incidents(spark, d))
 
 
+@_memo
 def clean(spark: SparkSession, d: str) -> DataFrame:
     return C.clean_incidents(raw_incidents(spark, d))
 
 
+@_memo
 def raw_tracts(spark: SparkSession, d: str) -> DataFrame:
     return load_tracts(spark, d)
 
 
+@_memo
 def tracts(spark: SparkSession, d: str) -> DataFrame:
     return C.clean_tracts(raw_tracts(spark, d))
 
 
+@_memo
 def regioned(spark: SparkSession, d: str) -> DataFrame:
     return C.map_area_to_region(clean(spark, d))
 
 
+@_memo
 def enriched(spark: SparkSession, d: str) -> DataFrame:
     """One income row per region (the default)."""
     return J.enrich_region(regioned(spark, d), tracts(spark, d))
 
 
+@_memo
 def enriched_fanout(spark: SparkSession, d: str) -> DataFrame:
     """The parity fan-out join."""
     return J.enrich_fanout(regioned(spark, d), tracts(spark, d))
 
 
+@_memo
 def geo(spark: SparkSession, d: str) -> DataFrame:
     return C.valid_geo(enriched(spark, d))
 
 
+@_memo
 def enriched_weighted(spark: SparkSession, d: str) -> DataFrame:
     """J1 as weights: one row per incident with its fan-out multiplicity."""
     return J.enrich_fanout_weighted(regioned(spark, d), tracts(spark, d))
 
 
+@_memo
 def geo_fanout(spark: SparkSession, d: str) -> DataFrame:
     return C.valid_geo(enriched_weighted(spark, d))
 

@@ -24,63 +24,59 @@ FIXTURE_REGIONS = [
 ]
 
 
-def _pick(values: list, idx) -> F.Column:
-    """Element ``idx`` (0-based) of a literal list."""
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (idx + 1).cast("int"))
+def _sql_text(v) -> str:
+    return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
+def _pick(values: list, idx: str) -> str:
+    """SQL: element ``idx`` (0-based) of a literal list."""
+    return f"element_at(array({', '.join(_sql_text(v) for v in values)}), CAST({idx} + 1 AS INT))"
 
 
 def incidents_from_orders(orders: DataFrame) -> DataFrame:
-    """RAW_INCIDENT rows, one per order."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    day = F.to_date("o_orderdate")
-    has_weapon = (k * 31 + c) % 3 == 0
-    code = (F.lit(100) + k % 17).cast("int")
-    a = (k * 7919) % 1000
-    b = (k * 104729 + c * 31) % 1000
-    lat = (F.when(k % 97 == 0, F.lit(0.0))
-           .when(k % 89 == 0, F.lit(40.5))
-           .otherwise(F.lit(33.7) + (a * a).cast("double") * F.lit(0.00000065)))
-    lon = (F.when(k % 97 == 0, F.lit(0.0))
-           .otherwise(F.lit(-118.7) + (b * b).cast("double") * F.lit(0.00000055)))
-    return orders.select(
-        k.alias("DR_NO"),
-        F.date_format(F.date_add(day, (k % 30).cast("int")), DATE_PATTERN).alias("Date Rptd"),
-        F.date_format(day, DATE_PATTERN).alias("DATE OCC"),
-        (((k * 37 + c * 11) % 24) * 100 + k % 60).cast("int").alias("TIME OCC"),
-        _pick(FIXTURE_AREAS, c % 21).alias("AREA NAME"),
-        F.concat(F.col("o_orderpriority"), F.lit(" / "), F.col("o_orderstatus")).alias("Crm Cd Desc"),
-        ((c * 13 + k * 7) % 90 - 2).cast("int").alias("Vict Age"),
-        _pick(FIXTURE_DESCENT, k % 5).alias("Vict Descent"),
-        F.concat(F.lit("PREMISE "), (c % 7).cast("string")).alias("Premis Desc"),
-        F.when(has_weapon, code).alias("Weapon Used Cd"),
-        F.when(has_weapon, F.concat(F.lit("WEAPON "), code.cast("string"))).alias("Weapon Desc"),
-        lat.alias("LAT"),
-        lon.alias("LON"),
+    """RAW_INCIDENT rows, one per order.
+
+    Written as one ``selectExpr`` (parsed once on the JVM) rather than a
+    tree of column calls; literals are doubles (``D``) so the arithmetic is
+    the same IEEE sequence as in the SQL oracle."""
+    k, c = "o_orderkey", "o_custkey"
+    a = f"(({k} * 7919) % 1000)"
+    b = f"(({k} * 104729 + {c} * 31) % 1000)"
+    weapon = f"(({k} * 31 + {c}) % 3 = 0)"
+    code = f"CAST(100 + {k} % 17 AS INT)"
+    day = "to_date(o_orderdate)"
+    return orders.selectExpr(
+        f"{k} AS `DR_NO`",
+        f"date_format(date_add({day}, CAST({k} % 30 AS INT)), '{DATE_PATTERN}') AS `Date Rptd`",
+        f"date_format({day}, '{DATE_PATTERN}') AS `DATE OCC`",
+        f"CAST((({k} * 37 + {c} * 11) % 24) * 100 + {k} % 60 AS INT) AS `TIME OCC`",
+        f"{_pick(FIXTURE_AREAS, f'{c} % 21')} AS `AREA NAME`",
+        "concat(o_orderpriority, ' / ', o_orderstatus) AS `Crm Cd Desc`",
+        f"CAST(({c} * 13 + {k} * 7) % 90 - 2 AS INT) AS `Vict Age`",
+        f"{_pick(FIXTURE_DESCENT, f'{k} % 5')} AS `Vict Descent`",
+        f"concat('PREMISE ', CAST({c} % 7 AS STRING)) AS `Premis Desc`",
+        f"CASE WHEN {weapon} THEN {code} END AS `Weapon Used Cd`",
+        f"CASE WHEN {weapon} THEN concat('WEAPON ', CAST({code} AS STRING)) END AS `Weapon Desc`",
+        f"CASE WHEN {k} % 97 = 0 THEN 0.0D WHEN {k} % 89 = 0 THEN 40.5D "
+        f"ELSE 33.7D + CAST({a} * {a} AS DOUBLE) * 6.5E-7D END AS `LAT`",
+        f"CASE WHEN {k} % 97 = 0 THEN 0.0D ELSE -118.7D + CAST({b} * {b} AS DOUBLE) * 5.5E-7D END AS `LON`",
     )
 
 
 def tracts_from_supplier(supplier: DataFrame) -> DataFrame:
     """RAW_TRACT rows, one per supplier, plus ``med_hh_income_text``: the
     income as money text (``$52,500 ``) for the money parser."""
-    s = F.col("s_suppkey")
-    label = _pick(FIXTURE_REGIONS, s % 5)
-    spa = F.concat(F.when(s % 2 == 0, F.lit("  ")).otherwise(F.lit("")), label, F.lit(" "))
-    missing = s % 33 == 0
-    v = F.lit(40000) + (s % 37) * 2500
-    income = F.when(~missing, v.cast("double"))
-    category = (F.when(missing, F.lit(None).cast("string"))
-                .when(s % 37 < 12, F.lit("Low Income"))
-                .when(s % 37 < 24, F.lit("Moderate Income"))
-                .otherwise(F.lit("Above Moderate Income")))
-    text = F.when(~missing, F.concat(
-        F.lit("$"), F.floor(v / 1000).cast("string"), F.lit(","),
-        F.lpad((v % 1000).cast("string"), 3, "0"), F.lit(" ")))
-    return supplier.select(
-        s.alias("tract"),
-        spa.alias("spa"),
-        income.alias("med_hh_income"),
-        category.alias("ami_category"),
-        text.alias("med_hh_income_text"),
+    s = "s_suppkey"
+    v = f"(40000 + ({s} % 37) * 2500)"
+    missing = f"({s} % 33 = 0)"
+    return supplier.selectExpr(
+        f"{s} AS tract",
+        f"concat(CASE WHEN {s} % 2 = 0 THEN '  ' ELSE '' END, {_pick(FIXTURE_REGIONS, f'{s} % 5')}, ' ') AS spa",
+        f"CASE WHEN NOT {missing} THEN CAST({v} AS DOUBLE) END AS med_hh_income",
+        f"CASE WHEN {missing} THEN CAST(NULL AS STRING) WHEN {s} % 37 < 12 THEN 'Low Income' "
+        f"WHEN {s} % 37 < 24 THEN 'Moderate Income' ELSE 'Above Moderate Income' END AS ami_category",
+        f"CASE WHEN NOT {missing} THEN concat('$', CAST(floor({v} / 1000) AS STRING), ',', "
+        f"lpad(CAST({v} % 1000 AS STRING), 3, '0'), ' ') END AS med_hh_income_text",
     )
 
 
