@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import enrich as J
 from ..operators import filters as FL
+from ..operators import model as M
 from ..operators import profile as P
 from ..operators import rank as R
 from ..operators import spatial as G
 from ..operators import summary as A
 from . import frames as B
+from .flagship import flagship as _flagship
 from .oracle import grid_i, haversine_sql, hex_sql, in_list, lit, q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,7 +594,6 @@ def marker_label(spark, d):
 
 # ============================================================ statistics and ML (M), exact part
 
-from ..operators import model as M  # noqa: E402
 
 # Fixed cluster centers (lat, lon) for the exact k-means assignment step.
 FIXED_CENTERS = [
@@ -721,7 +723,6 @@ def top_region_per_cluster_fixed(spark, d):
 
 # ============================================================ ML, fitted models (rows-only check)
 
-from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 
 def _panel_model(spark, d):
@@ -809,7 +810,6 @@ def cluster_summary(spark, d):
 
 # ============================================================ flagship
 
-from .flagship import flagship as _flagship  # noqa: E402
 
 
 @register("flagship_hotspot_regions", q(
