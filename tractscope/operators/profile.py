@@ -19,8 +19,10 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 20, key: str = "DR_NO") -> DataFrame:
-    """First ``n`` rows by ``key`` (deterministic, unlike ``limit``)."""
-    return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
+    """First ``n`` rows by ``key`` (deterministic, unlike ``limit``; the key
+    must be non-null), with a bounded final merge."""
+    from .rank import first_k_by
+    return first_k_by(df, key, n)
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..schemas import EARTH_RADIUS_KM
-from .rank import top_per_group
+from .rank import first_k_by, top_per_group
 
 
 def within_box(df: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float,
@@ -131,8 +131,9 @@ def within_radius(df: DataFrame, lat0: float, lon0: float, r_km: float = 2.0,
 
 def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
             key: str = "DR_NO") -> DataFrame:
-    """The ``n`` nearest points within ``r_km``, nearest first."""
-    return within_radius(df, lat0, lon0, r_km).orderBy("dist_km", key).limit(n)
+    """The ``n`` nearest points within ``r_km``, nearest first (ties to the
+    lowest key); the final merge is bounded by a distance threshold."""
+    return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key])
 
 
 def hexbin(df: DataFrame, gridsize: int = 80,
@@ -180,13 +181,12 @@ def stable_sample(df: DataFrame, key: str, fraction: float, seed: int,
     of ``key`` (the same rows on every run and partitioning), then the
     first ``cap`` by key."""
     kept = df.filter(X.stable_bucket(key, seed, buckets) < F.lit(int(round(fraction * buckets))))
-    return kept.orderBy(key).limit(cap) if cap else kept
+    return first_k_by(kept, key, cap) if cap else kept
 
 
 def map_points(df: DataFrame, cap: int = 15000, key: str = "DR_NO") -> DataFrame:
     """Capped extract of known points for a map (first ``cap`` by key)."""
-    return (df.filter(F.col("LAT") != 0)
-            .select(key, "LAT", "LON", "Crm_Cd_Desc").orderBy(key).limit(cap))
+    return first_k_by(df.filter(F.col("LAT") != 0).select(key, "LAT", "LON", "Crm_Cd_Desc"), key, cap)
 
 
 def marker_label(df: DataFrame, text: str = "Crm_Cd_Desc", dist: str | None = None,
