@@ -55,30 +55,38 @@ def top_one_per_group(df: DataFrame, keys: Sequence[str], weight: str, label: st
 
 
 def first_k_by(df: DataFrame, col: str, k: int, tiebreak: Sequence[str] = (),
-               growth: float = 4.0) -> DataFrame:
+               bounds: tuple[float, float] | None = None, ladder: int = 24) -> DataFrame:
     """The first ``k`` rows by a non-null numeric column (then ``tiebreak``),
     exact, with a bounded final merge.
 
     ``orderBy(col).limit(k)`` merges up to ``k`` rows per input partition in
     one task - on a table of 100,000s of partitions that is far more than
-    ``k``.  Here a global count/min/max picks a threshold ``t`` for which
-    ``count(col <= t) >= k`` (widening it geometrically until true; a very
-    uneven spread can widen to the whole range, i.e. a plain top-k), so the
-    final top-k only sees the rows at or below ``t`` - about ``2k`` when the
-    values are spread evenly.  Only scalars reach the driver; a filter on a
-    stored column reaches the Parquet scan and skips row groups."""
+    ``k``.  Here one aggregate counts the rows at or below a geometric ladder
+    of cut points ``lo + (hi - lo) / 2**j`` (``count_if`` each, exact), the
+    smallest cut holding ``k`` rows becomes a filter, and only those rows
+    reach the final top-k.  ``bounds`` (e.g. ``(0, r)`` for distances within
+    ``r``) saves the pass that finds ``min``/``max``.  Only scalars reach the
+    driver; on a stored column the filter reaches the Parquet scan.  A very
+    uneven spread (most values near ``hi``) can leave the cut at ``hi``: a
+    plain top-k."""
     c = F.col(col)
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
     order = [c.asc(), *[F.col(t).asc_nulls_last() for t in tiebreak]]
-    if stats is None or stats["n"] <= k:
+    if bounds is None:
+        stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+        if stats is None or stats["n"] <= k:
+            return df.orderBy(*order)
+        lo, hi = stats["lo"], stats["hi"]
+    else:
+        lo, hi = bounds
+    span = hi - lo
+    if isinstance(lo, int) and isinstance(hi, int):
+        cuts = sorted({lo + int(span / 2 ** j) for j in range(ladder)})
+    else:
+        cuts = sorted({lo + span / 2 ** j for j in range(ladder)})
+    counts = df.agg(F.count(F.lit(1)).alias("n"),
+                    *[F.count_if(c <= F.lit(cut)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
+    if counts["n"] <= k:
         return df.orderBy(*order)
-    lo, hi, n = stats["lo"], stats["hi"], stats["n"]
-    integral = isinstance(lo, int)
-    step = (hi - lo) * min(1.0, 2.0 * k / n)
-    while True:
-        t = lo + (int(step) + 1 if integral else step)
-        if t >= hi or df.filter(c <= F.lit(t)).count() >= k:
-            break
-        step *= growth
-    kept = df if t >= hi else df.filter(c <= F.lit(t))
+    t = next((cut for i, cut in enumerate(cuts) if counts[f"c{i}"] >= k), None)
+    kept = df if t is None or t >= hi else df.filter(c <= F.lit(t))
     return kept.orderBy(*order).limit(k)

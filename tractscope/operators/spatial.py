@@ -133,7 +133,7 @@ def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
             key: str = "DR_NO") -> DataFrame:
     """The ``n`` nearest points within ``r_km``, nearest first (ties to the
     lowest key); the final merge is bounded by a distance threshold."""
-    return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key])
+    return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key], bounds=(0.0, float(r_km)))
 
 
 def hexbin(df: DataFrame, gridsize: int = 80,
