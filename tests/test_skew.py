@@ -67,8 +67,8 @@ def test_first_k_by_exact_and_bounded(spark):
         (F.col("id") % 7 / 3.0).alias("d"),
     )
     for col, k, tb in (("v", 500, []), ("v", 50, []), ("d", 40, ["k"]), ("k", 25000, [])):
-        got = [tuple(r) for r in R.first_k_by(df, col, k, tb).collect()]
+        got = [tuple(r) for r in R.first_k_by(df, col, k, tb, min_k=1).collect()]
         pdf = df.toPandas().sort_values([col, *tb]).head(k)
         assert got == [tuple(r) for r in pdf.itertuples(index=False)]
-    plan = R.first_k_by(df, "v", 50)._jdf.queryExecution().optimizedPlan().toString()
+    plan = R.first_k_by(df, "v", 50, min_k=1)._jdf.queryExecution().optimizedPlan().toString()
     assert "<=" in plan  # the threshold filter is in the plan (a very uneven spread may widen to all rows)

@@ -55,7 +55,8 @@ def top_one_per_group(df: DataFrame, keys: Sequence[str], weight: str, label: st
 
 
 def first_k_by(df: DataFrame, col: str, k: int, tiebreak: Sequence[str] = (),
-               bounds: tuple[float, float] | None = None, ladder: int = 24) -> DataFrame:
+               bounds: tuple[float, float] | None = None, ladder: int = 24,
+               min_k: int = 1000) -> DataFrame:
     """The first ``k`` rows by a non-null numeric column (then ``tiebreak``),
     exact, with a bounded final merge.
 
@@ -68,9 +69,15 @@ def first_k_by(df: DataFrame, col: str, k: int, tiebreak: Sequence[str] = (),
     ``r``) saves the pass that finds ``min``/``max``.  Only scalars reach the
     driver; on a stored column the filter reaches the Parquet scan.  A very
     uneven spread (most values near ``hi``) can leave the cut at ``hi``: a
-    plain top-k."""
+    plain top-k.
+
+    Below ``min_k`` the plain one-pass top-k is kept: k rows per partition
+    is then small (20 rows x 100,000 partitions is 2 M rows), cheaper than
+    the extra pass."""
     c = F.col(col)
     order = [c.asc(), *[F.col(t).asc_nulls_last() for t in tiebreak]]
+    if k < min_k:
+        return df.orderBy(*order).limit(k)
     if bounds is None:
         stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
         if stats is None or stats["n"] <= k:
