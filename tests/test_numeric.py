@@ -125,3 +125,18 @@ def test_hexbin_matches_numpy_two_lattice_rule(spark):
             want[key] = want.get(key, 0) + 1
     got = {(r.hex_lattice, r.hex_col, r.hex_row): r["count"] for r in G.hexbin(geo, 80, extent).collect()}
     assert got == want
+
+
+def test_regression_metrics_match_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from tractscope.operators import summary as A
+    from tractscope.plans import frames as B
+
+    panel = A.region_month_panel(B.enriched(spark, "/root/testdata/sf0.001"))
+    train, test = M.split_by_key(panel, ["spa", "Occured_Year", "Occured_Month"])
+    pred = M.fit_count_model(train).transform(test)
+    ours = M.regression_metrics(pred).first()
+    ev = RegressionEvaluator(labelCol="crime_count", predictionCol="prediction")
+    assert abs(ours.rmse - ev.setMetricName("rmse").evaluate(pred)) < 1e-9
+    assert abs(ours.r2 - ev.setMetricName("r2").evaluate(pred)) < 1e-9
