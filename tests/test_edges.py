@@ -124,3 +124,21 @@ def test_fanout_salted_path_matches_broadcast(spark):
     a = sorted(tuple(r) for r in join_small(big, small, "spa", "left").collect())
     b = sorted(tuple(r) for r in join_small(big, small, "spa", "left", max_broadcast_rows=0, salt_buckets=7).collect())
     assert a == b and len(a) == 67 * 2 + 67 + 66
+
+
+def test_empty_input(spark):
+    from tractscope.operators import rank as R
+    from tractscope.plans import frames as B
+
+    empty = B.enriched(spark, "/root/testdata/sf0.001").limit(0)
+    geo = C.valid_geo(empty)
+    assert G.hotspots(geo, 500, 10).count() == 0
+    assert G.hexbin(geo).count() == 0
+    assert G.hotspots_with_region(empty, 500, 10).count() == 0
+    assert A.top_counts(empty, "Crm_Cd_Desc", 5).count() == 0
+    assert A.share_by(empty, "Weapon_Used").count() == 0
+    assert A.region_profile(empty).count() == 0
+    assert R.first_k_by(geo.select("DR_NO"), "DR_NO", 5000).count() == 0
+    assert G.nearest(geo, 34.0522, -118.2437, 2.0, 10).count() == 0
+    assert FL.filter_latest_years(empty).count() == 0
+    assert M.correlation_long(A.region_profile(empty)).count() == 16
