@@ -2,7 +2,9 @@
 
 Runs each query to completion through Spark's ``noop`` sink (full
 execution, nothing collected) on ``local[$BENCH_CPUS]`` over
-``$BENCH_SF_DIR`` and prints ONE JSON line.
+``$BENCH_SF_DIR`` and prints ONE JSON line.  ``$BENCH_RUNS`` (default 2)
+runs per query, fastest kept; ``$BENCH_EVENT_LOG`` (a folder) writes
+Spark's event log for stage and task times.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(f"local[{cpus}]", app="tractscope-bench", shuffle_partitions=2 * cpus,
-                          conf={"spark.driver.memory": "16g"})
+    conf = {"spark.driver.memory": "16g"}
+    event_dir = os.environ.get("BENCH_EVENT_LOG")  # optional: stage/task times for offline reading
+    if event_dir:
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
+    spark = build_session(f"local[{cpus}]", app="tractscope-bench", shuffle_partitions=2 * cpus, conf=conf)
     # warm the JVM and the file listing once (not timed)
     CATALOG["by_year"][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     runs = int(os.environ.get("BENCH_RUNS", "2"))
