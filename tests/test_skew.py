@@ -1,7 +1,6 @@
 """One key holding a third of all rows: results stay exact, and the plans
 combine on the map side before shuffling."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tractscope.operators import rank as R

@@ -8,7 +8,6 @@ SQL engine can derive the very same rows (see ``plans.oracle``).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..schemas import AREA_TO_REGION, DATE_PATTERN
 
