@@ -23,7 +23,12 @@ def test_csv_pipeline_round_trip(spark, scratch):
     back = S.read_incidents_csv(spark, f"{scratch}/inc")
     assert dict(back.dtypes) == dict(raw.dtypes)
     assert _rows(back, raw.columns) == _rows(raw, raw.columns)
-    out = run_batch_pipeline(spark, f"{scratch}/inc", f"{scratch}/tr", f"{scratch}/out")
+    out = run_batch_pipeline(spark, f"{scratch}/inc", f"{scratch}/tr", f"{scratch}/out", clean_csv=True)
+    clean_back = S.read_table(spark, f"{scratch}/out/incidents_clean")
+    assert clean_back.count() == B.clean(spark, SF).count()
+    assert S.read_incidents_csv(spark, f"{scratch}/out/incidents_clean_csv").count() == clean_back.count()
+    tr_back = spark.read.option("header", True).csv(f"{scratch}/out/tracts_clean")
+    assert tr_back.count() == B.tracts(spark, SF).count() and tr_back.rdd.getNumPartitions() == 1
     stored = S.read_table(spark, out)
     want = B.enriched(spark, SF)
     cols = ["DR_NO", "spa", "Occured_Year", "Hour", "med_hh_income"]

@@ -23,14 +23,27 @@ def enriched_from_frames(raw_incidents: DataFrame, raw_tracts: DataFrame, fanout
 
 
 def run_batch_pipeline(spark: SparkSession, incidents_csv: str, tracts_csv: str, out_root: str,
-                       fanout: bool = False) -> str:
-    """Clean + enrich and write ``{out_root}/enriched`` (Parquet by
-    ``Occured_Year``) and ``{out_root}/tracts_clean`` (CSV).  Returns the
-    enriched path."""
+                       fanout: bool = False, clean_csv: bool = False) -> str:
+    """Clean + enrich and write, under ``out_root``:
+
+    * ``incidents_clean`` - the cleaned incidents (Parquet by ``Occured_Year``;
+      with ``clean_csv`` also as CSV, one file per task - a single file would
+      funnel the table through one task),
+    * ``tracts_clean`` - the cleaned tracts (one small CSV file),
+    * ``enriched`` - incidents with region income (Parquet by
+      ``Occured_Year``, sorted by latitude inside each file).
+
+    Returns the enriched path.  Each write is its own job over the same lazy
+    plan; the sources are read again rather than cached, so a lost executor
+    only recomputes its own partitions."""
     raw_inc = S.read_incidents_csv(spark, incidents_csv)
     raw_tr = S.read_tracts_csv(spark, tracts_csv)
+    clean = C.clean_incidents(raw_inc)
+    S.write_table(clean, f"{out_root}/incidents_clean", partition_by=["Occured_Year"], sort_by=["LAT", "LON"])
+    if clean_csv:
+        S.write_csv(clean, f"{out_root}/incidents_clean_csv")
+    S.write_csv(C.clean_tracts(raw_tr), f"{out_root}/tracts_clean", single=True)
     enriched = enriched_from_frames(raw_inc, raw_tr, fanout)
     out = f"{out_root}/enriched"
     S.write_table(enriched, out, partition_by=["Occured_Year"], sort_by=["LAT", "LON"])
-    S.write_csv(C.clean_tracts(raw_tr), f"{out_root}/tracts_clean", single=True)
     return out
