@@ -57,3 +57,16 @@ def test_weighted_fanout_equals_literal_fanout(spark):
     pb = {r.spa: (r.crime_count, round(r.avg_income, 6), r.avg_victim_age, r.weapon_rate)
           for r in A.region_profile(wtd, weight=W).collect()}
     assert pa == pb
+
+
+def test_fanout_salted_fallback_equals_broadcast(spark):
+    from tractscope.operators import enrich as J
+
+    inc, tr = B.regioned(spark, SF), B.tracts(spark, SF)
+    cols = ["DR_NO", "spa", "med_hh_income", "ami_category"]
+    a = J.enrich_fanout(inc, tr).select(*cols)
+    # no broadcast hint: the salted shuffle join (keys spa + salt)
+    b = J.enrich_fanout(inc, tr, salt_buckets=8, max_broadcast_rows=0).select(*cols)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "__salt" in plan
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

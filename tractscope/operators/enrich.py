@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import REGION_DOMAIN
-from .joins import join_small
+from .joins import MAX_BROADCAST_ROWS, join_small
 
 TRACT_COLUMNS = ["spa", "med_hh_income", "ami_category"]
 
@@ -17,7 +17,8 @@ def _tracts_in_domain(tracts: DataFrame) -> DataFrame:
     return tracts.filter(F.col("spa").isin(*REGION_DOMAIN))
 
 
-def enrich_fanout(incidents: DataFrame, tracts: DataFrame, salt_buckets: int = 256) -> DataFrame:
+def enrich_fanout(incidents: DataFrame, tracts: DataFrame, salt_buckets: int = 256,
+                  max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Parity join: every incident joined to each distinct
     ``(spa, med_hh_income, ami_category)`` of its region (left join), so a
     region's incidents are repeated once per distinct income there.
@@ -26,7 +27,8 @@ def enrich_fanout(incidents: DataFrame, tracts: DataFrame, salt_buckets: int = 2
     count, so their size is checked before broadcasting; beyond the limit
     the few region keys are salted."""
     right = _tracts_in_domain(tracts).select(*TRACT_COLUMNS).distinct()
-    return join_small(incidents, right, "spa", "left", salt_buckets=salt_buckets)
+    return join_small(incidents, right, "spa", "left", max_broadcast_rows=max_broadcast_rows,
+                      salt_buckets=salt_buckets)
 
 
 FANOUT_WEIGHT = "fan_w"
