@@ -132,7 +132,8 @@ def within_radius(df: DataFrame, lat0: float, lon0: float, r_km: float = 2.0,
 def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
             key: str = "DR_NO") -> DataFrame:
     """The ``n`` nearest points within ``r_km``, nearest first (ties to the
-    lowest key); the final merge is bounded by a distance threshold."""
+    lowest key).  For ``n >= 1000`` the final merge is bounded by a distance
+    threshold (``rank.first_k_by`` with the known range ``[0, r_km]``)."""
     return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key], bounds=(0.0, float(r_km)))
 
 
