@@ -10,8 +10,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Target ~128 MB shuffle partitions after AQE coalescing.
+    # Target ~128 MB shuffle partitions after AQE coalescing, and honour that
+    # size instead of maximising task count (fewer tiny tasks on a shared
+    # cluster; aggregated results coalesce to a few partitions).
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
