@@ -70,3 +70,17 @@ def test_fanout_salted_fallback_equals_broadcast(spark):
     plan = b._jdf.queryExecution().executedPlan().toString()
     assert "__salt" in plan
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_fused_hotspots_equal_j2_path(spark):
+    from tractscope.operators import clean as C
+    from tractscope.operators import enrich as J
+    from tractscope.operators import rank as R
+
+    e = B.enriched(spark, SF)
+    fused = G.hotspots_with_region(e, 500, None)
+    cells = G.hotspots(C.valid_geo(e), 500, None)
+    dominant = R.top_one_per_group(A.cell_region_counts(e, 500), ["lat_i", "lon_i"], "n", "spa")
+    joined = J.label_cells(cells, dominant.select("lat_i", "lon_i", "spa"))
+    cols = ["lat_i", "lon_i", "count", "spa"]
+    assert sorted(map(tuple, fused.select(*cols).collect())) == sorted(map(tuple, joined.select(*cols).collect()))
