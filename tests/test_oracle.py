@@ -2,7 +2,6 @@
 
 import datetime as dt
 import math
-import os
 
 import duckdb
 import pytest
@@ -38,12 +37,13 @@ def test_entry_runs(spark):
 
 def test_every_query_has_sql_or_is_a_fitted_model():
     rows_only = set(queries()) - set(SQLS)
-    assert rows_only <= {"assembled_features", "region_index_onehot", "ridge_predictions", "prediction_pairs",
+    rows_only = {n for n in rows_only if n != "pipeline" and not n.startswith("op")}
+    assert rows_only <= {"ridge_predictions", "prediction_pairs",
                          "ridge_metrics", "ridge_coefficients", "kmeans_cells", "silhouette", "silhouette_sweep",
                          "cluster_centers", "cluster_summary"}
 
 
-@pytest.mark.parametrize("name", sorted(SQLS))
+@pytest.mark.parametrize("name", sorted(n for n in SQLS if n != "pipeline" and not n.startswith("op")))
 def test_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF)
     cols = df.columns
@@ -59,7 +59,6 @@ def test_matches_oracle(spark, con, name):
     assert a == b
 
 
-@pytest.mark.skipif(not os.environ.get("TS_FULL"), reason="set TS_FULL=1 to fit the models")
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(SQLS)))
+@pytest.mark.parametrize("name", sorted(n for n in set(queries()) - set(SQLS) if n != "pipeline" and not n.startswith("op")))
 def test_model_queries_run(spark, name):
     assert queries()[name](spark, SF).count() >= 0

@@ -59,15 +59,15 @@ def test_salted_join_exact_under_hot_key(spark):
 
 
 def test_first_k_by_exact_and_bounded(spark):
-    # most values crowd the top of the range, so the first threshold guess is too small
     df = spark.range(20000).select(
         F.col("id").alias("k"),
         F.when(F.col("id") < 300, F.col("id")).otherwise(F.lit(10 ** 9) + F.col("id")).alias("v"),
         (F.col("id") % 7 / 3.0).alias("d"),
     )
     for col, k, tb in (("v", 500, []), ("v", 50, []), ("d", 40, ["k"]), ("k", 25000, [])):
-        got = [tuple(r) for r in R.first_k_by(df, col, k, tb, min_k=1).collect()]
+        got = [tuple(r) for r in R.first_k_by(df, col, k, tb).collect()]
         pdf = df.toPandas().sort_values([col, *tb]).head(k)
         assert got == [tuple(r) for r in pdf.itertuples(index=False)]
-    plan = R.first_k_by(df, "v", 50, min_k=1)._jdf.queryExecution().optimizedPlan().toString()
-    assert "<=" in plan  # the threshold filter is in the plan (a very uneven spread may widen to all rows)
+    nulls = spark.range(30).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    for k in (5, 15, 20):  # one null order at every size
+        assert [r.v for r in R.first_k_by(nulls, "v", k).collect()] == ([*range(0, 30, 2)] + [None] * 5)[:k]

@@ -2,7 +2,6 @@
 
 from .columns import (  # noqa: F401
     day_part,
-    grid_coord,
     grid_index,
     haversine_km,
     hex_cell,
@@ -11,6 +10,6 @@ from .columns import (  # noqa: F401
     parse_date_text,
     parse_money,
     region_of_area,
-    stable_bucket,
+    stable_share,
     weapon_flag,
 )

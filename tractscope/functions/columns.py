@@ -78,11 +78,6 @@ def grid_index(c: str | Column, scale: int) -> Column:
     return F.floor(_col(c) * F.lit(scale))
 
 
-def grid_coord(c: str | Column, scale: int) -> Column:
-    """South/west edge of the cell as a double: ``floor(x*scale)/scale``."""
-    return grid_index(c, scale) / F.lit(scale)
-
-
 def haversine_km(lat0: float | Column, lon0: float | Column,
                  lat: str | Column, lon: str | Column,
                  radius_km: float = EARTH_RADIUS_KM) -> Column:
@@ -151,9 +146,10 @@ def hex_center(lattice: str | Column, col: str | Column, row: str | Column, grid
             F.lit(ymin) + (_col(row) + offset) * F.lit(sy))
 
 
-def stable_bucket(key: str | Column, seed: int, buckets: int = 100,
-                  multiplier: int = 7919) -> Column:
-    """Deterministic bucket of an integer key: ``(key*multiplier + seed) mod
-    buckets``.  Unlike ``sample``/``randomSplit`` it does not depend on the
-    partitioning, so reruns and other engines pick the same rows."""
-    return F.pmod(_col(key) * F.lit(multiplier) + F.lit(seed), F.lit(buckets))
+def stable_share(key: str | Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on the key alone: the first 32 bits of
+    the MD5 of ``seed|key``.  Unlike ``sample``/``randomSplit`` it does not
+    depend on the partitioning, and unlike key arithmetic it is even on any
+    pattern of keys."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), _col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import REGION_DOMAIN
 from .joins import MAX_BROADCAST_ROWS, join_small
 
 TRACT_COLUMNS = ["spa", "med_hh_income", "ami_category"]
 
 
-def _tracts_in_domain(tracts: DataFrame) -> DataFrame:
-    # Incidents can only carry the mapped labels or "Other"; other tract
-    # regions can never match, so they are filtered before the join.
-    return tracts.filter(F.col("spa").isin(*REGION_DOMAIN))
-
-
 def enrich_fanout(incidents: DataFrame, tracts: DataFrame, salt_buckets: int = 256,
                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Parity join: every incident joined to each distinct
@@ -26,7 +19,7 @@ def enrich_fanout(incidents: DataFrame, tracts: DataFrame, salt_buckets: int = 2
     The distinct triples are bounded by the tract table, not by the region
     count, so their size is checked before broadcasting; beyond the limit
     the few region keys are salted."""
-    right = _tracts_in_domain(tracts).select(*TRACT_COLUMNS).distinct()
+    right = tracts.filter(F.col("spa").isNotNull()).select(*TRACT_COLUMNS).distinct()
     return join_small(incidents, right, "spa", "left", max_broadcast_rows=max_broadcast_rows,
                       salt_buckets=salt_buckets)
 
@@ -40,7 +33,7 @@ def fanout_weights(tracts: DataFrame) -> DataFrame:
     """Per region, what the fan-out join would attach to each incident:
     how many rows it becomes (distinct income triples), and the sum and
     number of their non-null incomes."""
-    triples = _tracts_in_domain(tracts).select(*TRACT_COLUMNS).distinct()
+    triples = tracts.filter(F.col("spa").isNotNull()).select(*TRACT_COLUMNS).distinct()
     return triples.groupBy("spa").agg(
         F.count(F.lit(1)).alias("__n"),
         F.sum("med_hh_income").alias(FANOUT_INCOME_SUM),
@@ -55,9 +48,9 @@ def enrich_fanout_weighted(incidents: DataFrame, tracts: DataFrame) -> DataFrame
     over J1 is ``sum(fan_w)``, a mean of an incident column is the
     ``fan_w``-weighted mean and the mean income is
     ``sum(fan_income_sum) / sum(fan_income_n)`` - the same answers without
-    multiplying the table.  The right side has one row per region label
-    (a structural bound), so it is broadcast."""
-    joined = join_small(incidents, fanout_weights(tracts), "spa", "left", known_rows=len(REGION_DOMAIN))
+    multiplying the table.  The right side has one row per region label of
+    the tract table; they are counted before it is broadcast."""
+    joined = join_small(incidents, fanout_weights(tracts), "spa", "left", salt_buckets=256)
     return joined.withColumns({
         FANOUT_WEIGHT: F.coalesce(F.col("__n"), F.lit(1)).cast("long"),
         FANOUT_INCOME_N: F.coalesce(F.col(FANOUT_INCOME_N), F.lit(0)).cast("long"),
@@ -67,7 +60,7 @@ def enrich_fanout_weighted(incidents: DataFrame, tracts: DataFrame) -> DataFrame
 def region_income(tracts: DataFrame) -> DataFrame:
     """One row per region: mean tract income and the most common income
     category (highest count, ties to the lowest label, nulls ignored)."""
-    return _tracts_in_domain(tracts).groupBy("spa").agg(
+    return tracts.filter(F.col("spa").isNotNull()).groupBy("spa").agg(
         F.avg("med_hh_income").alias("med_hh_income"),
         F.mode("ami_category", deterministic=True).alias("ami_category"),
     )
@@ -75,11 +68,10 @@ def region_income(tracts: DataFrame) -> DataFrame:
 
 def enrich_region(incidents: DataFrame, tracts: DataFrame) -> DataFrame:
     """Default join: each incident gets its region's income once (row
-    count kept).  The right side has at most one row per label of
-    ``REGION_DOMAIN``, a structural bound, so it is broadcast without a
-    count and the incident side is never shuffled."""
-    return join_small(incidents, region_income(tracts), "spa", "left",
-                      known_rows=len(REGION_DOMAIN))
+    count kept).  The right side has one row per region label of the tract
+    table (whatever labels it holds); they are counted, and within the limit
+    it is broadcast, so the incident side is never shuffled."""
+    return join_small(incidents, region_income(tracts), "spa", "left", salt_buckets=256)
 
 
 def label_cells(cells: DataFrame, cell_region: DataFrame,

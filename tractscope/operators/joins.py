@@ -12,7 +12,7 @@ MAX_BROADCAST_ROWS = 250_000
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left",
                max_broadcast_rows: int = MAX_BROADCAST_ROWS, salt_buckets: int = 0,
-               known_rows: int | None = None) -> DataFrame:
+               known_rows: int | None = None, salt_on: list[str] | None = None) -> DataFrame:
     """Join ``big`` to a side expected to be small.
 
     The small side is counted first (``known_rows`` skips the count when a
@@ -20,7 +20,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str =
     ``big`` is never shuffled.  Beyond it, the join is a shuffle join; when
     the join key has very few values (``salt_buckets > 0``) each key is
     spread over ``salt_buckets`` tasks by a deterministic salt on ``big``
-    and a replicated ``small``, so no single task receives a whole key.
+    (a hash of ``salt_on``, by default its first column that is no key) and a
+    replicated ``small``, so no single task receives a whole key.  A replicated
+    side must not be kept where it does not match, so joins that keep its
+    rows (right, full) are refused there.
     """
     keys = [on] if isinstance(on, str) else list(on)
     n = known_rows if known_rows is not None else small.count()
@@ -28,8 +31,10 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str] | str, how: str =
         return big.join(F.broadcast(small), keys, how)
     if salt_buckets <= 0:
         return big.join(small, keys, how)
+    if how.lower().replace("_", "").replace("outer", "") in ("right", "full", ""):
+        raise ValueError(f"a salted join cannot keep unmatched rows of the replicated side: {how}")
     salt = "__salt"
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in salt_on or [c for c in big.columns if c not in keys][:1] or keys])
     salted_big = big.withColumn(salt, F.pmod(row_hash, F.lit(salt_buckets)))
     salted_small = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt_buckets - 1).cast("long"))))
     return salted_big.join(salted_small, keys + [salt], how).drop(salt)

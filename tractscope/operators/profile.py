@@ -40,7 +40,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.select("__n", rows).select(
         "column_name",
         F.coalesce(F.col("null_count"), F.lit(0)).alias("null_count"),
-        (F.lit(100.0) * F.coalesce(F.col("null_count"), F.lit(0)) / F.col("__n")).alias("null_pct"),
+        F.try_divide(F.lit(100.0) * F.coalesce(F.col("null_count"), F.lit(0)), F.col("__n")).alias("null_pct"),
     )
 
 
@@ -56,9 +56,10 @@ def common_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in other]
 
 
-def distinct_values(df: DataFrame, col: str, limit: int = 5000) -> DataFrame:
-    """Sorted distinct non-null values, the first ``limit`` of them."""
-    return df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).limit(limit)
+def distinct_values(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
+    """Sorted distinct non-null values (the first ``limit``, if given)."""
+    out = df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
+    return out if limit is None else out.limit(limit)
 
 
 def imputed_sample(tracts: DataFrame, n: int = 20, key: str = "tract") -> DataFrame:

@@ -8,28 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
-def _allow_group_limit(df: DataFrame, n: int) -> None:
-    """Spark inserts the pre-shuffle ``WindowGroupLimit`` only for limits up
-    to this threshold (1000 by default); raise it to ``n`` so a top-6000
-    per group still cuts every map task's output before the shuffle."""
-    conf = df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT_CONF, "1000")) < n:
-        conf.set(GROUP_LIMIT_CONF, str(n))
-
-
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
                   rank_col: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group by ``order`` (``row_number``).
 
     ``order`` must end with unique columns so ties are decided.  Spark
-    plans a partial ``WindowGroupLimit`` before the shuffle, so each map
-    task forwards at most ``n`` rows per group: a group holding a third of
-    all rows is cut down before it reaches its one window task.
+    plans a partial ``WindowGroupLimit`` before the shuffle (for ``n`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``, 10,000 in this
+    library's session), so each map task forwards at most ``n`` rows per
+    group: a group holding a third of all rows is cut down before it reaches
+    its one window task.
     """
-    _allow_group_limit(df, n)
     w = Window.partitionBy(*keys).orderBy(*order)
     rn = rank_col or "__rn"
     out = df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= n)
@@ -54,46 +43,8 @@ def top_one_per_group(df: DataFrame, keys: Sequence[str], weight: str, label: st
     )
 
 
-def first_k_by(df: DataFrame, col: str, k: int, tiebreak: Sequence[str] = (),
-               bounds: tuple[float, float] | None = None, ladder: int = 24,
-               min_k: int = 1000) -> DataFrame:
-    """The first ``k`` rows by a non-null numeric column (then ``tiebreak``),
-    exact, with a bounded final merge.
-
-    ``orderBy(col).limit(k)`` merges up to ``k`` rows per input partition in
-    one task - on a table of 100,000s of partitions that is far more than
-    ``k``.  Here one aggregate counts the rows at or below a geometric ladder
-    of cut points ``lo + (hi - lo) / 2**j`` (``count_if`` each, exact), the
-    smallest cut holding ``k`` rows becomes a filter, and only those rows
-    reach the final top-k.  ``bounds`` (e.g. ``(0, r)`` for distances within
-    ``r``) saves the pass that finds ``min``/``max``.  Only scalars reach the
-    driver; on a stored column the filter reaches the Parquet scan.  A very
-    uneven spread (most values near ``hi``) can leave the cut at ``hi``: a
-    plain top-k.
-
-    Below ``min_k`` the plain one-pass top-k is kept: k rows per partition
-    is then small (20 rows x 100,000 partitions is 2 M rows), cheaper than
-    the extra pass."""
-    c = F.col(col)
-    order = [c.asc(), *[F.col(t).asc_nulls_last() for t in tiebreak]]
-    if k < min_k:
-        return df.orderBy(*order).limit(k)
-    if bounds is None:
-        stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-        if stats is None or stats["n"] <= k:
-            return df.orderBy(*order)
-        lo, hi = stats["lo"], stats["hi"]
-    else:
-        lo, hi = bounds
-    span = hi - lo
-    if isinstance(lo, int) and isinstance(hi, int):
-        cuts = sorted({lo + int(span / 2 ** j) for j in range(ladder)})
-    else:
-        cuts = sorted({lo + span / 2 ** j for j in range(ladder)})
-    counts = df.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.count_if(c <= F.lit(cut)).alias(f"c{i}") for i, cut in enumerate(cuts)]).first()
-    if counts["n"] <= k:
-        return df.orderBy(*order)
-    t = next((cut for i, cut in enumerate(cuts) if counts[f"c{i}"] >= k), None)
-    kept = df if t is None or t >= hi else df.filter(c <= F.lit(t))
-    return kept.orderBy(*order).limit(k)
+def first_k_by(df: DataFrame, col: str, k: int, tiebreak: Sequence[str] = ()) -> DataFrame:
+    """The first ``k`` rows by ``col`` (then ``tiebreak``), nulls last: each
+    task keeps ``k`` rows, one task merges them.  For reports whose ``k`` is a
+    feature; it is not a way to sample (see ``spatial.stable_sample``)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in (col, *tiebreak)]).limit(k)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -47,7 +47,7 @@ def _cell_counts(df: DataFrame, scale: int, extra_keys: tuple[str, ...] = (),
                           "lon_grid": F.col("lon_i") / F.lit(scale)}))
 
 
-def hotspots(df: DataFrame, scale: int = 500, k: int | None = 8000,
+def hotspots(df: DataFrame, scale: int = 500, k: int | None = None,
              min_count: int | None = None, weight: str | None = None) -> DataFrame:
     """Incident count per grid cell; cells with at least ``min_count``
     incidents (HAVING) and/or the ``k`` busiest cells (ties to the lowest
@@ -61,21 +61,26 @@ def hotspots(df: DataFrame, scale: int = 500, k: int | None = 8000,
     return cells.orderBy(F.col("count").desc(), "lat_i", "lon_i").limit(k)
 
 
-def hotspots_by_part(df: DataFrame, scale: int = 500, k: int = 6000,
+def hotspots_by_part(df: DataFrame, scale: int = 500, k: int | None = None,
                      part: str = "day_part", weight: str | None = None) -> DataFrame:
-    """Top-``k`` cells of each day part in one job: ``(part, cell)``
-    counts, then ``row_number`` per part with a pre-shuffle group limit."""
+    """Cells of each day part in one job: ``(part, cell)`` counts, ranked
+    within the part; with ``k`` the first ``k`` of each, cut before the
+    shuffle."""
     if part not in df.columns:
         df = df.withColumn(part, X.day_part("Hour"))
     cells = _cell_counts(df, scale, (part,), weight)
-    return top_per_group(cells, [part], [F.col("count").desc(), F.col("lat_i"), F.col("lon_i")], k,
-                         rank_col="rank")
+    order = [F.col("count").desc(), F.col("lat_i"), F.col("lon_i")]
+    if k is None:
+        return cells.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+    return top_per_group(cells, [part], order, k, rank_col="rank")
 
 
-def hotspots_with_region(df: DataFrame, scale: int = 500, k: int | None = 8000) -> DataFrame:
+def hotspots_with_region(df: DataFrame, scale: int = 500, k: int | None = None,
+                         weight: str | None = None) -> DataFrame:
     """Hotspot cells (points inside the city box) with the region that
     holds most of each cell's incidents (all points, ties to the lowest
-    label), in one scan: counts per ``(cell, region)`` with a second count
+    label; points without a region count, but null is no label), in one
+    scan: counts per ``(cell, region)`` with a second count
     of the in-box points, then one aggregate per cell for both the count
     and the argmax region.  Equal to ``hotspots`` joined to
     ``dominant_region_per_cell`` (J2) without the join or a second scan."""
@@ -83,13 +88,15 @@ def hotspots_with_region(df: DataFrame, scale: int = 500, k: int | None = 8000)
     pts = geo_flag(df).select(
         X.grid_index("LAT_d", scale).alias("lat_i"),
         X.grid_index("LON_d", scale).alias("lon_i"),
-        "spa", "geo_valid",
-    ).na.drop(subset=["lat_i", "lon_i", "spa"])
+        "spa", "geo_valid", *([weight] if weight else []),
+    ).na.drop(subset=["lat_i", "lon_i"])
+    valid = F.col("geo_valid") * F.col(weight) if weight else F.col("geo_valid")
     per_region = pts.groupBy("lat_i", "lon_i", "spa").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("geo_valid").alias("n_valid"))
+        _n(weight).alias("n"), F.sum(valid).cast("long").alias("n_valid"))
     cells = per_region.groupBy("lat_i", "lon_i").agg(
         F.sum("n_valid").alias("count"),
-        F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("spa").alias("spa"))).alias("best"),
+        F.min(F.struct(F.col("spa").isNull().alias("no_label"), (-F.col("n")).alias("neg_n"),
+                       F.col("spa").alias("spa"))).alias("best"),
     )
     out = (cells.filter(F.col("count") > 0)
            .select("lat_i", "lon_i", "count",
@@ -118,6 +125,8 @@ def radius_box(lat0: float, lon0: float, r_km: float,
     if edge >= 89.999:
         return (lat0 - dlat, lat0 + dlat, -180.0, 180.0)
     dlon = dlat / math.cos(math.radians(edge)) * 1.001 + 1e-9
+    if lon0 - dlon < -180.0 or lon0 + dlon > 180.0:  # across the date line: the distance test decides alone
+        return (lat0 - dlat, lat0 + dlat, -180.0, 180.0)
     return (lat0 - dlat, lat0 + dlat, lon0 - dlon, lon0 + dlon)
 
 
@@ -132,9 +141,8 @@ def within_radius(df: DataFrame, lat0: float, lon0: float, r_km: float = 2.0,
 def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
             key: str = "DR_NO") -> DataFrame:
     """The ``n`` nearest points within ``r_km``, nearest first (ties to the
-    lowest key).  For ``n >= 1000`` the final merge is bounded by a distance
-    threshold (``rank.first_k_by`` with the known range ``[0, r_km]``)."""
-    return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key], bounds=(0.0, float(r_km)))
+    lowest key)."""
+    return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key])
 
 
 def hexbin(df: DataFrame, gridsize: int = 80,
@@ -176,18 +184,19 @@ def marker_size(df: DataFrame, kind: str = "log10", col: str = "count",
     return df.withColumn(out, MARKER_SIZES[kind](F.col(col)))
 
 
-def stable_sample(df: DataFrame, key: str, fraction: float, seed: int,
-                  cap: int | None = None, buckets: int = 100) -> DataFrame:
-    """Keep ``fraction`` of the rows by a threshold on an arithmetic hash
-    of ``key`` (the same rows on every run and partitioning), then the
-    first ``cap`` by key."""
-    kept = df.filter(X.stable_bucket(key, seed, buckets) < F.lit(int(round(fraction * buckets))))
-    return first_k_by(kept, key, cap) if cap else kept
+def stable_sample(df: DataFrame, key: str, fraction: float, seed: int, n: int | None = None) -> DataFrame:
+    """Keep ``fraction`` of the rows by a threshold on a hash of ``key``: the
+    same rows on every run and partitioning, whatever the keys' pattern.  With
+    ``n``, at most the ``n`` rows of smallest hash, which is a sample too."""
+    share = X.stable_share(key, seed)
+    kept = df.filter(share < F.lit(float(fraction)))
+    return kept if n is None else kept.orderBy(share, key).limit(n)
 
 
-def map_points(df: DataFrame, cap: int = 15000, key: str = "DR_NO") -> DataFrame:
-    """Capped extract of known points for a map (first ``cap`` by key)."""
-    return first_k_by(df.filter(F.col("LAT") != 0).select(key, "LAT", "LON", "Crm_Cd_Desc"), key, cap)
+def map_points(df: DataFrame, n: int | None = None, key: str = "DR_NO", seed: int = 42) -> DataFrame:
+    """Known points for a map: all of them, or an even sample of ``n``."""
+    points = df.filter(F.col("LAT") != 0).select(key, "LAT", "LON", "Crm_Cd_Desc")
+    return points if n is None else stable_sample(points, key, 1.0, seed, n)
 
 
 def marker_label(df: DataFrame, text: str = "Crm_Cd_Desc", dist: str | None = None,

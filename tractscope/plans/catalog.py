@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..operators import profile as P
 from ..operators import rank as R
 from ..operators import spatial as G
 from ..operators import summary as A
+from ..session import reliable_checkpoint
 from . import frames as B
 from .flagship import flagship as _flagship
 from .oracle import grid_i, haversine_sql, hex_sql, in_list, lit, q
@@ -101,9 +103,9 @@ def value_counts_ami(spark, d):
     return P.value_counts(B.raw_tracts(spark, d), "ami_category")
 
 
-@register("distinct_regions", q("SELECT DISTINCT spa FROM region_incident WHERE spa IS NOT NULL ORDER BY spa LIMIT 5000"))
+@register("distinct_regions", q("SELECT DISTINCT spa FROM region_incident WHERE spa IS NOT NULL"))
 def distinct_regions(spark, d):
-    return P.distinct_values(B.regioned(spark, d), "spa", 5000)
+    return P.distinct_values(B.regioned(spark, d), "spa")
 
 
 @register("imputed_sample", q("SELECT tract, spa, round(med_hh_income, 6) AS med_hh_income, ami_category, "
@@ -367,8 +369,8 @@ SUMMARIES: list[tuple[str, Callable[..., DataFrame], Callable[[str], str]]] = [
      lambda t: (f'SELECT spa, "Occured_Year", count(*) AS count, CAST(row_number() OVER '
                 f'(PARTITION BY spa ORDER BY "Occured_Year" NULLS LAST) AS INTEGER) AS step '
                 f'FROM {t} GROUP BY spa, "Occured_Year"')),
-    ("weapon_by_region", lambda df, w=None: A.count_by(_flag(df), ["spa", "Has_Weapon"], 200, weight=w),
-     lambda t: _count_sql(_flag_sql(t), ["spa", "Has_Weapon"], 200)),
+    ("weapon_by_region", lambda df, w=None: A.count_by(_flag(df), ["spa", "Has_Weapon"], weight=w),
+     lambda t: _count_sql(_flag_sql(t), ["spa", "Has_Weapon"])),
     ("weapon_pivot", lambda df, w=None: A.pivot_counts(_flag(df), "spa", "Has_Weapon", ["No", "Yes"], weight=w),
      lambda t: (f'SELECT spa, NULLIF(count(*) FILTER (WHERE "Has_Weapon" = \'No\'), 0) AS "No", '
                 f'NULLIF(count(*) FILTER (WHERE "Has_Weapon" = \'Yes\'), 0) AS "Yes" '
@@ -570,16 +572,30 @@ def marker_size(spark, d):
     return r6(cells, "size_log10", "size_log8", "size_sqrt")
 
 
-@register("stable_sample", q('SELECT "DR_NO", "LON_d", "LAT_d" FROM geo WHERE ("DR_NO" * 7919 + 42) % 100 < 20 '
-                             'ORDER BY "DR_NO" LIMIT 150000'))
+_SHARE_SQL = ("(('0x' || substr(md5(concat_ws('|', '42', CAST(\"DR_NO\" AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0::DOUBLE)")
+
+
+@register("stable_sample", q(f'SELECT "DR_NO", "LON_d", "LAT_d" FROM geo WHERE {_SHARE_SQL} < 0.2'))
 def stable_sample(spark, d):
-    return G.stable_sample(B.geo(spark, d).select("DR_NO", "LON_d", "LAT_d"), "DR_NO", 0.2, 42, cap=150000)
+    return G.stable_sample(B.geo(spark, d).select("DR_NO", "LON_d", "LAT_d"), "DR_NO", 0.2, 42)
 
 
-@register("map_points", q('SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM clean_incident WHERE "LAT" != 0 '
-                          'ORDER BY "DR_NO" LIMIT 15000'))
+@register("stable_sample_radius", q(f'SELECT "DR_NO", round(dist_km, 6) AS dist_km FROM {_NEAR_SRC} '
+                                    f'WHERE dist_km <= {lit(RADIUS_KM)} AND {_SHARE_SQL} < 0.2'))
+def stable_sample_radius(spark, d):
+    near = G.within_radius(B.geo(spark, d), *CENTER, RADIUS_KM)
+    return r6(G.stable_sample(near, "DR_NO", 0.2, 42).select("DR_NO", "dist_km"), "dist_km")
+
+
+@register("map_points", q('SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM clean_incident WHERE "LAT" != 0'))
 def map_points(spark, d):
-    return G.map_points(B.clean(spark, d), 15000)
+    return G.map_points(B.clean(spark, d))
+
+
+@register("map_points_box", q(f'SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM geo WHERE "LAT" != 0 AND {_BOX_WHERE} '
+                              f'ORDER BY {_SHARE_SQL}, "DR_NO" LIMIT 20'))
+def map_points_box(spark, d):
+    return G.map_points(G.within_box(B.geo(spark, d), *BOX), 20)
 
 
 @register("marker_label", q(f"SELECT \"DR_NO\", substring(coalesce(\"Crm_Cd_Desc\", ''), 1, 80) AS label_box, "
@@ -612,6 +628,12 @@ def fixed_pred(spark, d) -> DataFrame:
     return M.assign_nearest(cluster_input_frame(spark, d), FIXED_CENTERS)
 
 
+def labelled_cells(spark, d, weight: str | None = None) -> DataFrame:
+    # cells and their dominant region from one scan (same rows as the J2 path)
+    frame = B.enriched_weighted(spark, d) if weight else B.enriched(spark, d)
+    return M.assign_nearest(G.hotspots_with_region(frame, SCALE, CLUSTER_K, weight), FIXED_CENTERS)
+
+
 _CLUSTER_INPUT_SQL = _hot_sql('(SELECT "LAT_d", "LON_d" FROM geo WHERE "LAT_d" IS NOT NULL AND "LON_d" IS NOT NULL)',
                               CLUSTER_K)
 _D2 = ", ".join(
@@ -625,11 +647,11 @@ _CLUSTER_REGION_SQL = (f"SELECT prediction, spa AS cell_spa, CAST(sum(count) AS
                        f"FROM ({_LABELLED_SQL}) GROUP BY prediction, spa")
 
 
-def _corr_cte() -> str:
+def _corr_cte(src: str = "enriched") -> str:
     parts = [f"stddev_pop(CAST({c} AS DOUBLE)) AS sd_{c}" for c in _PROFILE_COLS]
     parts += [f"covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS cv_{a}_{b}"
               for i, a in enumerate(_PROFILE_COLS) for b in _PROFILE_COLS[i:]]
-    return f", m AS (SELECT {', '.join(parts)} FROM ({_profile_sql('enriched', ['spa'], rounded=False)}))"
+    return f", m AS (SELECT {', '.join(parts)} FROM ({_profile_sql(src, ['spa'], rounded=False)}))"
 
 
 def _corr_cell(a: str, b: str) -> str:
@@ -659,8 +681,8 @@ def split_by_key(spark, d):
 
 
 _FIXED_REG_SQL = (
-    f"SELECT n, round(sqrt(sse / n), 6) AS rmse, round(1.0::DOUBLE - sse / (syy - sy * sy / n), 6) AS r2 FROM ("
-    f"SELECT count(*) AS n, sum((y - p) * (y - p)) AS sse, sum(y) AS sy, sum(y * y) AS syy FROM ("
+    f"SELECT n, round(sqrt(sse / n), 6) AS rmse, round(1.0::DOUBLE - sse / (var * n), 6) AS r2 FROM ("
+    f"SELECT count(*) AS n, sum((y - p) * (y - p)) AS sse, var_pop(y) AS var FROM ("
     f"SELECT CAST(crime_count AS DOUBLE) AS y, avg_victim_age * 2.0::DOUBLE + weapon_rate * 50.0::DOUBLE AS p "
     f"FROM ({_profile_sql('enriched', PANEL_KEYS, rounded=False)}) WHERE {_SPLIT_SQL} = 'test'))")
 
@@ -684,8 +706,7 @@ def assign_nearest(spark, d):
 
 @register("label_cells", q(_LABELLED_SQL))
 def label_cells(spark, d):
-    return J.label_cells(fixed_pred(spark, d), dominant_cells(spark, d).select("lat_i", "lon_i", "spa"),
-                         max_cells=CLUSTER_K)
+    return labelled_cells(spark, d)
 
 
 @register("cluster_summary_fixed", q(
@@ -703,9 +724,7 @@ def cluster_totals_fixed(spark, d):
 
 
 def _cluster_region(spark, d) -> DataFrame:
-    # cells and their dominant region from one scan (same rows as the J2 path)
-    cells = G.hotspots_with_region(B.enriched(spark, d), SCALE, CLUSTER_K)
-    return M.cluster_region_totals(M.assign_nearest(cells, FIXED_CENTERS))
+    return M.cluster_region_totals(labelled_cells(spark, d))
 
 
 @register("cluster_region_totals_fixed", q(_CLUSTER_REGION_SQL))
@@ -725,30 +744,76 @@ def top_region_per_cluster_fixed(spark, d):
 
 
 
+def stored_panel(spark, d) -> DataFrame:
+    """The region x month panel, a few hundred rows, written once: the model's
+    stages and its evaluation read it instead of the incidents."""
+    return reliable_checkpoint(A.region_month_panel(B.enriched(spark, d)).coalesce(1).sortWithinPartitions(*PANEL_KEYS))
+
+
 def _panel_model(spark, d):
-    panel = A.region_month_panel(B.enriched(spark, d))
+    panel = stored_panel(spark, d)
     train, test = M.split_by_key(panel, PANEL_KEYS)
     model = M.fit_count_model(train)
     return model, model.transform(test)
 
 
-@register("assembled_features")
+@register("assembled_features", q(
+    f"SELECT spa, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS f{i}' for i, c in enumerate(_PROFILE_COLS))} "
+    f"FROM ({_profile_sql('enriched', ['spa'], rounded=False)})"))
 def assembled_features(spark, d):
-    from pyspark.ml.feature import VectorAssembler
-    prof = A.region_profile(B.enriched(spark, d))
-    vec = VectorAssembler(inputCols=_PROFILE_COLS, outputCol="features").transform(prof)
-    return vec.select("spa", vector_to_array("features").alias("features"))
+    vec = M.assemble_cells(A.region_profile(B.enriched(spark, d)), _PROFILE_COLS)
+    f = vector_to_array("features")
+    return vec.select("spa", *[F.round(f[i], 6).alias(f"f{i}") for i in range(len(_PROFILE_COLS))])
+
 
+# Frequency order, ties by label; the "keep" index of unseen labels is the one-hot slot left out.
+_INDEX_SQL = (f"SELECT p.*, CAST(i.idx AS DOUBLE) AS spa_idx, i.idx AS hot, i.n_labels FROM "
+              f"({_profile_sql('enriched', PANEL_KEYS, rounded=False)}) p JOIN (SELECT spa, "
+              f"row_number() OVER (ORDER BY count(*) DESC, spa) - 1 AS idx, count(*) OVER () AS n_labels "
+              f"FROM ({_profile_sql('enriched', PANEL_KEYS, rounded=False)}) GROUP BY spa) i ON p.spa = i.spa")
 
-@register("region_index_onehot")
+
+@register("region_index_onehot", q(f'SELECT spa, "Occured_Year", "Occured_Month", spa_idx, CAST(hot AS INTEGER) AS hot_slot, '
+                                   f'CAST(n_labels AS INTEGER) AS n_slots, 1.0::DOUBLE AS hot_sum FROM ({_INDEX_SQL})'))
 def region_index_onehot(spark, d):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    panel = stored_panel(spark, d)
+    out = Pipeline(stages=M.region_stages()).fit(panel).transform(panel)
+    hot = vector_to_array("spa_ohe")
+    return out.select(*PANEL_KEYS, "spa_idx", (F.array_position(hot, 1.0) - 1).cast("int").alias("hot_slot"),
+                      F.size(hot).alias("n_slots"), F.aggregate(hot, F.lit(0.0), lambda a, x: a + x).alias("hot_sum"))
+
+
+_FIXED_PAIRS_SQL = (f"SELECT crime_count, avg_victim_age * 2.0::DOUBLE + weapon_rate * 50.0::DOUBLE AS p "
+                    f"FROM ({_profile_sql('enriched', PANEL_KEYS, rounded=False)})")
+
+
+@register("prediction_pairs_fixed", q(
+    f"SELECT crime_count, round(p, 6) AS prediction, round(least(min(crime_count) OVER (), min(p) OVER ()), 6) AS range_lo, "
+    f"round(greatest(max(crime_count) OVER (), max(p) OVER ()), 6) AS range_hi FROM ({_FIXED_PAIRS_SQL})"))
+def prediction_pairs_fixed(spark, d):
     panel = A.region_month_panel(B.enriched(spark, d))
-    pipe = Pipeline(stages=[StringIndexer(inputCol="spa", outputCol="spa_idx", handleInvalid="keep"),
-                            OneHotEncoder(inputCols=["spa_idx"], outputCols=["spa_ohe"])])
-    out = pipe.fit(panel).transform(panel)
-    return out.select(*PANEL_KEYS, "spa_idx", vector_to_array("spa_ohe").alias("spa_ohe"))
+    pred = panel.withColumn("prediction", F.col("avg_victim_age") * F.lit(2.0) + F.col("weapon_rate") * F.lit(50.0))
+    return r6(M.prediction_pairs(pred), "prediction", "range_lo", "range_hi")
+
+
+@register("ridge_residual_check", q("SELECT true AS residuals_sum_to_zero"))
+def ridge_residual_check(spark, d):
+    """A ridge fit with an unpenalised intercept leaves training residuals of mean zero."""
+    train, _ = M.split_by_key(stored_panel(spark, d), PANEL_KEYS)
+    pred = M.fit_count_model(train).transform(train)
+    gap = F.abs(F.avg(F.col("crime_count") - F.col("prediction"))) <= F.lit(1e-6) * F.avg("crime_count")
+    return pred.agg(gap.alias("residuals_sum_to_zero"))
+
+
+@register("kmeans_assignment_check", q(f"SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_wrong FROM ({_CLUSTER_INPUT_SQL})"))
+def kmeans_assignment_check(spark, d):
+    """Every cell of the fitted k-means lies nearest to its own center."""
+    model, pred = _kmeans(spark, d)
+    centers = [tuple(map(float, c)) for c in model.clusterCenters()]
+    d2 = lambda c: (F.col("lat_grid") - c[0]) * (F.col("lat_grid") - c[0]) + (F.col("lon_grid") - c[1]) * (F.col("lon_grid") - c[1])
+    own = F.coalesce(*[F.when(F.col("prediction") == i, d2(c)) for i, c in enumerate(centers)])
+    wrong = F.count_if(own > F.least(*[d2(c) for c in centers]) + 1e-12)
+    return pred.agg(F.count(F.lit(1)).alias("n_cells"), wrong.alias("n_wrong"))
 
 
 @register("ridge_predictions")
@@ -808,6 +873,33 @@ def cluster_summary(spark, d):
     return M.cluster_summary(pred.drop("features"))
 
 
+@register("tracts_from_money", q(
+    "SELECT tract, spa, round(coalesce(m, (SELECT avg(CASE WHEN ami_category = 'Low Income' THEN m END) FROM money)), 6) "
+    "AS med_hh_income FROM money",
+    ", money AS (SELECT CAST(tract AS VARCHAR) AS tract, regexp_replace(spa, '^\\s+|\\s+$', '', 'g') AS spa, ami_category, "
+    "TRY_CAST(regexp_replace(med_hh_income_text, '[$,\\s]', '', 'g') AS DOUBLE) AS m FROM raw_tract)"))
+def tracts_from_money(spark, d):
+    from ..functions import parse_money as pm
+    raw = B.raw_tracts(spark, d).withColumn("med_hh_income", pm("med_hh_income_text")).drop("med_hh_income_text")
+    return r6(C.clean_tracts(raw).select("tract", "spa", "med_hh_income"), "med_hh_income")
+
+
+@register("cluster_totals_all", q(
+    f"SELECT CAST(list_position([{_D2}], list_min([{_D2}])) - 1 AS INTEGER) AS prediction, "
+    f"CAST(sum(count) AS BIGINT) AS total_crimes FROM ({_hot_sql('geo', None)}) GROUP BY 1"))
+def cluster_totals_all(spark, d):
+    """Totals over every cell (the capped form above is the source's)."""
+    return M.cluster_totals(M.assign_nearest(G.hotspots(B.geo(spark, d), SCALE), FIXED_CENTERS))
+
+
+for _scale in (200, 1000):  # the report's other grid scales
+    register(f"hotspots_scale_{_scale}", q(
+        f'SELECT *, lat_i / {_scale}.0::DOUBLE AS lat_grid, lon_i / {_scale}.0::DOUBLE AS lon_grid FROM (SELECT '
+        f'{grid_i(chr(34) + "LAT_d" + chr(34), _scale)} AS lat_i, {grid_i(chr(34) + "LON_d" + chr(34), _scale)} AS lon_i, '
+        f'count(*) AS count FROM geo GROUP BY 1, 2 ORDER BY count DESC, lat_i, lon_i LIMIT 1000)'))(
+        lambda spark, d, scale=_scale: G.hotspots(B.geo(spark, d), scale, 1000))
+
+
 # ============================================================ flagship
 
 
@@ -849,6 +941,31 @@ def view_income_vs_count(spark, d):
     return r6(A.income_vs_count(default_view(spark, d)), "avg_income")
 
 
+_DEFAULT_NEAR = (f'(SELECT *, {haversine_sql(*CENTER)} AS dist_km FROM {_DEFAULT_GEO})')
+
+
+@register("view_box_crimes", q(_count_sql(f"(SELECT * FROM {_DEFAULT_GEO} WHERE {_BOX_WHERE})", ["Crm_Cd_Desc"], TOP_N)))
+def view_box_crimes(spark, d):
+    return A.top_counts(G.within_box(C.valid_geo(default_view(spark, d)), *BOX), "Crm_Cd_Desc", TOP_N)
+
+
+@register("view_radius_crimes", q(_count_sql(f"(SELECT * FROM {_DEFAULT_NEAR} WHERE dist_km <= {lit(RADIUS_KM)})",
+                                             ["Crm_Cd_Desc"], TOP_N)))
+def view_radius_crimes(spark, d):
+    near = G.within_radius(C.valid_geo(default_view(spark, d)), *CENTER, RADIUS_KM)
+    return A.top_counts(near, "Crm_Cd_Desc", TOP_N)
+
+
+_PICKED_NEAR = f"(SELECT *, {haversine_sql(*CENTER)} AS dist_km FROM geo WHERE {_F_WHERE})"
+
+
+@register("view_nearest", q(f'SELECT "DR_NO", round(dist_km, 6) AS dist_km FROM {_PICKED_NEAR} WHERE dist_km <= {lit(NEAREST_KM)} '
+                            f'ORDER BY dist_km, "DR_NO" LIMIT 50'))
+def view_nearest(spark, d):
+    near = G.nearest(FL.apply_filters(B.geo(spark, d), **_FILTERS), *CENTER, NEAREST_KM, 50)
+    return r6(near.select("DR_NO", "dist_km"), "dist_km")
+
+
 # ============================================================ spatial reports on the fan-out join
 # The source's spatial and clustering notebooks read the merged (J1) table,
 # so their counts carry each region's income multiplier; these twins keep
@@ -892,3 +1009,43 @@ FANOUT_SPATIAL: list[tuple[str, Query, str]] = [
 
 for _name, _fn, _sql in FANOUT_SPATIAL:
     register(_name, q(_sql))(_fn)
+
+
+# ============================================================ statistics and clusters on the fan-out join
+
+_HOT_FANOUT = _hot_sql('(SELECT "LAT_d", "LON_d" FROM geo_fanout WHERE "LAT_d" IS NOT NULL AND "LON_d" IS NOT NULL)', CLUSTER_K)
+_PRED_FANOUT = (f"SELECT *, CAST(list_position([{_D2}], list_min([{_D2}])) - 1 AS INTEGER) AS prediction FROM ({_HOT_FANOUT})")
+_LABELLED_FANOUT = (f"SELECT p.*, dm.spa FROM ({_PRED_FANOUT}) p LEFT JOIN ({_dominant_sql('enriched_fanout')}) dm "
+                    f"ON p.lat_i = dm.lat_i AND p.lon_i = dm.lon_i")
+_REGION_FANOUT = (f"SELECT prediction, spa AS cell_spa, CAST(sum(count) AS BIGINT) AS spa_crimes "
+                  f"FROM ({_LABELLED_FANOUT}) GROUP BY prediction, spa")
+
+
+def _fixed_metrics_fanout(spark, d) -> DataFrame:
+    panel = A.region_month_panel(B.enriched_weighted(spark, d), weight=W)
+    _, test = M.split_by_key(panel, PANEL_KEYS)
+    pred = test.withColumn("prediction", F.col("avg_victim_age") * F.lit(2.0) + F.col("weapon_rate") * F.lit(50.0))
+    return r6(M.regression_metrics(pred), "rmse", "r2")
+
+
+FANOUT_MODELS: list[tuple[str, Query, str, str]] = [
+    ("correlation_long_fanout",
+     lambda spark, d: r6(M.correlation_long(A.region_profile(B.enriched_weighted(spark, d), weight=W), _PROFILE_COLS), "r"),
+     " UNION ALL ".join(_corr_cell(a, b) for a in _PROFILE_COLS for b in _PROFILE_COLS), _corr_cte("enriched_fanout")),
+    ("regression_metrics_fixed_fanout", _fixed_metrics_fanout, _FIXED_REG_SQL.replace("FROM enriched", "FROM enriched_fanout"), ""),
+    ("cluster_summary_fixed_fanout",
+     lambda spark, d: r6(M.cluster_summary(labelled_cells(spark, d, W)), "center_lat", "center_lon"),
+     f"SELECT prediction, count(*) AS num_cells, CAST(sum(count) AS BIGINT) AS total_crimes_in_cells, "
+     f"round(avg(lat_grid), 6) AS center_lat, round(avg(lon_grid), 6) AS center_lon FROM ({_PRED_FANOUT}) GROUP BY prediction", ""),
+    ("cluster_totals_fixed_fanout", lambda spark, d: M.cluster_totals(labelled_cells(spark, d, W)),
+     f"SELECT prediction, CAST(sum(count) AS BIGINT) AS total_crimes FROM ({_PRED_FANOUT}) GROUP BY prediction", ""),
+    ("cluster_region_totals_fixed_fanout", lambda spark, d: M.cluster_region_totals(labelled_cells(spark, d, W)), _REGION_FANOUT, ""),
+    ("top_region_per_cluster_fixed_fanout",
+     lambda spark, d: M.top_region_per_cluster(M.cluster_region_totals(labelled_cells(spark, d, W))),
+     f"SELECT prediction AS cluster, cell_spa AS top_spa, spa_crimes FROM (SELECT *, row_number() OVER "
+     f"(PARTITION BY prediction ORDER BY cell_spa IS NULL, spa_crimes DESC, cell_spa) AS rn FROM ({_REGION_FANOUT})) WHERE rn = 1", ""),
+    ("label_cells_fanout", lambda spark, d: labelled_cells(spark, d, W), _LABELLED_FANOUT, ""),
+]
+
+for _name, _fn, _sql, _cte in FANOUT_MODELS:
+    register(_name, q(_sql, _cte))(_fn)

@@ -9,7 +9,6 @@ re-analysing the same cleaning plan.  Only plans are kept, never data;
 from __future__ import annotations
 
 import functools
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +17,13 @@ from ..operators import clean as C
 from ..operators import enrich as J
 from ..sources import load_incidents, load_tracts
 
-_MEMO: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_SLOT = "_tractscope_frames"  # kept on the session, so the frames go with it
 
 
 def _memo(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, d: str) -> DataFrame:
-        frames = _MEMO.setdefault(spark, {})
+        frames = spark.__dict__.setdefault(_SLOT, {})
         key = (fn.__name__, d)
         if key not in frames:
             frames[key] = fn(spark, d)
@@ -32,12 +31,9 @@ def _memo(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return wrapper
 
 
-def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoized frames (of one session, or all)."""
-    if spark is None:
-        _MEMO.clear()
-    else:
-        _MEMO.pop(spark, None)
+def forget(spark: SparkSession) -> None:
+    """Drop the session's memoized frames."""
+    spark.__dict__.pop(_SLOT, None)
 
 
 @_memo
@@ -96,6 +92,3 @@ def enriched_weighted(spark: SparkSession, d: str) -> DataFrame:
 @_memo
 def geo_fanout(spark: SparkSession, d: str) -> DataFrame:
     return C.valid_geo(enriched_weighted(spark, d))
-
-
-BASES = {"enriched": enriched, "enriched_fanout": enriched_fanout}

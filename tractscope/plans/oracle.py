@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from ..schemas import AREA_TO_REGION, CITY_BOX, LOW_INCOME, OTHER_REGION, REGION_DOMAIN
+from ..schemas import AREA_TO_REGION, CITY_BOX, LOW_INCOME, OTHER_REGION
 from ..sources.fixtures import FIXTURE_AREAS, FIXTURE_DESCENT, FIXTURE_REGIONS
 
 
@@ -126,7 +126,7 @@ clean_tract AS (
   FROM imputed_tract
 ),
 domain_tract AS (
-  SELECT * FROM clean_tract WHERE spa IN {in_list(REGION_DOMAIN)}
+  SELECT * FROM clean_tract WHERE spa IS NOT NULL
 ),
 category_mode AS (
   SELECT spa, ami_category FROM (

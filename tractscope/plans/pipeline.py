@@ -16,10 +16,12 @@ from ..sources import files as S
 
 
 def enriched_from_frames(raw_incidents: DataFrame, raw_tracts: DataFrame, fanout: bool = False) -> DataFrame:
-    incidents = C.map_area_to_region(C.clean_incidents(raw_incidents))
-    tracts = C.clean_tracts(raw_tracts)
+    return enriched_from_clean(C.clean_incidents(raw_incidents), C.clean_tracts(raw_tracts), fanout)
+
+
+def enriched_from_clean(clean: DataFrame, tracts: DataFrame, fanout: bool = False) -> DataFrame:
     join = J.enrich_fanout if fanout else J.enrich_region
-    return join(incidents, tracts)
+    return join(C.map_area_to_region(clean), tracts)
 
 
 def run_batch_pipeline(spark: SparkSession, incidents_csv: str, tracts_csv: str, out_root: str,
@@ -29,21 +31,23 @@ def run_batch_pipeline(spark: SparkSession, incidents_csv: str, tracts_csv: str,
     * ``incidents_clean`` - the cleaned incidents (Parquet by ``Occured_Year``;
       with ``clean_csv`` also as CSV, one file per task - a single file would
       funnel the table through one task),
-    * ``tracts_clean`` - the cleaned tracts (one small CSV file),
+    * ``tracts_clean`` - the cleaned tracts (CSV, one file per task),
     * ``enriched`` - incidents with region income (Parquet by
       ``Occured_Year``, sorted by latitude inside each file).
 
-    Returns the enriched path.  Each write is its own job over the same lazy
-    plan; the sources are read again rather than cached, so a lost executor
-    only recomputes its own partitions."""
+    Returns the enriched path.  The incident CSV is parsed once: what follows
+    reads the clean Parquet table just written, so a lost executor recomputes
+    its own partitions from there."""
     raw_inc = S.read_incidents_csv(spark, incidents_csv)
     raw_tr = S.read_tracts_csv(spark, tracts_csv)
     clean = C.clean_incidents(raw_inc)
     S.write_table(clean, f"{out_root}/incidents_clean", partition_by=["Occured_Year"], sort_by=["LAT", "LON"])
+    stored = S.read_table(spark, f"{out_root}/incidents_clean").select(*clean.columns)
     if clean_csv:
-        S.write_csv(clean, f"{out_root}/incidents_clean_csv")
-    S.write_csv(C.clean_tracts(raw_tr), f"{out_root}/tracts_clean", single=True)
-    enriched = enriched_from_frames(raw_inc, raw_tr, fanout)
+        S.write_csv(stored, f"{out_root}/incidents_clean_csv")
+    tracts = C.clean_tracts(raw_tr)
+    S.write_csv(tracts, f"{out_root}/tracts_clean")
+    enriched = enriched_from_clean(stored, tracts, fanout)
     out = f"{out_root}/enriched"
     S.write_table(enriched, out, partition_by=["Occured_Year"], sort_by=["LAT", "LON"])
     return out

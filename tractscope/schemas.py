@@ -45,11 +45,7 @@ EARTH_RADIUS_KM = 6371.0
 DAY_START_HOUR = 6
 DAY_END_HOUR = 18
 
-# ---------------------------------------------------------------------------
-
-#: every label an incident's ``spa`` column can take after mapping
-REGION_DOMAIN: tuple[str, ...] = tuple(dict.fromkeys(AREA_TO_REGION.values())) + (OTHER_REGION,)
-
+# Column headers and types of the two input files.
 RAW_INCIDENT = T.StructType(
     [
         T.StructField("DR_NO", T.LongType(), False),
@@ -76,3 +72,4 @@ RAW_TRACT = T.StructType(
         T.StructField("ami_category", T.StringType()),
     ]
 )
+# ---------------------------------------------------------------------------

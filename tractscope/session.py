@@ -15,6 +15,10 @@ DEFAULT_CONF = {
     # cluster; aggregated results coalesce to a few partitions).
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # AQE coalesces partitions but never adds any: start from many.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
+    # Top-n per group up to this n is cut in every map task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -37,6 +41,7 @@ def build_session(master: str | None = None, app: str = "tractscope",
     settings = dict(DEFAULT_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions)
     settings.update(conf or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
@@ -56,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return path
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         path = tempfile.mkdtemp(prefix="tractscope-ckpt-")
     sc.setCheckpointDir(path)

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import parse_money
 from ..schemas import RAW_INCIDENT, RAW_TRACT
 
+MONEY_COLUMNS = ("med_hh_income",)
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """Text to ``kind``: money columns through ``parse_money``; whole numbers
+    also where they are written as decimals (``400.0``)."""
+    c = F.col(f"`{name}`")
+    if name in MONEY_COLUMNS:
+        return parse_money(c).cast(kind)
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        number = c.try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast(kind))
+        return F.coalesce(c.try_cast(kind), whole)
+    return c.try_cast(kind)
+
 
 def type_by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast the columns named in ``schema`` with ``try_cast`` (bad values
-    become null), keeping every other column and the file's column order.
+    """Type the columns named in ``schema`` (values that do not parse become
+    null; :func:`unparsed_counts` counts them), keeping every other column
+    and the file's column order.
 
     Spark applies an explicit CSV schema by position, so a file with extra
     or reordered columns would be read wrongly; typing by name avoids it.
@@ -19,12 +36,22 @@ def type_by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
     wanted = {f.name: f.dataType for f in schema.fields}
     return df.select(
         *[
-            F.col(f"`{c}`").try_cast(wanted[c]).alias(c) if c in wanted else F.col(f"`{c}`")
+            _typed(c, wanted[c]).alias(c) if c in wanted else F.col(f"`{c}`")
             for c in df.columns
         ]
     )
 
 
+def unparsed_counts(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Per typed column: how many non-blank texts would become null, in one
+    pass, so that no value is lost unnoticed."""
+    fields = [f for f in schema.fields if f.name in raw.columns]
+    lost = raw.agg(*[F.count_if((F.trim(F.col(f"`{f.name}`")) != "") & _typed(f.name, f.dataType).isNull()).alias(f"c{i}")
+                     for i, f in enumerate(fields)])
+    return lost.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f"c{i}").alias("unparsed"))
+                                          for i, f in enumerate(fields)])))
+
+
 def read_incidents_csv(spark: SparkSession, path: str) -> DataFrame:
     """Incident CSV with header; no inference pass over the data."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -32,8 +59,8 @@ def read_incidents_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tracts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Tract CSV with header, typed by name (income text is kept as text
-    when it does not parse; see ``parse_money``)."""
+    """Tract CSV with header, typed by name; income may be money text
+    (``$61,994 ``, see ``parse_money``)."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     return type_by_name(raw, RAW_TRACT)
 
@@ -51,14 +78,23 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                sort_by: list[str] | None = None) -> None:
+                sort_by: list[str] | None = None, target_rows: int | None = None) -> None:
     """Parquet, overwrite; optional directory partitioning (e.g. by year)
-    so filters on it prune whole folders, and an optional sort within each
-    task's output (e.g. by latitude) so row-group min/max statistics let
-    range filters skip row groups.  The sort is local: no extra shuffle."""
+    so filters on it prune whole folders.
+
+    With both, rows are range-partitioned by ``partition_by`` then ``sort_by``
+    (e.g. year, then latitude) and sorted within: a task holds one stretch of
+    one or two folders, so files are few and each covers a narrow range that
+    range filters can skip.  AQE sizes the tasks; ``target_rows`` caps the
+    rows of one file."""
+    keys = [*(partition_by or []), *(sort_by or [])]
+    if partition_by and sort_by:
+        df = df.repartitionByRange(*keys)
     if sort_by:
-        df = df.sortWithinPartitions(*(partition_by or []), *sort_by)
+        df = df.sortWithinPartitions(*keys)
     writer = df.write.mode("overwrite")
+    if target_rows:
+        writer = writer.option("maxRecordsPerFile", target_rows)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -79,22 +79,10 @@ def tracts_from_supplier(supplier: DataFrame) -> DataFrame:
     )
 
 
-def spread_narrow(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than task slots (one
-    small file, one row group), so per-row work uses every core.  A scan
-    of a large table already has many partitions and is left alone."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD handle (e.g. a remote session): leave the scan as is
-        return df
-    return df.repartition(slots) if parts < slots else df
-
-
 def load_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*cols)
-    return incidents_from_orders(spread_narrow(orders))
+    return incidents_from_orders(orders)
 
 
 def load_tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
