@@ -1,0 +1,245 @@
+"""Per-document operators against brute force, on real and odd texts."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tractscope.llm import licenses, packing, pii, quality, secret_scan, wordbpe
+
+SF = "/root/testdata/sf0.001"
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+KEY = "token = 'a1b2c3d4e5f60718293a4b5c6d7e8f90'"
+ODD = [
+    None, "", " ", "\n\n \t", "x", "a  b   c \n d", "it's we'll THEY'RE 'tis", "½ ² x² İstanbul ΣΑΣ ǅ", "é ́ áb", "日本語 テキスト 123 ١٢٣",
+    "<|endoftext|> a<|startoftext|>b <|im_end|>", "emoji 😀😃 done", "tab\tsep\x85next line\xa0nb \x1cfs", "#####***" * 40, "_a_ __b a_b",
+    "password: short, token=api_key: abcdefghijklmnop secret='ABCDEFGHIJKL/+=.'", KEY + " " + KEY.upper(), "AKIA" + "A1B2" * 4 + " AKIAAKIA12",
+    "deadbeefdeadbeef0 " * 3, "ghp_" + "aB3" * 13, "mail a@b.c_x@d.e.f and q.w+e%r-t@x-y.zz 1.2.3.4.5.6.7.8 256.1.1.1 007.8.9.10",
+    "4111 1111 1111 1111 4111-1111-1111-1112 378282246310005 1 2 3", "+1 (555) 123-4567 +49 30 1234567 ++1 2 +12345678901234567", "call me: 555-123-4567, SSN 123-45-6789",
+    "Dr. Anna Müller", "The MIT-License; GNU general\npublic LICENSE cc by cc by 4.0 Apache License, Version 2.0", "é" * 3000, "word " * 3000, "a@" * 500, "1 " * 500,
+]
+
+
+def texts(spark):
+    return [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ODD
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Whole sample and odd texts, a repeated row, a null id, and columns that clash with the operators' own."""
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(texts(spark))]
+    rows += [rows[-1], (None, KEY, None)]
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, cand int, n_words string").repartition(3)
+
+
+def by_row(df):
+    return {(r.doc_id): r for r in df.collect()}
+
+
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)).encode()).hexdigest()
+
+
+def brute_secrets(t):
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    return ([(m.start(), 0, m.end(), "assign") for m in re.finditer(assign, t) if len(m[2]) >= 12]
+            + [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+            + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
+
+
+def luhn(s):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for pattern, kind, lo, hi in ((r"[0-9]([\x20-]?[0-9])+", "card", 14, 19), (r"\+[0-9][\x20().0-9-]+[0-9]", "phone", 10, 15)):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if lo <= len(d) <= hi and (kind == "phone" or luhn(d)):
+                out.append((m.start(), 2 + (kind == "phone"), m.end(), kind))
+    return out
+
+
+@pytest.mark.parametrize("name", ["secrets", "pii"])
+def test_base_spans(spark, docs, name):
+    run, brute = {"secrets": (secret_scan.secret_spans, brute_secrets), "pii": (pii.pii_spans, brute_pii)}[name]
+    out = run(docs)
+    assert out.count() == docs.count()
+    got = by_row(out)
+    for i, t in enumerate(texts(spark)):
+        spans = brute(t or "")
+        assert got[i].base_sha256 == digest(spans), (i, t, got[i].spans)
+        assert {f"{k}:{a}:{b}" for a, _, b, k in spans} <= set(got[i].spans.split(",")) | {""}
+    assert run(docs.limit(0)).count() == 0
+
+
+def test_secret_ownership(spark):
+    live, copied = "a1b2c3d4e5f60718293a4b5c6d7e8f90", "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+    rows = [(i, f"é token = '{copied}' end", f"owner{i % 5}") for i in range(20)] + [(90, f"key {live} and secret={live}", "me"), (91, live, "me"), (92, "aaaa" * 8, "me")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = by_row(secret_scan.secret_spans(d))
+    assert got[0].n_live == 0 and got[0].spans == "assign:2:43,hex:11:43"
+    assert got[90].n_live == 2 and got[90].spans == "hex:4:36,live:4:36,assign:41:80,hex:48:80,live:48:80"
+    assert got[91].n_live == 1 and got[92].n_live == 0
+    clean = secret_scan.redact_live(d.withColumnsRenamed({}).selectExpr("*", "length(text) AS n_chars", "1 AS live"))
+    back = by_row(clean)
+    assert clean.columns == ["doc_id", "text", "source", "n_chars", "live"] and clean.count() == 23
+    assert back[90].text == "key [SECRET] and secret=[SECRET]" and back[90].n_chars == len(back[90].text)
+    assert copied in back[0].text and back[92].text == "aaaa" * 8
+
+
+def test_pii_classifier(spark):
+    good = [(i, f"please call 555-{100 + i}-4{i:03d} today", "s") for i in range(60)]
+    poor = [(1000 + i, f"version x555-{100 + i}-4{i:03d}z", "s") for i in range(60)]
+    got = by_row(pii.pii_spans(spark.createDataFrame(good + poor + [(5000, "SSN: 123-45-6789.", "s")], "doc_id long, text string, source string")))
+    assert sum(r.n_added for k, r in got.items() if k < 1000) >= 57 and got[5000].spans == "national_id:5:16"
+    assert sum(r.n_added for k, r in got.items() if 1000 <= k < 5000) <= 3
+
+
+def test_votes_estimated_from_agreement():
+    patterns = [("card", 1, 1, 1, 1, 1, 1, 900), ("card", 1, 1, 1, 1, -1, 1, 100), ("card", -1, -1, -1, -1, 1, 1, 450), ("card", -1, -1, -1, -1, -1, 1, 50)]
+    prior, likely, post = pii.reliabilities(patterns)
+    assert abs(prior["card"] - 2 / 3) < 0.05
+    assert likely["form", 1, 1] > 0.95 and abs(likely["edge", 1, 1] - likely["edge", 0, 1]) < 0.05  # no information in "edge"
+    weights = pii.train(patterns, post)
+    assert weights["form", 1] > 0 > weights["form", -1]
+
+
+def test_licenses(spark, docs):
+    got = by_row(licenses.license_scan(docs))
+    assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(docs.limit(0)).count() == 0
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, t in enumerate(texts(spark)):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+        places = [(k, lab) for p, lab in licenses.BASE.items() for k in range(len(words)) if words[k:k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(words), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({lab for _, lab in places}))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert len(licenses.rules()) >= 200
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("SPDX-License-Identifier: Apache-2.0", ""), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("GNU Lesser General Public License v2.1 or later", "lgpl-2.1"), ("see the MIT license", "mit"), ("CC BY-SA 4.0", "cc-by-sa-4.0"),
+    ("we mit you in cc", ""), ("Mozilla Public License 2.0 and BSD 3-Clause License", "bsd-3-clause,mpl-2.0")])
+def test_license_rules(text, labels):
+    assert ",".join(sorted({d[2] for d in licenses.detect(licenses.words_joined(text)[0])})) == labels
+
+
+def brute_quality(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, seen, lines = len(words), {}, [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    for i in range(n - 2):
+        seen.setdefault(tuple(words[i:i + 3]), []).append(i)
+    inside = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 3)}
+    return n, sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(inside)
+
+
+def test_quality_counts(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    out = quality.quality_rules(docs, labels)
+    assert out.count() == docs.count()
+    got = by_row(out)
+    for i, t in enumerate(texts(spark)):
+        n, chars, symbols, dup, repeat = brute_quality(t or "")
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat), (i, t)
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.kept and r.base_failed)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in out.collect())
+    none = quality.quality_rules(docs, labels.limit(0))
+    assert {r.p_quality for r in none.collect()} == {None} and quality.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_quality_held_out(spark):
+    """Labelled rows the classifier never saw: good ones stay, poor ones mostly go."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = quality.quality_rules(docs, labels.where("doc_id % 2 = 0"), 200).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").collect()
+    good, poor = [r.kept for r in out if r.quality == 1], [r.kept for r in out if r.quality == 0]
+    assert len(poor) >= 5 and sum(good) / len(good) >= 0.98 and sum(poor) / len(poor) <= 0.25
+
+
+def odd_texts():
+    rng = random.Random(3)
+    parts = ["Étion", "the", "word.", "\n", "  ", "a,b", "123", "x1y2", "'s", "'LL", "…", "日本", "<|endoftext|>", "\t", "½", "ß", "́", "—", "😀", "don't", " ", "\xa0", "ﬁ"]
+    return [t for t in ODD if t is not None] + ["".join(rng.choice([p, " " + p]) for p in rng.choices(parts, k=rng.randint(1, 40))) for _ in range(300)]
+
+
+def test_word_bpe_equals_library():
+    library, own = Tokenizer.from_file(WORD_BPE), wordbpe.load(WORD_BPE)
+    for t in odd_texts():
+        ids = library.encode(t, add_special_tokens=False).ids
+        n, packed, decoded = own.digest(t)
+        assert np.frombuffer(packed, "<u4").tolist() == ids == own.encode(t), repr(t)
+        assert n == len(ids) and decoded == library.decode(ids, skip_special_tokens=False) == own.decode(ids)
+
+
+def test_bpe_query(spark, docs):
+    library = Tokenizer.from_file(WORD_BPE)
+    out = wordbpe.bpe_digests(docs, WORD_BPE)
+    got = by_row(out)
+    assert out.count() == docs.count() and wordbpe.bpe_digests(docs.limit(0), WORD_BPE).count() == 0
+    for i, t in enumerate(texts(spark)):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), (i, t)
+
+
+def test_byte_tokens_equal_library():
+    library, own = Tokenizer.from_file(BYTE_BPE), packing.load(BYTE_BPE)
+    for t in odd_texts():
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_first_fit_decreasing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 300):
+        sizes = rng.integers(1, 1024, n)
+        place, at = packing.first_fit_decreasing(sizes, 1024)
+        free, want = [], {}
+        for i in sorted(range(n), key=lambda i: (-sizes[i], i)):
+            b = next((b for b, f in enumerate(free) if f >= sizes[i]), None)
+            if b is None:
+                b = len(free)
+                free.append(1024)
+            want[i] = (b, 1024 - free[b])
+            free[b] -= sizes[i]
+        assert [(place[i], at[i]) for i in range(n)] == [want[i] for i in range(n)]
+
+
+def test_packing(spark, docs):
+    library = Tokenizer.from_file(BYTE_BPE)
+    long = spark.createDataFrame([(777, "lorem ipsum " * 4000, "s", 1, "x")], docs.schema)
+    rows = packing.pack_documents(docs.unionAll(long), BYTE_BPE, group=64).collect()
+    sequences, pieces = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append(r)
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    last = len(texts(spark)) - 1
+    assert len(pieces[None]) == 1 and len(pieces[last]) == 2 * (len(library.encode(ODD[-1], add_special_tokens=False).ids) // 1024 + 1)
+    for i, t in [*enumerate(texts(spark)), (777, "lorem ipsum " * 4000)]:
+        if i == last:
+            continue
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert sum(r.length for r in rows) / 1024 / len(sequences) > 0.9
+    assert packing.pack_documents(docs.limit(0), BYTE_BPE).count() == 0

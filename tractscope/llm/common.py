@@ -110,7 +110,8 @@ def regex_spans(text: Column, pattern: str, gate: Column | None = None, groups:
     for g in groups:
         fields[f"g{g}"] = whole if g == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     if context:
-        fields["next"] = F.slice(F.split(text, pattern, -1), 2, 2147483647)
+        parts = F.split(text, pattern, -1)
+        fields["next"] = F.slice(parts, F.lit(2), F.size(parts))
     rows = F.filter(F.arrays_zip(*[c.alias(n) for n, c in fields.items()]), lambda r: r["hit"].isNotNull())
 
     def shape(start: Column, end: Column, r: Column) -> Column:

@@ -108,7 +108,7 @@ class WordBpe:
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without control strings."""
         ids: list[int] = []
-        if text.isascii() or max(text) <= LATIN and not _ODD_LATIN.search(text):
+        if (text.isascii() or max(text) <= LATIN) and not _ODD_LATIN.search(text):
             shown = self.bytes
             for piece in _PIECE.findall(text.lower()):
                 ids += self._piece(piece if piece.isascii() else "".join([shown[b] for b in piece.encode()]))
