@@ -581,9 +581,9 @@ def stable_sample(spark, d):
 
 
 @register("stable_sample_radius", q(f'SELECT "DR_NO", round(dist_km, 6) AS dist_km FROM {_NEAR_SRC} '
-                                    f'WHERE dist_km <= {lit(RADIUS_KM)} AND {_SHARE_SQL} < 0.2'))
+                                    f'WHERE dist_km <= {lit(NEAREST_KM)} AND {_SHARE_SQL} < 0.2'))
 def stable_sample_radius(spark, d):
-    near = G.within_radius(B.geo(spark, d), *CENTER, RADIUS_KM)
+    near = G.within_radius(B.geo(spark, d), *CENTER, NEAREST_KM)
     return r6(G.stable_sample(near, "DR_NO", 0.2, 42).select("DR_NO", "dist_km"), "dist_km")
 
 
