@@ -153,12 +153,30 @@ def detect(line: bytes) -> list[tuple[int, int, str, float]]:
                 present[rule.keyword] = rule.keyword in line
             if present[rule.keyword]:
                 hits += [(rule.priority, m.start(), m.end(), rule.label, rule.score) for m in rule.regex.finditer(line)]
-    kept: list[tuple[int, int, str, float]] = []
     hits.sort(key=lambda h: (-h[0], h[1] - h[2], h[1], h[3]))
-    for _, start, end, label, score in hits:
-        if not any(s <= start and end <= e for s, e, _, _ in kept):
-            kept.append((start, end, label, score))
-    return sorted(kept)
+    return sorted(_uncovered([h[1:] for h in hits]))
+
+
+def _uncovered(hits: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """The hits, in the order given, that lie inside no hit taken before.
+
+    A binary indexed tree over the starts holds the furthest end taken so far
+    at or before each, so a text of many hits costs n log n."""
+    place = {start: i for i, start in enumerate(sorted({h[0] for h in hits}), 1)}
+    furthest = [-1] * (len(place) + 1)
+    kept = []
+    for hit in hits:
+        start, end = hit[:2]
+        at, reach = place[start], -1
+        while at:
+            reach, at = max(reach, furthest[at]), at & (at - 1)
+        if reach < end:
+            kept.append(hit)
+            at = place[start]
+            while at < len(furthest):
+                furthest[at] = max(furthest[at], end)
+                at += at & -at
+    return kept
 
 
 def _scan(cols: dict[str, list], id_col: str, text_col: str) -> dict[str, list]:
