@@ -112,27 +112,51 @@ def regex_spans(text: Column, pattern: str, gate: Column | None = None, groups:
     if context:
         parts = F.split(text, pattern, -1)
         fields["next"] = F.slice(parts, F.lit(2), F.size(parts))
-    rows = F.filter(F.arrays_zip(*[c.alias(n) for n, c in fields.items()]), lambda r: r["hit"].isNotNull())
+    kind = "struct<start:int,end:int," + ",".join(f"g{g}:string" for g in groups)
+    kind += ",before:string,after:string>" if context else ">"
 
-    def shape(start: Column, end: Column, r: Column) -> Column:
-        out = [start.alias("start"), end.alias("end"), *[r[f"g{g}"].alias(f"g{g}") for g in groups]]
+    def shape(r: Column, at: Column) -> Column:
+        start = at + F.length(r["part"])
+        out = [start.alias("start"), (start + F.length(r["hit"])).alias("end"), *[r[f"g{g}"].alias(f"g{g}") for g in groups]]
         if context:
             out += [F.right(r["part"], F.lit(context)).alias("before"), F.left(r["next"], F.lit(context)).alias("after")]
         return F.struct(*out)
 
-    kind = "struct<start:int,end:int," + ",".join(f"g{g}:string" for g in groups)
-    kind += ",before:string,after:string>" if context else ">"
+    def located(rows: Column) -> Column:
+        used = F.transform(rows, lambda r: F.length(r["part"]) + F.length(r["hit"]))
+        return _let(used, lambda u: _let(sums_before(u), lambda at: F.transform(rows, lambda r, i: shape(r, F.get(at, i)))))
 
-    def step(acc: Column, r: Column) -> Column:
-        start = acc["at"] + F.length(r["part"])
-        end = start + F.length(r["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(shape(start, end, r))).alias("found"))
-
-    none = F.array().cast(f"array<{kind}>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    found = F.aggregate(rows, zero, step, lambda a: a["found"]).cast(f"array<{kind}>")
+    rows = F.filter(F.arrays_zip(*[c.alias(n) for n, c in fields.items()]), lambda r: r["hit"].isNotNull())
+    found = _let(rows, located).cast(f"array<{kind}>")
     gate = F.lit(True) if gate is None else gate
-    return F.when(text.isNotNull() & gate, found).otherwise(none)
+    return F.when(text.isNotNull() & gate, found).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, as a lambda's argument."""
+    return F.transform(F.array(value), use)[0]
+
+
+SUM_CHUNK = 128
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each element of an array, the sum of those before it.
+
+    Adding to an array copies it, so sums run within chunks and over the
+    chunks' totals: a text of many matches does not cost their square."""
+    def running(c: Column) -> Column:
+        return F.aggregate(c, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    last = F.floor(F.size(numbers) / SUM_CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda k: running(F.slice(numbers, k * SUM_CHUNK + 1, F.lit(SUM_CHUNK))))
+
+    def joined(cs: Column) -> Column:
+        offsets = running(F.transform(cs, lambda c: F.element_at(c, -1)))
+        return _let(offsets, lambda o: F.flatten(F.transform(cs, lambda c, k: F.transform(
+            F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + F.get(o, k)))))
+
+    return _let(chunks, joined)
 
 
 def spans_text(spans: Column) -> Column:
