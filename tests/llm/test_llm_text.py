@@ -112,6 +112,29 @@ def test_votes_estimated_from_agreement():
     assert weights["form", 1] > 0 > weights["form", -1]
 
 
+def test_license_suppression_equals_all_pairs():
+    rng = random.Random(3)
+    for _ in range(500):
+        hits = [(a := rng.randint(0, 40), a + rng.randint(1, 15), rng.choice("abc"), 0.5) for _ in range(rng.randint(0, 30))]
+        kept = []
+        for h in hits:
+            if not any(s <= h[0] and h[1] <= e for s, e, _, _ in kept):
+                kept.append(h)
+        assert licenses._uncovered(hits) == kept
+
+
+def test_texts_of_many_matches(spark):
+    """Thousands of matches in one text cost no square of their number."""
+    n = 20_000
+    text = "mail a7@b.com key 0123456789abcdef0 and the MIT License. " * n
+    df = spark.createDataFrame([(1, text, "s"), (2, text[:57 * 128], "s"), (3, "", "s")], "doc_id long, text string, source string")
+    for i, k in ((1, n), (2, 128), (3, 0)):
+        t = text[:57 * k]
+        secrets, pii_spans = by_row(secret_scan.secret_spans(df))[i], by_row(pii.pii_spans(df))[i]
+        assert secrets.base_sha256 == digest(brute_secrets(t)) and pii_spans.base_sha256 == digest(brute_pii(t))
+    assert by_row(licenses.license_scan(df))[1].n_base == n
+
+
 def test_licenses(spark, docs):
     got = by_row(licenses.license_scan(docs))
     assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(docs.limit(0)).count() == 0
@@ -200,6 +223,20 @@ def test_byte_tokens_equal_library():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_byte_tokens_equal_library_on_every_code_point_and_token():
+    library, own = Tokenizer.from_file(BYTE_BPE), packing.load(BYTE_BPE)
+    assert own.fast is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(5)
+    tokens = [library.decode([i]) for i in range(library.get_vocab_size())]
+    cases = ["".join(f"a{c}1{c}{c} {c}" for c in points[i:i + 64]) for i in range(0, len(points), 64)]
+    cases += tokens + ["".join(rng.choices(tokens, k=40)) for _ in range(2000)]
+    cases += ["etaoin"[rng.randrange(6)] * rng.randrange(1, 300) + "".join(rng.choices("etaoinshr dlu", k=200)) for _ in range(2000)]
+    cases += [" " * 300_000, "\n" * 12_000 + "x", "a <|endoftext|> b<|endoftext|>"]
+    for t in cases:
+        assert own.ids(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t[:80])
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 5, 300):
