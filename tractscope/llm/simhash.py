@@ -242,7 +242,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with the first row of each component (smallest id), all columns
     as they are; other rows of the component, repeats included, go."""
     prints = fingerprints(docs, id_col, text_col, shingle)
-    keep = grouped(prints, max_bits).groupBy(F.col("keep.id").alias("__k_id"), F.col("keep.th").alias("__k_th")).count()
-    mark = docs.withColumn("__th", F.xxhash64(text_col))
-    kept = mark.join(keep, F.col(id_col).eqNullSafe(F.col("__k_id")) & (F.col("__th") == F.col("__k_th")), "left_semi")
-    return kept.dropDuplicates([id_col, "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # one column for both keys, nulls equal: rows the join brought together are also where repeats are dropped
+    kind = f"struct<id:{docs.schema[id_col].dataType.simpleString()},th:bigint>"
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).cast(kind)
+    keep = grouped(prints, max_bits).select(F.struct("keep.id", "keep.th").cast(kind).alias("__keep")).distinct()
+    kept = docs.withColumn("__row", row).join(keep, F.col("__row") == F.col("__keep"), "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
