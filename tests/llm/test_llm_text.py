@@ -95,6 +95,17 @@ def test_secret_ownership(spark):
     assert copied in back[0].text and back[92].text == "aaaa" * 8
 
 
+def test_value_in_many_documents_of_one_owner_is_copied(spark):
+    sample, key, rare = "0f1e2d3c4b5a69788796a5b4c3d2e1f0", "a1b2c3d4e5f60718293a4b5c6d7e8f90", "1a2b3c4d5e6f708192a3b4c5d6e7f809"
+    rows = [(i, f"token = '{sample}'" + (f" {key}" if i < 3 else ""), "hot") for i in range(secret_scan.MAX_LIVE_REPOS + 1)]
+    rows += [(900 + i, rare, "hot") for i in range(secret_scan.MAX_LIVE_REPOS)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, clean = by_row(secret_scan.secret_spans(d)), by_row(secret_scan.redact_live(d))
+    assert (got[5].n_live, got[5].n_repos) == (0, 0) and sample in clean[5].text
+    assert (got[1].n_live, got[1].n_repos) == (1, 3) and clean[1].text == f"token = '{sample}' [SECRET]"
+    assert (got[900].n_live, got[900].n_repos) == (1, secret_scan.MAX_LIVE_REPOS) and clean[900].text == "[SECRET]"
+
+
 def test_pii_classifier(spark):
     good = [(i, f"please call 555-{100 + i}-4{i:03d} today", "s") for i in range(60)]
     poor = [(1000 + i, f"version x555-{100 + i}-4{i:03d}z", "s") for i in range(60)]

@@ -4,8 +4,9 @@
    hex run) and by one pattern of provider formats.  A candidate is a matched
    value, known afterwards only by its hash.
 2. Over the corpus, each candidate hash is counted by the distinct owners and
-   the distinct repositories it occurs in.  A value many owners hold is a
-   copied example; a value of few owners that looks random is *live*.
+   the distinct repositories it occurs in.  A value held by many owners, or
+   by many repositories of few owners, is a copied example; of the others,
+   one that looks random is *live*.
 3. Live candidates come back to their documents as spans of kind ``live``
    (the value itself); provider-format matches that are live also as
    ``provider``.  Base spans stay whatever the verdict.
@@ -17,7 +18,7 @@ carried by :func:`redact_live` and ignored otherwise, whatever their names.
 
 Scale: the text is read once, what it yields (hashes and offsets) is saved;
 distinct counts are partial before each shuffle; a hash that a third of all
-rows hold is dropped from the join by its owner count before the join, and
+rows hold is dropped by its owner or repository count before the join, and
 other skew is left to the adaptive skew join.
 """
 
@@ -42,6 +43,7 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0{8}
 
 KINDS = ("assign", "access", "hex", "provider", "live")
 MAX_LIVE_OWNERS = 2      # distinct owners up to which a value is owner-specific
+MAX_LIVE_REPOS = 50      # distinct repositories up to which it is, whoever owns them
 MIN_LIVE_CHARS = 16      # length from which a value can look live
 MIN_LIVE_DISTINCT = 8    # different characters it needs
 
@@ -93,27 +95,30 @@ def ownership(scanned: DataFrame) -> DataFrame:
     each = each.select("owner", F.struct("repo").alias("repo"), F.col("c.vh").alias("vh"), F.col("c.random").alias("random"))
     freq = each.groupBy("vh", "random").agg(F.count_distinct("owner").alias("n_owners"),
                                             F.count_distinct("repo").alias("n_repos"))
-    verdict = (F.when(F.col("n_owners") > MAX_LIVE_OWNERS, "copied").when(F.col("random"), "live").otherwise("weak"))
+    copied = (F.col("n_owners") > MAX_LIVE_OWNERS) | (F.col("n_repos") > MAX_LIVE_REPOS)
+    verdict = (F.when(copied, "copied").when(F.col("random"), "live").otherwise("weak"))
     return freq.select("vh", "n_owners", "n_repos", verdict.alias("verdict"))
 
 
 def live_spans(scanned: DataFrame) -> DataFrame:
-    """(id, th, live): the live spans of every document that has any."""
+    """(id, th, live, n_repos): the live spans of every document that has any,
+    and the most repositories that hold one of its live values."""
     each = scanned.where(F.size("cand") > 0).select("id", "th", F.explode("cand").alias("c"))
-    live = ownership(scanned).where("verdict = 'live'").select("vh")
+    live = ownership(scanned).where("verdict = 'live'").select("vh", "n_repos")
     value = F.struct(F.col("c.value_start").alias("start"), F.lit(KINDS.index("live")).alias("ord"),
                      F.col("c.end").alias("end"), F.lit("live").alias("kind"))
     whole = F.struct(F.col("c.start").alias("start"), F.lit(KINDS.index("provider")).alias("ord"),
                      F.col("c.end").alias("end"), F.lit("provider").alias("kind"))
     both = F.when(F.col("c.kind") == "provider", F.array(value, whole)).otherwise(F.array(value))
-    marked = each.join(live, F.col("c.vh") == live["vh"], "left_semi").select("id", "th", F.explode(both).alias("s"))
-    return marked.groupBy("id", "th").agg(F.array_sort(F.collect_set("s")).alias("live"))
+    marked = each.join(live, F.col("c.vh") == live["vh"]).select("id", "th", "n_repos", F.explode(both).alias("s"))
+    return marked.groupBy("id", "th").agg(F.array_sort(F.collect_set("s")).alias("live"), F.max("n_repos").alias("n_repos"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
                  repo_col: str = "doc_id") -> DataFrame:
     """One row per document: id, counts of the base kinds, digest of the base
-    spans, all spans, and how many live ones."""
+    spans, all spans, how many live ones, and the most repositories that hold
+    one of the live values (0 without any)."""
     scanned = scan(docs, id_col, text_col, owner_col, repo_col)
     live = live_spans(scanned).withColumnsRenamed({"id": "l_id", "th": "l_th"})
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -123,7 +128,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col), n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.array_sort(F.concat("base", added))).alias("spans"),
-        F.size(F.filter(added, lambda s: s["kind"] == "live")).cast("long").alias("n_live"))
+        F.size(F.filter(added, lambda s: s["kind"] == "live")).cast("long").alias("n_live"),
+        F.coalesce("n_repos", F.lit(0)).cast("long").alias("n_repos"))
 
 
 MASK = "[SECRET]"
