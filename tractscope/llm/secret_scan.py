@@ -6,7 +6,9 @@
 2. Over the corpus, each candidate hash is counted by the distinct owners and
    the distinct repositories it occurs in.  A value held by many owners, or
    by many repositories of few owners, is a copied example; of the others,
-   one that looks random is *live*.
+   one that some match makes a secret is *live*: as the value of an
+   assignment, access id or provider format, unless it is a placeholder; as a
+   bare hex run, if it looks random too.
 3. Live candidates come back to their documents as spans of kind ``live``
    (the value itself); provider-format matches that are live also as
    ``provider``.  Base spans stay whatever the verdict.
@@ -39,13 +41,12 @@ PROVIDER = (r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-
             r"|sk_live_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9]{20,}+|AIza[A-Za-z0-9_-]{35}"
             r"|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)")
 PROVIDER_GATE = r"gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-[A-Za-z0-9]{20}|AIza|eyJ"
-PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0{8}|12345678|abcdef01"
+PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0{8}|12345678|abcdef01|^(.)\1*$"
 
 KINDS = ("assign", "access", "hex", "provider", "live")
 MAX_LIVE_OWNERS = 2      # distinct owners up to which a value is owner-specific
 MAX_LIVE_REPOS = 50      # distinct repositories up to which it is, whoever owns them
-MIN_LIVE_CHARS = 16      # length from which a value can look live
-MIN_LIVE_DISTINCT = 8    # different characters it needs
+MIN_LIVE_DISTINCT = 8    # different characters a bare hex run needs
 
 
 def _spans(text: Column, kind: str, pattern: str, gate: Column, value_group: int = 0, min_value: int = 0) -> Column:
@@ -59,10 +60,10 @@ def _spans(text: Column, kind: str, pattern: str, gate: Column, value_group: int
         F.lit(kind).alias("kind"), s[f"g{value_group}"].alias("value")))
 
 
-def _looks_live(v: Column) -> Column:
-    """Long enough, letters and digits, many different characters, no placeholder word."""
-    return ((F.length(v) >= MIN_LIVE_CHARS) & v.rlike("[A-Za-z]") & v.rlike("[0-9]") & ~v.rlike(PLACEHOLDER)
-            & (F.size(F.array_distinct(F.split(v, ""))) >= MIN_LIVE_DISTINCT))
+def _looks_live(v: Column, kind: Column) -> Column:
+    """No placeholder; a bare hex run also needs letters, digits and many different characters."""
+    random = v.rlike("[a-f]") & v.rlike("[0-9]") & (F.size(F.array_distinct(F.split(v, ""))) >= MIN_LIVE_DISTINCT)
+    return ~v.rlike(PLACEHOLDER) & ((kind != "hex") | random)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
@@ -70,7 +71,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     """One row per document: (id, th, owner, repo, base, cand).
 
     ``base`` are the base spans by start then kind; ``cand`` the candidates
-    with their value hash and whether the value looks live."""
+    with their value hash and whether this match makes the value a secret."""
     text = F.col(text_col)
     spans = F.concat(
         _spans(text, "assign", ASSIGN, text.rlike(ASSIGN_GATE), 2, 12),
@@ -83,7 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     cand = F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
         (s["end"] - F.length(s["value"])).alias("value_start"), F.sha2(s["value"], 256).alias("vh"),
-        _looks_live(s["value"]).alias("random")))
+        _looks_live(s["value"], s["kind"]).alias("likely")))
     base = F.transform(F.filter("spans", lambda s: s["kind"] != "provider"), lambda s: F.struct(
         s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
     return saved(found.select("id", "th", "owner", "repo", base.alias("base"), cand.alias("cand")))
@@ -92,11 +93,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def ownership(scanned: DataFrame) -> DataFrame:
     """Each candidate hash with its distinct owners and repositories and the verdict."""
     each = scanned.where(F.size("cand") > 0).select("owner", "repo", F.explode("cand").alias("c"))
-    each = each.select("owner", F.struct("repo").alias("repo"), F.col("c.vh").alias("vh"), F.col("c.random").alias("random"))
-    freq = each.groupBy("vh", "random").agg(F.count_distinct("owner").alias("n_owners"),
-                                            F.count_distinct("repo").alias("n_repos"))
+    each = each.select("owner", F.struct("repo").alias("repo"), F.col("c.vh").alias("vh"), F.col("c.likely").alias("likely"))
+    freq = each.groupBy("vh").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"),
+                                  F.max("likely").alias("likely"))
     copied = (F.col("n_owners") > MAX_LIVE_OWNERS) | (F.col("n_repos") > MAX_LIVE_REPOS)
-    verdict = (F.when(copied, "copied").when(F.col("random"), "live").otherwise("weak"))
+    verdict = (F.when(copied, "copied").when(F.col("likely"), "live").otherwise("weak"))
     return freq.select("vh", "n_owners", "n_repos", verdict.alias("verdict"))
 
 
