@@ -181,6 +181,33 @@ def test_license_rules(text, labels):
     assert ",".join(sorted({d[2] for d in licenses.detect(licenses.words_joined(text)[0])})) == labels
 
 
+def shortest(parsed):
+    """The shortest text of a parsed regular expression, first branches taken."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += chr(arg[0][1])
+        elif name == "BRANCH":
+            out += shortest(arg[1][0])
+        elif name == "SUBPATTERN":
+            out += shortest(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += shortest(arg[2]) * arg[0]
+        else:
+            assert name.startswith("ASSERT"), name
+    return out
+
+
+def test_every_license_rule_on_its_phrase_alone():
+    for rule in licenses.rules():
+        phrase = shortest(re._parser.parse(rule.regex.pattern.decode()))
+        found = licenses.detect(licenses.words_joined(f"qq {phrase} qq")[0])
+        assert rule.label in {d[2] for d in found}, (rule.label, phrase, found)
+
+
 def brute_quality(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     n, seen, lines = len(words), {}, [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

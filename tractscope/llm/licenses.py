@@ -4,8 +4,8 @@ A text is lower-cased (A-Z) and cut into words; rules are regular expressions
 over the words joined by single spaces, so punctuation and line breaks do not
 matter.  Hundreds of rules come from the table below: every license with its
 names and versions, through the forms in which notices cite them.  A rule
-carries a keyword that must be in the text before its regex runs, a priority
-and a confidence.
+carries a keyword of its own phrase that must be in the text before its regex
+runs, a priority and a confidence; no other gate stands before the rules.
 
 Overlaps: detections are taken by priority, then length, then start; one whose
 words lie inside an already kept one is suppressed, so "apache license version
@@ -108,22 +108,30 @@ def rules() -> tuple[Rule, ...]:
     out = []
     for label, keyword, names, versions in FAMILIES:
         for name in names:
+            word = keyword if keyword in name else max(set(name.split()) - {"license"}, key=lambda w: (len(w), w))
             for v in versions:
                 major, _, minor = v.partition(".")
                 words = f"(?:{major}[ ]{minor}|{major})" if minor in ("", "0") and minor else f"{major}[ ]{minor}" if minor else major
                 for form, priority, score in VERSIONED:
-                    out.append((f"{label}-{v}", keyword, form.format(n=name, v=words), priority, score))
+                    out.append((f"{label}-{v}", word, form.format(n=name, v=words), priority, score))
             for form, priority, score in BARE:
                 if form != "{n}" or name not in SHORT:
-                    out.append((label, keyword, form.format(n=name), priority, score))
+                    out.append((label, word, form.format(n=name), priority, score))
     made = [Rule(lab, key.encode(), re.compile(rf"(?<= ){pattern}(?= )".encode()), pr, sc)
             for lab, key, pattern, pr, sc in dict.fromkeys(out)]
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
+@lru_cache(maxsize=1)
+def _by_keyword() -> dict[bytes, list[Rule]]:
+    out: dict[bytes, list[Rule]] = {}
+    for rule in rules():
+        out.setdefault(rule.keyword, []).append(rule)
+    return out
+
+
 #: Every byte that is no part of a word becomes a space.
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_ANCHOR = re.compile(b"licen|spdx|gpl|cc|domain|rights|gnu|mit|apache|mpl|wtfpl|public|bsd|isc|zlib")
 
 
 def words_joined(text: str) -> tuple[bytes, int]:
@@ -146,12 +154,9 @@ def base_places(line: bytes) -> list[tuple[int, str]]:
 def detect(line: bytes) -> list[tuple[int, int, str, float]]:
     """Kept detections (byte start, byte end, label, score) after suppression."""
     hits = []
-    if _ANCHOR.search(line):
-        present: dict[bytes, bool] = {}
-        for rule in rules():
-            if rule.keyword not in present:
-                present[rule.keyword] = rule.keyword in line
-            if present[rule.keyword]:
+    for keyword, own in _by_keyword().items():
+        if keyword in line:
+            for rule in own:
                 hits += [(rule.priority, m.start(), m.end(), rule.label, rule.score) for m in rule.regex.finditer(line)]
     hits.sort(key=lambda h: (-h[0], h[1] - h[2], h[1], h[3]))
     return sorted(_uncovered([h[1:] for h in hits]))
