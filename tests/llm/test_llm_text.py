@@ -181,6 +181,22 @@ def test_license_rules(text, labels):
     assert ",".join(sorted({d[2] for d in licenses.detect(licenses.words_joined(text)[0])})) == labels
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("// SPDX-License-Identifier: Apache-2.0\npackage x", "apache-2.0"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: EPL-2.0", "epl-2.0"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-2-Clause", "apache-2.0,bsd-2-clause,mit"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT-0", "gpl-2.0,mit-0"),
+    ("SPDX-License-Identifier: LicenseRef-Own-1 OR LGPL-2.1-only", "lgpl-2.1"), ("SPDX-License-Identifier: GPL-2.0+ copyright me and mit", "gpl-2.0"),
+    ("under GPLv2", "gpl-2.0"), ("GPLv3+", "gpl-3.0"), ("LGPLv3 or LGPLv2.1", "lgpl-2.1,lgpl-3.0"), ("Mozilla Public License, v. 2.0", "mpl-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided", "bsd"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+     "software without", "bsd-3-clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc")])
+def test_license_ids_and_bodies(text, labels):
+    assert ",".join(sorted({d[2] for d in licenses.detect(licenses.words_joined(text)[0])})) == labels
+
+
 def shortest(parsed):
     """The shortest text of a parsed regular expression, first branches taken."""
     out = ""
@@ -190,6 +206,8 @@ def shortest(parsed):
             out += chr(arg)
         elif name == "IN":
             out += chr(arg[0][1])
+        elif name == "NOT_LITERAL":
+            out += "z"
         elif name == "BRANCH":
             out += shortest(arg[1][0])
         elif name == "SUBPATTERN":

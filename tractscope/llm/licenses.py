@@ -3,7 +3,9 @@
 A text is lower-cased (A-Z) and cut into words; rules are regular expressions
 over the words joined by single spaces, so punctuation and line breaks do not
 matter.  Hundreds of rules come from the table below: every license with its
-names and versions, through the forms in which notices cite them.  A rule
+names and versions, through the forms in which notices cite them; beside them
+stand rules of SPDX short ids, versions joined to a name (GPLv2) and sentences
+of license bodies.  A rule
 carries a keyword of its own phrase that must be in the text before its regex
 runs, a priority and a confidence; no other gate stands before the rules.
 
@@ -81,8 +83,8 @@ FAMILIES = (
 # (form, priority, confidence); the last two columns say what the form needs.
 VERSIONED = (
     (r"spdx license identifier {n} {v}", 90, 1.0),
-    (r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{n} (?:version |v)?{v}", 80, 0.98),
-    (r"{n} (?:as published by the free software foundation )?(?:either )?(?:version |v)?{v}(?: or later| only)?", 70, 0.95),
+    (r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{n} (?:version |v ?)?{v}", 80, 0.98),
+    (r"{n} (?:as published by the free software foundation )?(?:either )?(?:version |v ?)?{v}(?: or later| only)?", 70, 0.95),
 )
 BARE = (
     (r"spdx license identifier {n}", 60, 0.9),
@@ -92,6 +94,74 @@ BARE = (
 )
 SHORT = {"mpl", "isc", "gpl"}  # names too short to count alone
 
+# SPDX short ids; the label is the id in lower case, unless named.
+SPDX = """
+0BSD AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 APSL-1.0 APSL-2.0 Artistic-1.0
+Artistic-1.0-Perl Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear
+BSD-3-Clause-LBNL BSD-4-Clause BSD-4-Clause-UC BSL-1.0 BUSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-1.0
+CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-1.0 CC-BY-NC-ND-2.0 CC-BY-NC-ND-2.5 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0
+CC-BY-NC-SA-1.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-2.5 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-1.0 CC-BY-ND-2.0 CC-BY-ND-2.5 CC-BY-ND-3.0
+CC-BY-ND-4.0 CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.0 CECILL-2.1 CECILL-B
+CECILL-C CPAL-1.0 CPL-1.0 curl ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.0 EUPL-1.1 EUPL-1.2 FTL GFDL-1.1 GFDL-1.2 GFDL-1.3
+GPL-1.0 GPL-2.0 GPL-3.0 HPND ICU IJG IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0 Libpng LPL-1.02 LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1
+MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA NPOSL-3.0 ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1 OLDAP-2.8 OpenSSL OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0
+PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SISSL Sleepycat SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim
+W3C WTFPL X11 Xnet Zlib zlib-acknowledgement ZPL-2.0 ZPL-2.1
+""".split()
+SPDX_LABEL = {"Python-2.0": "python-2", "PSF-2.0": "python-2"}
+# Exceptions and own ids that stand in SPDX expressions and are no license here.
+SPDX_OTHER = r"(?:[^ ]+ )?(?:[^ ]+ )?exception(?: [0-9]+)*|linux syscall note|(?:documentref [^ ]+ )?licenseref(?: [^ ]+){1,3}?|none|noassertion"
+# Names whose version is written into the word (GPLv2, LGPL3, Apache2).
+JOINED = (
+    ("agpl", "agpl", ("1.0", "3.0")), ("lgpl", "lgpl", ("2.0", "2.1", "3.0")), ("gpl", "gpl", ("1.0", "2.0", "3.0")),
+    ("gfdl", "gfdl", ("1.1", "1.2", "1.3")), ("apache", "apache", ("1.0", "1.1", "2.0")), ("mpl", "mpl", ("1.0", "1.1", "2.0")),
+    ("epl", "epl", ("1.0", "2.0")), ("eupl", "eupl", ("1.0", "1.1", "1.2")), ("cddl", "cddl", ("1.0", "1.1")),
+)
+# Characteristic sentences of license bodies: label, keyword, words, confidence.
+BODIES = (
+    ("mit", "granted", "permission is hereby granted free of charge", 0.7),
+    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+                       "documentation files(?: the software)? to deal in the software without restriction", 0.97),
+    ("ncsa", "granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+                        "documentation files(?: the software)? to deal with the software without restriction", 0.95),
+    ("bsl-1.0", "granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+                           "accompanying documentation", 0.97),
+    ("ofl", "granted", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 0.97),
+    ("0bsd", "granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby "
+                        "granted", 0.85),
+    ("isc", "granted", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby "
+                       "granted provided that", 0.95),
+    ("postgresql", "granted", "permission to use copy modify and distribute this software and its documentation for any purpose without fee "
+                              "and without a written agreement is hereby granted", 0.95),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms(?: with or without modification)?(?: are permitted)?", 0.85),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+                                        "following disclaimer in the documentation and or other materials provided with the distribution this "
+                                        "software is provided", 0.93),
+    ("bsd-3-clause", "endorse", "neither the names? of (?:[^ ]+ ){1,20}?may be used to endorse or promote products derived from this software",
+     0.9),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display", 0.93),
+    ("apache-2.0", "reproduction", "terms and conditions for use reproduction and distribution", 0.85),
+    ("apache-2.0", "required", "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+                               "on an as is basis", 0.9),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+     0.6),
+    ("gpl-2.0", "freedom", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu "
+                           "general public license is", 0.95),
+    ("lgpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu "
+                        "general public licenses are", 0.9),
+    ("gpl-3.0", "freedom", "the licenses for most software and other practical works are designed to take away your freedom to share and change "
+                           "the works by contrast the gnu general public license is", 0.95),
+    ("agpl-3.0", "freedom", "the licenses for most software and other practical works are designed to take away your freedom to share and change "
+                            "the works by contrast our general public licenses are", 0.95),
+    ("zlib", "liable", "this software is provided as is without any express or implied warranty in no event will the authors? be held liable for "
+                       "any damages arising from the use of this software", 0.93),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0.97),
+    ("wtfpl", "fuck", "(?:you just )?do what the fuck you want to(?: public license)?", 0.9),
+    ("cc0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain", 0.95),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 0.85),
+    ("python", "python", "this license agreement is between the python software foundation", 0.95),
+)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -102,6 +172,25 @@ class Rule:
     score: float
 
 
+def _hand_written() -> list[tuple[str, str, str, int, float]]:
+    """Rules of SPDX short ids, joined versions and license bodies."""
+    out = []
+    ids = {i: re.sub("[^a-z0-9]+", " ", i.lower()) for i in SPDX}
+    known = "|".join([*sorted(ids.values(), key=len, reverse=True), SPDX_OTHER])
+    # the ids of an expression ("MIT OR GPL-2.0-only WITH ...") are labelled one by one: a rule's group is its place
+    before = rf"spdx license identifier (?:(?:{known})(?: only| or later)? (?:or|and|with) )*"
+    for i, words in ids.items():
+        label = SPDX_LABEL.get(i, i.lower())
+        out.append((label, "spdx", rf"{before}({words}(?: only| or later)?)", 95, 1.0))
+        out.append((label, max(words.split(), key=len),
+                    rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{words}", 75, 0.9))
+    for label, name, versions in JOINED:
+        for v in versions:
+            major, _, minor = v.partition(".")
+            out.append((f"{label}-{v}", name, rf"(?:gnu )?{name}v?{major}" + (rf"[ ]{minor}" if minor != "0" else "(?:[ ]0)?"), 70, 0.9))
+    return out + [(label, keyword, words, 85, score) for label, keyword, words, score in BODIES]
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first."""
@@ -117,6 +206,7 @@ def rules() -> tuple[Rule, ...]:
             for form, priority, score in BARE:
                 if form != "{n}" or name not in SHORT:
                     out.append((label, word, form.format(n=name), priority, score))
+    out += _hand_written()
     made = [Rule(lab, key.encode(), re.compile(rf"(?<= ){pattern}(?= )".encode()), pr, sc)
             for lab, key, pattern, pr, sc in dict.fromkeys(out)]
     return tuple(sorted(made, key=lambda r: -r.priority))
@@ -157,7 +247,7 @@ def detect(line: bytes) -> list[tuple[int, int, str, float]]:
     for keyword, own in _by_keyword().items():
         if keyword in line:
             for rule in own:
-                hits += [(rule.priority, m.start(), m.end(), rule.label, rule.score) for m in rule.regex.finditer(line)]
+                hits += [(rule.priority, *m.span(m.lastindex or 0), rule.label, rule.score) for m in rule.regex.finditer(line)]
     hits.sort(key=lambda h: (-h[0], h[1] - h[2], h[1], h[3]))
     return sorted(_uncovered([h[1:] for h in hits]))
 
