@@ -221,6 +221,27 @@ def test_odd_pages(page, text):
     assert html_mincut.main_text(page) == text
 
 
+LONG_P = "The council voted on the new bridge after a long debate on Tuesday evening, and the work is to begin in the spring of next year."
+SHORT_P = "A second reading follows in May."
+NAV = '<nav><a href="/">Home</a> <a href="/news">News</a></nav>'
+
+
+@pytest.mark.parametrize("page", [
+    "<html class='has-sidebar'><body class='right-sidebar'>{}</body></html>", "<body class='right-sidebar'><div class='post'>{}</div></body>",
+    "<body class='footer-social'><article>{}</article></body>", f"<body><form id='aspnetForm'>{NAV}<div id='content'>{{}}</div></form></body>",
+    f"<body>{NAV}<form><div class='menu with sidebar'>{{}}</div></form><footer>About us.</footer></body>"])
+def test_page_wide_wrappers_blank_no_article(page):
+    paragraphs = f"<p>{LONG_P}</p><p>{SHORT_P}</p><p>{LONG_P}</p>"
+    assert html_mincut.main_text(page.format(paragraphs)) == "\n\n".join([LONG_P, SHORT_P, LONG_P])
+
+
+def test_large_boilerplate_beside_an_article_stays_out():
+    for wrap in ("<div class='comments'>{}</div>", "<form>{}</form>", "<nav>{}</nav>"):
+        page = f"<body><article><p>{LONG_P}</p></article>" + wrap.format(f"<p>I like it. {LONG_P}</p>" * 30) + "</body>"
+        assert html_mincut.main_text(page) == LONG_P
+    assert html_mincut.main_text(f"<body>{NAV}</body>") == html_mincut.main_text("<body><div class='ad'>Buy now</div></body>") == ""
+
+
 def test_flow_is_the_minimum_cut():
     rng = random.Random(9)
     for _ in range(60):

@@ -7,7 +7,9 @@
 2. A classifier scores every block as log odds of content: evidence of its
    ancestors (element names, words of class, id and role), link share, length
    and sentence marks.  The positive or negative part becomes the capacity
-   towards source or sink.
+   towards source or sink.  Names on ``html`` and ``body`` say nothing, nor
+   does the penalty of a page-wide wrapper: an element that holds nearly all
+   text, with no content of any length outside.
 3. Smoothness edges: neighbours in page order, the stronger the fewer elements
    part them in the tree, and blocks of one parent with the next of that parent.
    Capacities are integers.
@@ -59,6 +61,8 @@ HINTS = (
     (re.compile(r"(?:^|[\s_-])(?:header|masthead|head|top|site-?header)(?:$|[\s_-])"), -50),
 )
 PRIOR, LINKED, SENTENCE, LONG, SHORT = -5, -60, 10, 20, -5
+PAGE_WIDE, OUTSIDE = 0.9, 120            # share of the text in a wrapper, and content (characters) outside that makes it none
+OWN_KIND = frozenset("nav footer menu".split())  # never a wrapper by name
 NEAR, APART, SAME_PARENT = 12, 3, 8     # smoothness capacities
 FIRM = 4                                # weight of evidence against smoothness
 
@@ -75,8 +79,10 @@ class Element:
     name: str
     parent: "Element | None"
     depth: int
-    evidence: int
+    own: int          # evidence of its name
+    hint: int         # and of its class, id and role
     hidden: bool
+    evidence: int = 0  # with its ancestors'
 
 
 @dataclass
@@ -87,21 +93,54 @@ class Block:
     text: str = ""
 
 
-def _evidence(name: str, attrs: str, parent: Element) -> tuple[int, bool]:
-    """What an element says of the text in it, and whether it is shown."""
-    score = parent.evidence + ELEMENT.get(name, 0)
+def _evidence(name: str, attrs: str, parent: Element) -> tuple[int, int, bool]:
+    """What an element says of the text in it, by its name and by its class, id
+    and role, and whether it is hidden."""
+    own, hint = ELEMENT.get(name, 0), 0
     if attrs:
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower()
-        if names:
-            score += next((s for p, s in HINTS if p.search(names)), 0)
+        if names and name not in ("html", "body"):
+            hint = next((s for p, s in HINTS if p.search(names)), 0)
         if "hidden" in attrs or "none" in attrs:
-            return score, parent.hidden or bool(_HIDDEN.search(attrs))
-    return score, parent.hidden
+            return own, hint, parent.hidden or bool(_HIDDEN.search(attrs))
+    return own, hint, parent.hidden
+
+
+def _weigh(elements: list[Element], blocks: list[Block]) -> None:
+    """Sum the evidence over ancestors, without the penalties of page-wide wrappers.
+
+    ``elements``: parents before their children."""
+    def total() -> None:
+        for e in elements:
+            e.evidence = (e.parent.evidence if e.parent else 0) + e.own + e.hint
+
+    def within(weights: list[int]) -> dict[int, int]:
+        held = dict.fromkeys(map(id, elements), 0)
+        for b, w in zip(blocks, weights):
+            held[id(b.element)] += w
+        for e in reversed(elements):
+            if e.parent:
+                held[id(e.parent)] += held[id(e)]
+        return held
+
+    total()
+    if not any(e.own < 0 or e.hint < 0 for e in elements):
+        return
+    chars = [len(b.text) for b in blocks]
+    held, content = within(chars), within([n if log_odds(b) > 0 else 0 for n, b in zip(chars, blocks)])
+    root = id(elements[0])
+    for e in elements[1:]:
+        if held[id(e)] >= PAGE_WIDE * held[root] and content[root] - content[id(e)] < OUTSIDE:
+            e.hint = max(e.hint, 0)
+            if e.name not in OWN_KIND:
+                e.own = max(e.own, 0)
+    total()
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, each with its element."""
-    root = Element("#root", None, 0, 0, False)
+    root = Element("#root", None, 0, 0, 0, False)
+    elements = [root]
     at, link, block = root, 0, None
     out: list[Block] = []
 
@@ -174,12 +213,13 @@ def blocks_of(page: str) -> list[Block]:
         if name not in BLOCKS:
             if name == "br":
                 add(" ")
-            elif name not in VOID and (score := _evidence(name, m[3], at)) and (score[0] <= at.evidence - 50 or score[1] and not at.hidden):
+            elif name not in VOID and (score := _evidence(name, m[3], at)) and (score[0] + score[1] <= -50 or score[2] and not at.hidden):
                 # an inline element that hides or marks boilerplate: its own block
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos, end)
                 inner, pos = page[pos:close.start() if close else end], close.end() if close else end
-                if not score[1]:
-                    keep, at = at, Element(name, at, at.depth + 1, score[0], False)
+                if not score[2]:
+                    keep, at = at, Element(name, at, at.depth + 1, *score)
+                    elements.append(at)
                     block = None
                     add(re.sub(r"<[^>]*>", " ", inner))
                     at, block = keep, None
@@ -194,11 +234,13 @@ def blocks_of(page: str) -> list[Block]:
         if name == "body" or name not in ("head", "html"):
             if at.name == "head":
                 at = at.parent or root
-        score, hidden = _evidence(name, m[3], at)
-        at = Element(name, at, at.depth + 1, score, hidden)
+        at = Element(name, at, at.depth + 1, *_evidence(name, m[3], at))
+        elements.append(at)
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _weigh(elements, out)
+    return out
 
 
 def log_odds(block: Block) -> int:
