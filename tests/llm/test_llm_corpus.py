@@ -242,6 +242,21 @@ def test_large_boilerplate_beside_an_article_stays_out():
     assert html_mincut.main_text(f"<body>{NAV}</body>") == html_mincut.main_text("<body><div class='ad'>Buy now</div></body>") == ""
 
 
+@pytest.mark.parametrize("tag", ["<button>Press", "<select><option>One", "<svg><path d='x'>", "<object>", "<canvas>", "<span class='share'>Tell others",
+                                 "<span class='share'><b>Tell</b> <span>others</span>", "<i style='display:none'>no"])
+@pytest.mark.parametrize("later", ["", "<p><button>Go</button> <span>on</span> <i>now</i></p>"])
+def test_unclosed_elements_end_at_the_next_block(tag, later):
+    page = f"<article><p>{LONG_P}</p><div>{tag}<p>{LONG_P} Then.</p></div>{later}<p>{SHORT_P}</p></article>"
+    blocks = html_mincut.main_text(page).split("\n\n")
+    assert blocks[0] == LONG_P and f"{LONG_P} Then." in blocks and blocks[-1] == SHORT_P
+
+
+def test_formulas_stay_and_closed_raw_elements_go():
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
+    page = f"<article><p>Here {formula} holds. {LONG_P}</p><p>{LONG_P} <svg><svg><text>no</text></svg><p>no</p></svg>{SHORT_P}</p></article><script>no <p>no"
+    assert html_mincut.main_text(page) == f"Here x=2 holds. {LONG_P}\n\n{LONG_P} {SHORT_P}"
+
+
 def test_flow_is_the_minimum_cut():
     rng = random.Random(9)
     for _ in range(60):

@@ -21,7 +21,9 @@ are never text.  No length cap; whole pages.
 
 Defined cases: a null, empty or text-free page gives "" and 0; a page without
 any markup is one block of content; unclosed or truncated markup is closed at
-the end, an unfinished tag is dropped; repeated rows give repeated results;
+the end, an unclosed raw or boilerplate inline element at the next block
+boundary (script, style, textarea and title at the end); formulas (``math``)
+are text; an unfinished tag is dropped; repeated rows give repeated results;
 other columns are ignored.
 """
 
@@ -38,7 +40,9 @@ from .common import map_rows
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title svg math iframe object canvas select button option datalist".split())
+RAW = frozenset("script style template noscript textarea title svg iframe object canvas select button option datalist "
+                "annotation annotation-xml".split())
+TO_THE_END = frozenset("script style textarea title".split())  # unclosed, these hold the rest of the page
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
@@ -68,6 +72,7 @@ FIRM = 4                                # weight of evidence against smoothness
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _TOKEN_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_BOUNDARY = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS, key=len, reverse=True))})(?=[\s/>])", re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _UNFINISHED = re.compile(r"<(?:[A-Za-z/!?][^>]*)?\Z", re.S)
@@ -137,6 +142,19 @@ def _weigh(elements: list[Element], blocks: list[Block]) -> None:
     total()
 
 
+def _ends(page: str, name: str, end: int) -> dict[int, tuple[int, int]]:
+    """Where each element ``name`` that has its own end tag begins -> its end tag's place."""
+    found: dict[int, tuple[int, int]] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", page[:end], re.I):
+        if m[1]:
+            if opened:
+                found[opened.pop()] = m.span()
+        elif not m[0].endswith("/>"):
+            opened.append(m.start())
+    return found
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, each with its element."""
     root = Element("#root", None, 0, 0, 0, False)
@@ -171,6 +189,20 @@ def blocks_of(page: str) -> list[Block]:
         at, block = e.parent, None
         return True
 
+    known: dict[str, dict[int, tuple[int, int]]] = {}
+
+    def closing(name: str, lt: int) -> tuple[int, int]:
+        """(end of what is in it, where the page goes on) of the raw or inline element that begins at ``lt``."""
+        if name in TO_THE_END:
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, pos, end)
+            return close.span() if close else (end, end)
+        if name not in known:
+            known[name] = _ends(page, name, end)
+        if lt in known[name]:
+            return known[name][lt]
+        edge = _BOUNDARY.search(page, pos, end)
+        return (edge.start(), edge.start()) if edge else (end, end)
+
     pos, end = 0, len(page)
     tail = _UNFINISHED.search(page, max(page.rfind("<"), 0)) if "<" in page else None
     if tail and page[tail.start():tail.start() + 4] != "<!--" and tail.end() - tail.start() > 1:
@@ -205,8 +237,7 @@ def blocks_of(page: str) -> list[Block]:
             link = min(link + 1, 1)
             continue
         if name in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos, end)
-            pos = close.end() if close else end
+            pos = closing(name, lt)[1]
             if name == "title":
                 block = None
             continue
@@ -215,8 +246,8 @@ def blocks_of(page: str) -> list[Block]:
                 add(" ")
             elif name not in VOID and (score := _evidence(name, m[3], at)) and (score[0] + score[1] <= -50 or score[2] and not at.hidden):
                 # an inline element that hides or marks boilerplate: its own block
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos, end)
-                inner, pos = page[pos:close.start() if close else end], close.end() if close else end
+                inner_end, after = closing(name, lt)
+                inner, pos = page[pos:inner_end], after
                 if not score[2]:
                     keep, at = at, Element(name, at, at.depth + 1, *score)
                     elements.append(at)
