@@ -71,6 +71,17 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert mih.nearest_neighbours(df.limit(0)).count() == 0 and mih.nearest_neighbours(df.where("vec_id = 0")).count() == 0
 
 
+def test_no_entry_gathers_the_ids_of_a_common_vector(spark):
+    good = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id").cast("double")).alias("x"))
+    good = good.select("id", F.array("x", F.lit(1.0)).alias("vec")).repartition(4)
+    entries = mih._distinct(good.unionAll(good.where("id < 90")), 20, 20)
+    rows = {r.vec[0]: r.asDict() for r in entries.collect()}
+    assert rows[0.0]["ids"] == list(range(0, 63, 3)) and rows[0.0]["asked"] and rows[20.0]["asked"] and not rows[1.0]["asked"]
+    assert max(len(v) for r in rows.values() for n, v in r.items() if isinstance(v, list)) <= 21
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_index_retrieves_every_code_within_the_radius():
     rng = np.random.default_rng(2)
     code = rng.integers(0, 1 << 16, (3000, 4), dtype=np.uint16)

@@ -23,7 +23,9 @@ Scale: candidates are dealt into blocks of about ``BLOCK`` vectors by a hash of
 their position, queries into blocks of ``QUERY_BLOCK``; each pair of blocks is
 one group (index built, probed, k best kept), so no group grows with the data.
 Equal vectors are one index entry that carries its k + 1 smallest ids, the
-only ones a result can name; equal query vectors are searched once.
+only ones a result can name; equal query vectors are searched once, and their
+asking rows are joined back to what was found (the adaptive skew join splits
+the rows of a common vector), so no task gathers the ids of one vector.
 
 Defined cases: vectors null, empty, zero, of another length than most, or
 holding null or non-finite components take no part; of rows with
@@ -151,7 +153,7 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
     near = max(1, min(round(k * len(sample) / total), len(sample) - 1))
     radius = fit_radius(sample, rotation, longest, near) if len(sample) > 1 else BITS
     n_blocks = max(1, -(-total // BLOCK))
-    asked = entries.where(F.size("askers") > 0)
+    asked = entries.where("asked")
     q_total = asked.count()
     q_blocks = max(1, -(-q_total // QUERY_BLOCK))
     pick = lambda n, salt: F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(n)).cast("int")
@@ -161,7 +163,8 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
     found = query.groupBy("cb", "qb").cogroup(cand.groupBy("cb", "qb")).applyInPandas(
         _search(rotation, float(longest), radius, k), "qid long, id long, score double")
     # back to every asking id: its own row goes, k remain
-    asker = asked.select(F.col("e").alias("a"), F.explode("askers").alias("query_id"))
+    asking = good.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vec").distinct()
+    asker = asking.join(asked.select("vec", F.col("e").alias("a")), "vec").select("a", "query_id")
     pairs = asker.join(found, F.col("a") == F.col("qid")).where(F.col("id") != F.col("query_id"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -169,14 +172,14 @@ def nearest_neighbours(table: DataFrame, k: int = 20, every: int = 20, id_col: s
 
 
 def _distinct(good: DataFrame, k: int, every: int) -> DataFrame:
-    """(vec, ids, askers): the k + 1 smallest ids of each vector and all its ids
-    that ask.  Ids are ranked after a partial step per slice, so copies that
-    make up a third of the table do not meet whole in one task."""
-    slices = good.groupBy("vec", F.pmod(F.xxhash64("id"), F.lit(64)).alias("slice"))
-    part = slices.agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"),
-                      F.filter(F.collect_set("id"), lambda i: i % every == 0).alias("askers"))
-    return part.groupBy("vec").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"),
-                                   F.flatten(F.collect_list("askers")).alias("askers"))
+    """(vec, ids, asked): the k + 1 smallest ids of each vector and whether any
+    of its ids asks.  Of the asking and of the other ids, every task keeps the
+    k + 1 smallest before the shuffle by vector (a window group limit), so
+    copies that make up a third of the table do not meet in one task."""
+    each = good.groupBy("vec", "id").agg((F.col("id") % every == 0).alias("asks"))
+    by = Window.partitionBy("vec", "asks").orderBy("id")
+    least = each.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
+    return least.groupBy("vec").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"), F.max("asks").alias("asked"))
 
 
 def _search(rotation: np.ndarray, longest: float, radius: int, k: int):
