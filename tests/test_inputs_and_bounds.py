@@ -95,3 +95,12 @@ def test_partitioned_files_are_few_and_narrow(spark, scratch):
     files = spark.read.parquet(f"{scratch}/t").select(F.input_file_name().alias("f")).distinct().count()
     assert files <= 7 + 16
     assert spark.read.parquet(f"{scratch}/t").count() == 20000
+
+
+def test_reports_without_a_limit_hold_what_the_limited_ones_cut(spark):
+    from __spark_entry__ import queries
+
+    d, found = "/root/testdata/sf0.01", queries()
+    for name, limit in (("map_points_box", 20), ("hotspots_scale_200", 1000), ("hotspots_scale_1000", 1000)):
+        limited, whole = found[name](spark, d), found[f"{name}_all"](spark, d)
+        assert limited.count() == limit < whole.count() and limited.exceptAll(whole).count() == 0

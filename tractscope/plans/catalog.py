@@ -598,6 +598,12 @@ def map_points_box(spark, d):
     return G.map_points(G.within_box(B.geo(spark, d), *BOX), 20)
 
 
+@register("map_points_box_all", q(f'SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM geo WHERE "LAT" != 0 AND {_BOX_WHERE}'))
+def map_points_box_all(spark, d):
+    """Every known point of the box (the form above is a sample of 20)."""
+    return G.map_points(G.within_box(B.geo(spark, d), *BOX))
+
+
 @register("marker_label", q(f"SELECT \"DR_NO\", substring(coalesce(\"Crm_Cd_Desc\", ''), 1, 80) AS label_box, "
                             f"printf('%s | %.2f km', substring(coalesce(\"Crm_Cd_Desc\", ''), 1, 60), dist_km) "
                             f"AS label_radius FROM {_NEAR_SRC} WHERE dist_km <= {lit(RADIUS_KM)}"))
@@ -898,6 +904,11 @@ for _scale in (200, 1000):  # the report's other grid scales
         f'{grid_i(chr(34) + "LAT_d" + chr(34), _scale)} AS lat_i, {grid_i(chr(34) + "LON_d" + chr(34), _scale)} AS lon_i, '
         f'count(*) AS count FROM geo GROUP BY 1, 2 ORDER BY count DESC, lat_i, lon_i LIMIT 1000)'))(
         lambda spark, d, scale=_scale: G.hotspots(B.geo(spark, d), scale, 1000))
+    register(f"hotspots_scale_{_scale}_all", q(  # every cell (the form above is a top 1,000)
+        f'SELECT *, lat_i / {_scale}.0::DOUBLE AS lat_grid, lon_i / {_scale}.0::DOUBLE AS lon_grid FROM (SELECT '
+        f'{grid_i(chr(34) + "LAT_d" + chr(34), _scale)} AS lat_i, {grid_i(chr(34) + "LON_d" + chr(34), _scale)} AS lon_i, '
+        f'count(*) AS count FROM geo GROUP BY 1, 2)'))(
+        lambda spark, d, scale=_scale: G.hotspots(B.geo(spark, d), scale))
 
 
 # ============================================================ flagship
