@@ -11,8 +11,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_mincut, licenses, mih, packing, pii, quality, secret_scan, simhash, wordbpe
+from . import chat, html_mincut, licenses, mih, packing, pii, quality, runs, secret_scan, sharding, simhash, vector_codes, wordbpe
 from .common import read
+from .twins import RUNS, SHARDING, VECTOR_CODES
 
 #: What conversation -1 says: control strings inside texts must survive.
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -61,12 +62,28 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.pii_spans(read(spark, d, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(runs.with_cycles(read(spark, d, "documents"))))
+
+
+def op12_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.shard_rows(read(spark, d, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, d: str) -> DataFrame:
+    return vector_codes.compress_vectors(read(spark, d, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_nearest, op4_chat_format, op5_quality_rules, op6_bpe,
-                                   op7_packing, op8_simhash, op9_html_text, op10_pii)}
+                                   op7_packing, op8_simhash, op9_html_text, op10_pii, op11_periodic_runs,
+                                   op12_sharding, op13_vector_codes)}
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 _TURN = "strlen('<|im_start|>') + length({role}) + 1 + length({text}) + strlen('<|im_end|>') + 1"
 ORACLE = {
+    "op11_periodic_runs": RUNS,
+    "op12_sharding": SHARDING,
+    "op13_vector_codes": VECTOR_CODES,
     "op4_chat_format": f"""
 WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
