@@ -73,6 +73,7 @@ FIRM = 4                                # weight of evidence against smoothness
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _TOKEN_LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _BOUNDARY = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS, key=len, reverse=True))})(?=[\s/>])", re.I)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)[^>]*>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _UNFINISHED = re.compile(r"<(?:[A-Za-z/!?][^>]*)?\Z", re.S)
@@ -142,16 +143,17 @@ def _weigh(elements: list[Element], blocks: list[Block]) -> None:
     total()
 
 
-def _ends(page: str, name: str, end: int) -> dict[int, tuple[int, int]]:
-    """Where each element ``name`` that has its own end tag begins -> its end tag's place."""
+def _ends(page: str, end: int) -> dict[int, tuple[int, int]]:
+    """Where each element that has its own end tag begins -> its end tag's place, in one pass over the page."""
     found: dict[int, tuple[int, int]] = {}
-    opened: list[int] = []
-    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", page[:end], re.I):
+    opened: dict[str, list[int]] = {}
+    for m in _TAG.finditer(page, 0, end):
+        name = m[2].lower()
         if m[1]:
-            if opened:
-                found[opened.pop()] = m.span()
+            if opened.get(name):
+                found[opened[name].pop()] = m.span()
         elif not m[0].endswith("/>"):
-            opened.append(m.start())
+            opened.setdefault(name, []).append(m.start())
     return found
 
 
@@ -176,34 +178,54 @@ def blocks_of(page: str) -> list[Block]:
         if link:
             block.linked += len(text)
 
+    # the open elements of each name, so that an end tag without one costs nothing however deep the page is
+    opened: dict[str, list[Element]] = {}
+
+    def enter(e: Element) -> None:
+        nonlocal at
+        at = e
+        opened.setdefault(e.name, []).append(e)
+
+    def leave() -> None:
+        nonlocal at
+        opened[at.name].pop()
+        at = at.parent or root
+
+    def nearest(names: frozenset[str] | set[str]) -> Element | None:
+        return max((opened[n][-1] for n in names if opened.get(n)), key=lambda e: e.depth, default=None)
+
     def close_to(names: frozenset[str] | set[str], stop: frozenset[str] | set[str]) -> bool:
         """Close the nearest open element of ``names``, unless one of ``stop`` is nearer."""
-        nonlocal at, block
-        e = at
-        while e.parent is not None and e.name not in names:
-            if e.name in stop:
-                return False
-            e = e.parent
-        if e.parent is None:
+        nonlocal block
+        target = nearest(names)
+        if target is None:
             return False
-        at, block = e.parent, None
+        barrier = nearest(stop - names)
+        if barrier is not None and barrier.depth > target.depth:
+            return False
+        while at is not target:
+            leave()
+        leave()
+        block = None
         return True
 
-    known: dict[str, dict[int, tuple[int, int]]] = {}
+    known: dict[int, tuple[int, int]] | None = None
 
     def closing(name: str, lt: int) -> tuple[int, int]:
         """(end of what is in it, where the page goes on) of the raw or inline element that begins at ``lt``."""
+        nonlocal known
         if name in TO_THE_END:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, pos, end)
             return close.span() if close else (end, end)
-        if name not in known:
-            known[name] = _ends(page, name, end)
-        if lt in known[name]:
-            return known[name][lt]
+        if known is None:
+            known = _ends(page, min(end, last_gt + 1))
+        if lt in known:
+            return known[lt]
         edge = _BOUNDARY.search(page, pos, end)
         return (edge.start(), edge.start()) if edge else (end, end)
 
     pos, end = 0, len(page)
+    last_gt = page.rfind(">")  # no tag that begins later is finished
     tail = _UNFINISHED.search(page, max(page.rfind("<"), 0)) if "<" in page else None
     if tail and page[tail.start():tail.start() + 4] != "<!--" and tail.end() - tail.start() > 1:
         end = tail.start()
@@ -214,8 +236,8 @@ def blocks_of(page: str) -> list[Block]:
         if lt < 0:
             add(page[pos:end])
             break
-        m = token.match(page, lt, end)
-        if m is None:
+        m = token.match(page, lt, end) if lt < last_gt or page[lt + 1:lt + 2] in ("!", "?") else None
+        if m is None and lt < last_gt:
             m = _TOKEN_LOOSE.match(page, lt, end)
         if m is None:  # a bare "<" is text
             add(page[pos:lt + 1])
@@ -264,8 +286,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "body" or name not in ("head", "html"):
             if at.name == "head":
-                at = at.parent or root
-        at = Element(name, at, at.depth + 1, *_evidence(name, m[3], at))
+                leave()
+        enter(Element(name, at, at.depth + 1, *_evidence(name, m[3], at)))
         elements.append(at)
     for b in out:
         b.text = " ".join("".join(b.parts).split())
