@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tractscope.plans import frames  # noqa: E402
-from tractscope.plans.catalog import CATALOG  # noqa: E402
+from tractscope.plans.registry import CATALOG  # noqa: E402
 from tractscope.session import build_session  # noqa: E402
 
 HEADLINE = [

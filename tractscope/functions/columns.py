@@ -7,7 +7,7 @@ inside whole-stage codegen and can be pushed or pruned by Catalyst.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,8 +74,10 @@ def day_part(hour: str | Column) -> Column:
 
 def grid_index(c: str | Column, scale: int) -> Column:
     """Integer cell index on a lattice of ``1/scale`` degrees (floor, so
-    negative longitudes move west)."""
-    return F.floor(_col(c) * F.lit(scale))
+    negative longitudes move west); null where the coordinate is not finite
+    (the floor of NaN would be cell 0)."""
+    v = _col(c)
+    return F.when(F.abs(v.cast("double")) < F.lit(float("inf")), F.floor(v * F.lit(scale)))
 
 
 def haversine_km(lat0: float | Column, lon0: float | Column,
@@ -146,10 +148,11 @@ def hex_center(lattice: str | Column, col: str | Column, row: str | Column, grid
             F.lit(ymin) + (_col(row) + offset) * F.lit(sy))
 
 
-def stable_share(key: str | Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the key alone: the first 32 bits of
-    the MD5 of ``seed|key``.  Unlike ``sample``/``randomSplit`` it does not
+def stable_share(key: str | Column | Sequence[str], seed: int) -> Column:
+    """A number in [0, 1) that depends on the key alone (a column, or several
+    by name): the first 32 bits of the MD5 of ``seed|key``.  Unlike ``sample``/``randomSplit`` it does not
     depend on the partitioning, and unlike key arithmetic it is even on any
     pattern of keys."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), _col(key).cast("string")))
+    parts = [key] if isinstance(key, (str, Column)) else list(key)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[_col(p).cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -592,15 +592,9 @@ def map_points(spark, d):
     return G.map_points(B.clean(spark, d))
 
 
-@register("map_points_box", q(f'SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM geo WHERE "LAT" != 0 AND {_BOX_WHERE} '
-                              f'ORDER BY {_SHARE_SQL}, "DR_NO" LIMIT 20'))
+@register("map_points_box", q(f'SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM geo WHERE "LAT" != 0 AND {_BOX_WHERE}'))
 def map_points_box(spark, d):
-    return G.map_points(G.within_box(B.geo(spark, d), *BOX), 20)
-
-
-@register("map_points_box_all", q(f'SELECT "DR_NO", "LAT", "LON", "Crm_Cd_Desc" FROM geo WHERE "LAT" != 0 AND {_BOX_WHERE}'))
-def map_points_box_all(spark, d):
-    """Every known point of the box (the form above is a sample of 20)."""
+    """Every known point of the box."""
     return G.map_points(G.within_box(B.geo(spark, d), *BOX))
 
 
@@ -676,7 +670,7 @@ def correlation_long(spark, d):
 
 
 _SPLIT_SQL = ("CASE WHEN ('0x' || substr(md5(concat_ws('|', '42', spa, CAST(\"Occured_Year\" AS VARCHAR), "
-              "CAST(\"Occured_Month\" AS VARCHAR))), 1, 8))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END")
+              "CAST(\"Occured_Month\" AS VARCHAR))), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.8 THEN 'train' ELSE 'test' END")
 
 
 @register("split_by_key", q(f'SELECT spa, "Occured_Year", "Occured_Month", {_SPLIT_SQL} AS split '
@@ -898,13 +892,8 @@ def cluster_totals_all(spark, d):
     return M.cluster_totals(M.assign_nearest(G.hotspots(B.geo(spark, d), SCALE), FIXED_CENTERS))
 
 
-for _scale in (200, 1000):  # the report's other grid scales
+for _scale in (200, 1000):  # the report's other grid scales, every cell
     register(f"hotspots_scale_{_scale}", q(
-        f'SELECT *, lat_i / {_scale}.0::DOUBLE AS lat_grid, lon_i / {_scale}.0::DOUBLE AS lon_grid FROM (SELECT '
-        f'{grid_i(chr(34) + "LAT_d" + chr(34), _scale)} AS lat_i, {grid_i(chr(34) + "LON_d" + chr(34), _scale)} AS lon_i, '
-        f'count(*) AS count FROM geo GROUP BY 1, 2 ORDER BY count DESC, lat_i, lon_i LIMIT 1000)'))(
-        lambda spark, d, scale=_scale: G.hotspots(B.geo(spark, d), scale, 1000))
-    register(f"hotspots_scale_{_scale}_all", q(  # every cell (the form above is a top 1,000)
         f'SELECT *, lat_i / {_scale}.0::DOUBLE AS lat_grid, lon_i / {_scale}.0::DOUBLE AS lon_grid FROM (SELECT '
         f'{grid_i(chr(34) + "LAT_d" + chr(34), _scale)} AS lat_i, {grid_i(chr(34) + "LON_d" + chr(34), _scale)} AS lon_i, '
         f'count(*) AS count FROM geo GROUP BY 1, 2)'))(

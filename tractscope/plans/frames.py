@@ -2,27 +2,33 @@
 
 The lazy frames are memoized per session and folder, as a long-running
 report keeps its loaded frame: later queries skip re-listing the files and
-re-analysing the same cleaning plan.  Only plans are kept, never data;
-``forget`` drops them (e.g. after the folder's files change).
+re-analysing the same cleaning plan.  Only plans and the places of stored
+tables are kept, never data; ``forget`` drops them (e.g. after the folder's files change).
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import clean as C
+from ..operators import cube
 from ..operators import enrich as J
+from ..operators.cube import CountCube
+from ..session import ensure_checkpoint_dir
 from ..sources import load_incidents, load_tracts
 
+Held = TypeVar("Held")
 _SLOT = "_tractscope_frames"  # kept on the session, so the frames go with it
 
 
-def _memo(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _memo(fn: Callable[[SparkSession, str], Held]) -> Callable[[SparkSession, str], Held]:
     @functools.wraps(fn)
-    def wrapper(spark: SparkSession, d: str) -> DataFrame:
+    def wrapper(spark: SparkSession, d: str) -> Held:
         frames = spark.__dict__.setdefault(_SLOT, {})
         key = (fn.__name__, d)
         if key not in frames:
@@ -92,3 +98,16 @@ def enriched_weighted(spark: SparkSession, d: str) -> DataFrame:
 @_memo
 def geo_fanout(spark: SparkSession, d: str) -> DataFrame:
     return C.valid_geo(enriched_weighted(spark, d))
+
+
+@_memo
+def enriched_both(spark: SparkSession, d: str) -> DataFrame:
+    """J1b's income and J1's multiplicities on one row per incident."""
+    return J.enrich_fanout_weighted(enriched(spark, d), tracts(spark, d))
+
+
+@_memo
+def stored_cube(spark: SparkSession, d: str) -> CountCube:
+    """The count cube of the folder's incidents, stored once per session and
+    folder in the shared checkpoint folder."""
+    return cube.store(enriched_both(spark, d), f"{ensure_checkpoint_dir(spark)}/cube-{uuid.uuid4()}")
