@@ -8,6 +8,7 @@ leaves the JVM and no pair of points is ever formed.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,38 @@ def hotspots_with_region(df: DataFrame, scale: int = 500, k: int | None = None,
     return out if k is None else out.orderBy(F.col("count").desc(), "lat_i", "lon_i").limit(k)
 
 
+def cell_pyramid(df: DataFrame, scales: Sequence[int] = (1000, 500, 200), lat: str = "LAT_d", lon: str = "LON_d",
+                 weight: str | None = None) -> DataFrame:
+    """Counts per cell at several grid scales from one scan: (scale, lat_i,
+    lon_i, count, lat_grid, lon_grid).
+
+    Points are counted at the finest scale and rolled up by integer division.
+    In doubles the floor of a product can differ from the divided floor of the
+    finer product (points on or next to a cell edge); that difference, nearly
+    always 0, is part of the first aggregate's key, so every scale equals its
+    own direct count."""
+    fine = max(scales)
+    ratios = {s: fine // s for s in scales}
+    if any(fine % s for s in scales):
+        raise ValueError(f"scales must divide the finest: {sorted(scales)}")
+    axes = {"lat": lat, "lon": lon}
+    # floor division of an index, negative ones too
+    coarse = lambda c, r: (F.col(c) - F.pmod(F.col(c), F.lit(r))) / F.lit(r)
+    points = df.select(*[X.grid_index(c, fine).alias(f"{a}_i") for a, c in axes.items()], *axes.values(), *([weight] if weight else []))
+    off = {f"{a}_{s}": (X.grid_index(c, s) - coarse(f"{a}_i", r)).cast("int")
+           for s, r in ratios.items() if r > 1 for a, c in axes.items()}
+    counted = (points.select("lat_i", "lon_i", *[e.alias(n) for n, e in off.items()], *([weight] if weight else []))
+               .groupBy("lat_i", "lon_i", *off).agg(_n(weight).alias("n")))
+
+    def cell(axis: str, s: int, r: int) -> F.Column:
+        return F.col(f"{axis}_i") if r == 1 else (coarse(f"{axis}_i", r).cast("long") + F.col(f"{axis}_{s}"))
+
+    each = counted.select(F.explode(F.array(*[
+        F.struct(F.lit(s).alias("scale"), cell("lat", s, r).alias("lat_i"), cell("lon", s, r).alias("lon_i")) for s, r in ratios.items()])).alias("c"), "n")
+    return (each.groupBy("c.scale", "c.lat_i", "c.lon_i").agg(F.sum("n").alias("count"))
+            .withColumns({"lat_grid": F.col("lat_i") / F.col("scale"), "lon_grid": F.col("lon_i") / F.col("scale")}))
+
+
 def filter_month(df: DataFrame, year: int, month: int) -> DataFrame:
     return df.filter((F.col("Occured_Year") == year) & (F.col("Occured_Month") == month))
 

@@ -740,9 +740,7 @@ def top_region_per_cluster_fixed(spark, d):
     return M.top_region_per_cluster(_cluster_region(spark, d))
 
 
-# ============================================================ ML, fitted models (rows-only check)
-
-
+# ============================================================ ML, stages of the fitted models
 
 def stored_panel(spark, d) -> DataFrame:
     """The region x month panel, a few hundred rows, written once: the model's
@@ -750,13 +748,6 @@ def stored_panel(spark, d) -> DataFrame:
     return reliable_checkpoint(A.region_month_panel(B.enriched(spark, d)).coalesce(1).sortWithinPartitions(*PANEL_KEYS))
 
 
-def _panel_model(spark, d):
-    panel = stored_panel(spark, d)
-    train, test = M.split_by_key(panel, PANEL_KEYS)
-    model = M.fit_count_model(train)
-    return model, model.transform(test)
-
-
 @register("assembled_features", q(
     f"SELECT spa, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS f{i}' for i, c in enumerate(_PROFILE_COLS))} "
     f"FROM ({_profile_sql('enriched', ['spa'], rounded=False)})"))
@@ -796,83 +787,6 @@ def prediction_pairs_fixed(spark, d):
     return r6(M.prediction_pairs(pred), "prediction", "range_lo", "range_hi")
 
 
-@register("ridge_residual_check", q("SELECT true AS residuals_sum_to_zero"))
-def ridge_residual_check(spark, d):
-    """A ridge fit with an unpenalised intercept leaves training residuals of mean zero."""
-    train, _ = M.split_by_key(stored_panel(spark, d), PANEL_KEYS)
-    pred = M.fit_count_model(train).transform(train)
-    gap = F.abs(F.avg(F.col("crime_count") - F.col("prediction"))) <= F.lit(1e-6) * F.avg("crime_count")
-    return pred.agg(gap.alias("residuals_sum_to_zero"))
-
-
-@register("kmeans_assignment_check", q(f"SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_wrong FROM ({_CLUSTER_INPUT_SQL})"))
-def kmeans_assignment_check(spark, d):
-    """Every cell of the fitted k-means lies nearest to its own center."""
-    model, pred = _kmeans(spark, d)
-    centers = [tuple(map(float, c)) for c in model.clusterCenters()]
-    d2 = lambda c: (F.col("lat_grid") - c[0]) * (F.col("lat_grid") - c[0]) + (F.col("lon_grid") - c[1]) * (F.col("lon_grid") - c[1])
-    own = F.coalesce(*[F.when(F.col("prediction") == i, d2(c)) for i, c in enumerate(centers)])
-    wrong = F.count_if(own > F.least(*[d2(c) for c in centers]) + 1e-12)
-    return pred.agg(F.count(F.lit(1)).alias("n_cells"), wrong.alias("n_wrong"))
-
-
-@register("ridge_predictions")
-def ridge_predictions(spark, d):
-    _, pred = _panel_model(spark, d)
-    return pred.select(*PANEL_KEYS, "crime_count", "prediction")
-
-
-@register("prediction_pairs")
-def prediction_pairs(spark, d):
-    _, pred = _panel_model(spark, d)
-    return M.prediction_pairs(pred)
-
-
-@register("ridge_metrics")
-def ridge_metrics(spark, d):
-    _, pred = _panel_model(spark, d)
-    return M.regression_metrics(pred)
-
-
-@register("ridge_coefficients")
-def ridge_coefficients(spark, d):
-    model, pred = _panel_model(spark, d)
-    return M.coefficient_table(model, pred)
-
-
-def _kmeans(spark, d, k: int = 8):
-    return M.cluster_cells(cluster_input_frame(spark, d), k=k, seed=42)
-
-
-@register("kmeans_cells")
-def kmeans_cells(spark, d):
-    _, pred = _kmeans(spark, d)
-    return pred.drop("features")
-
-
-@register("silhouette")
-def silhouette(spark, d):
-    _, pred = _kmeans(spark, d)
-    return spark.createDataFrame([(8, float(M.silhouette(pred)))], "k int, silhouette double")
-
-
-@register("silhouette_sweep")
-def silhouette_sweep(spark, d):
-    return M.sweep_k(cluster_input_frame(spark, d))
-
-
-@register("cluster_centers")
-def cluster_centers(spark, d):
-    model, _ = _kmeans(spark, d)
-    return M.center_table(model)
-
-
-@register("cluster_summary")
-def cluster_summary(spark, d):
-    _, pred = _kmeans(spark, d)
-    return M.cluster_summary(pred.drop("features"))
-
-
 @register("tracts_from_money", q(
     "SELECT tract, spa, round(coalesce(m, (SELECT avg(CASE WHEN ami_category = 'Low Income' THEN m END) FROM money)), 6) "
     "AS med_hh_income FROM money",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_cube  # noqa: F401  (registers its queries)
+from . import catalog_cube, catalog_models  # noqa: F401  (register their queries)
 from .catalog import CATALOG
 
 __all__ = ["CATALOG"]
