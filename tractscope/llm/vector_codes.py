@@ -43,6 +43,8 @@ from ..operators.joins import join_small
 from .common import arrow_batches, saved
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
+SEARCH_ROWS = 4096   # searched together
+FAR = 1 << 60        # beyond any sum of components
 
 
 def bounds(dim: int, parts: int = PARTS) -> list[tuple[int, int]]:
@@ -56,37 +58,46 @@ class Codebook:
     """Entries of one part position, ready for equal-average search."""
 
     def __init__(self, entries: np.ndarray):
-        self.entries = entries
         sums = entries.sum(axis=1)
         self.order = np.lexsort((np.arange(len(entries)), sums))
-        self.sorted, self.sums = entries[self.order], sums[self.order]
+        self.sorted = entries[self.order]
+        # a sum no part comes near at either end: the search stops there
+        self.sums = np.concatenate([[-FAR], sums[self.order], [FAR]])
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of each row's nearest entry."""
-        n, size, dim = len(x), len(self.sums), max(1, x.shape[1])
-        own = x.sum(axis=1)
-        start = np.searchsorted(self.sums, own)
-        best, index = np.full(n, np.iinfo(np.int64).max), np.full(n, size, dtype=np.int64)
-        up, down = (np.arange(n), start.copy()), (np.arange(n), start - 1)
-        while len(up[0]) or len(down[0]):
-            up = self._step(x, own, best, index, *up, 1, dim)
-            down = self._step(x, own, best, index, *down, -1, dim)
+        n, dim = len(x), max(1, x.shape[1])
+        largest = max(int(np.abs(x).max(initial=0)), int(np.abs(self.sorted).max(initial=0)))
+        # doubles hold the squared distances exactly (and faster) while they stay below 2^53
+        kind = np.float64 if 4 * largest * largest * dim < 1 << 53 else np.int64
+        entries, x = self.sorted.astype(kind), x.astype(kind)
+        own = x.sum(axis=1).astype(np.int64)
+        up = np.searchsorted(self.sums, own)
+        down = up - 1
+        rows = np.arange(n)
+        best, index = np.full(n, np.iinfo(np.int64).max, dtype=np.int64), np.full(n, len(entries), dtype=np.int64)
+        near, entry = best.copy(), index.copy()      # of the rows still searching
+        while len(rows):
+            above, below = self.sums[up] - own, own - self.sums[down]
+            rising = above <= below
+            # (sum gap)^2 / dim > best: no entry further out on either side can win; the margin covers the rounding of doubles
+            gap = np.where(rising, above, below).astype(np.float64)
+            on = (gap < FAR / 2) & (gap * gap <= near.astype(np.float64) * dim * (1 + 1e-9))
+            # a row that is done may go on (nothing it meets can win) until an eighth of them are
+            if 8 * np.count_nonzero(on) <= 7 * len(on):
+                best[rows[~on]], index[rows[~on]] = near[~on], entry[~on]
+                rows, x, own, up, down, near, entry, rising = (v[on] for v in (rows, x, own, up, down, near, entry, rising))
+                if not len(rows):
+                    break
+            at = np.clip(np.where(rising, up, down) - 1, 0, len(entries) - 1)
+            diff = x - entries[at]
+            dist = np.einsum("ij,ij->i", diff, diff).astype(np.int64)
+            tried = self.order[at]
+            won = (dist < near) | (dist == near) & (tried < entry)
+            near, entry = np.where(won, dist, near), np.where(won, tried, entry)
+            up, down = np.minimum(up + rising, len(entries) + 1), np.maximum(down - (~rising), 0)
         return index, best
 
-    def _step(self, x, own, best, index, rows, at, way: int, dim: int):
-        """Compare each row still going this way with its next entry."""
-        inside = (at >= 0) & (at < len(self.sums))
-        rows, at = rows[inside], at[inside]
-        gap = np.abs(own[rows] - self.sums[at])
-        # gap^2 / dim > best, in floats only where the product could pass 64 bits
-        going = gap.astype(np.float64) ** 2 <= best[rows].astype(np.float64) * dim * (1 + 1e-9)
-        rows, at = rows[going], at[going]
-        diff = x[rows] - self.sorted[at]
-        dist, entry = np.einsum("ij,ij->i", diff, diff), self.order[at]
-        won = (dist < best[rows]) | (dist == best[rows]) & (entry < index[rows])
-        best[rows[won]], index[rows[won]] = dist[won], entry[won]
-        return rows, at + way
-
 
 def integer_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, vec as integers, label) of the rows that take part, all of one length, written once."""
@@ -102,9 +113,23 @@ def integer_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     return good.where(F.size("vec") == (modal["dim"] if modal else 0))
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    vec = batch.column(batch.schema.get_field_index("vec"))
-    return vec.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+def _matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of several batches with their vectors as a matrix, ``SEARCH_ROWS`` or a little more at a time."""
+    held, rows = [], 0
+
+    def taken() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return table, table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= SEARCH_ROWS:
+                yield taken()
+                held, rows = [], 0
+    if rows:
+        yield taken()
 
 
 def _refined(vectors: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
@@ -114,12 +139,10 @@ def _refined(vectors: DataFrame, books: list[np.ndarray]) -> list[np.ndarray]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = [Codebook(b) for b in books]
         sums = [np.zeros((len(b), b.shape[1] + 1), dtype=np.int64) for b in books]  # the last column counts
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch)
-                for (a, e), book, total in zip(cuts, search, sums):
-                    index, _ = book.nearest(x[:, a:e])
-                    np.add.at(total, index, np.hstack([x[:, a:e], np.ones((len(x), 1), dtype=np.int64)]))
+        for _, x in _matrices(batches):
+            for (a, e), book, total in zip(cuts, search, sums):
+                index, _ = book.nearest(x[:, a:e])
+                np.add.at(total, index, np.hstack([x[:, a:e], np.ones((len(x), 1), dtype=np.int64)]))
         for p, total in enumerate(sums):
             entry, pos = np.nonzero(np.repeat(total[:, -1:] > 0, total.shape[1], axis=1))
             if len(entry):
@@ -160,14 +183,12 @@ def encode(vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = [Codebook(b) for b in books]
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch)
-                near = [book.nearest(x[:, a:e]) for (a, e), book in zip(cuts, search)]
-                code = np.stack([i for i, _ in near], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([bytes(c).hex() for c in code]), pa.array(sum(d for _, d in near))],
-                    names=["id", "label", "code", "error"])
+        for table, x in _matrices(batches):
+            near = [book.nearest(x[:, a:e]) for (a, e), book in zip(cuts, search)]
+            code = np.stack([i for i, _ in near], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [table.column(0).combine_chunks(), table.column(1).combine_chunks(), pa.array([bytes(c).hex() for c in code]),
+                 pa.array(sum(d for _, d in near))], names=["id", "label", "code", "error"])
 
     return vectors.select("id", "label", "vec").mapInArrow(run, f"id {id_kind}, label {label_kind}, code string, error long")
 
