@@ -35,7 +35,7 @@ Scale: one pass over the texts, no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 MIN_LENGTH, MIN_PERIODS = 6, 4
-GROUP_WORDS = 400_000      # texts of a batch worked on together, a longer one alone
+GROUP_WORDS = 100_000      # texts of a batch worked on together, a longer one alone
 #: A word, in the patterns of SQL functions (bytes.split cuts at the same six blanks).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -197,26 +197,29 @@ def kept_words(n: int, runs: Sequence[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(edge[:n]) == 0
 
 
-def _grouped(texts: list[list[bytes]]):
-    """Slices of consecutive texts of about ``GROUP_WORDS`` words."""
-    first, words = 0, 0
-    for i, t in enumerate(texts):
-        if words and words + len(t) > GROUP_WORDS:
-            yield first, i
-            first, words = i, 0
-        words += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+def _grouped(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """The texts' words, consecutive texts of about ``GROUP_WORDS`` words at a time."""
+    group: list[list[bytes]] = []
+    held = 0
+    for text in texts:
+        words = (text or b"").split()
+        if held and held + len(words) > GROUP_WORDS:
+            yield group
+            group, held = [], 0
+        group.append(words)
+        held += len(words)
+    if group:
+        yield group
 
 
 def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, n_words, runs, collapsed), the runs as an
     array of (start, length, period) and the kept words joined by one space."""
     def run(cols: dict[str, list]) -> dict[str, list]:
-        texts = [(t or b"").split() for t in cols["text"]]
-        out: dict[str, list] = {"id": cols["id"], "n_words": [len(t) for t in texts], "runs": [], "collapsed": []}
-        for a, b in _grouped(texts):
-            for words, found in zip(texts[a:b], word_runs(texts[a:b])):
+        out: dict[str, list] = {"id": cols["id"], "n_words": [], "runs": [], "collapsed": []}
+        for group in _grouped(cols["text"]):
+            for words, found in zip(group, word_runs(group)):
+                out["n_words"].append(len(words))
                 out["runs"].append([{"start": s, "length": n, "period": q} for s, n, q in found])
                 if found:
                     words = [words[i] for i in np.flatnonzero(kept_words(len(words), found)).tolist()]
@@ -235,10 +238,9 @@ def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_row"), F.col(text_col).cast("binary").alias("t"))
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        texts = [(t or b"").split() for t in cols["t"]]
-        out: list[str | None] = []
-        for a, b in _grouped(texts):
-            for words, found in zip(texts[a:b], word_runs(texts[a:b])):
+        out: list[str] = []
+        for group in _grouped(cols["t"]):
+            for words, found in zip(group, word_runs(group)):
                 stay = np.flatnonzero(kept_words(len(words), found)).tolist() if found else range(len(words))
                 out.append(b" ".join([words[i] for i in stay]).decode("utf-8", "replace"))
         return {"doc_row": cols["doc_row"], "t": [None if t is None else c for t, c in zip(cols["t"], out)]}
