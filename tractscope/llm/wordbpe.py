@@ -13,8 +13,9 @@ bounded tables, kept by a Python worker from task to task.
 
 Defined cases: a null text is empty: no ids, empty decoded text; control
 strings of the vocabulary inside a text become their ids, as in the library;
-symbols the vocabulary lacks are dropped; repeated rows give repeated results;
-other columns are ignored.  Whole texts are encoded, in Arrow batches.
+symbols the vocabulary lacks are dropped (the byte symbols are all in it, so no
+character of a text is lost, control characters included); repeated rows give
+repeated results; very long texts are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 REMEMBERED = 300_000   # entries of each table, which is emptied when full
+SHORT = 64             # characters of the longest entry
 LATIN = "ɏ"       # up to here normalising is lower-casing, letter by letter
 # Fixed value: the file's pattern, for Latin text (no combining marks).
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_ODD_LATIN = re.compile("[İ²³¹¼-¾\u001c-\u001f]")  # other lower case, numbers that are no digits, blanks
+# Other lower case, numbers that are no digits, blanks, and control characters (not their own byte symbols): as the library cuts them.
+_ODD_LATIN = re.compile("[İ²³¹¼-¾\u0000-\u0008\u000e-\u001f\u007f]")
 
 
 def _byte_symbols() -> list[str]:
@@ -102,7 +105,8 @@ class WordBpe:
             ids = tuple(i for s in self.merge([s for s in symbols if s in self.vocab]) if (i := self.vocab.get(s)) is not None)
             if len(self._pieces) >= REMEMBERED:
                 self._pieces.clear()
-            self._pieces[shown] = ids
+            if len(shown) <= SHORT:
+                self._pieces[shown] = ids
         return ids
 
     def _plain(self, text: str) -> list[int]:
@@ -143,7 +147,7 @@ class WordBpe:
                 got = (_packed(ids), self.decode(ids))
                 if len(kept) >= REMEMBERED:
                     kept.clear()
-                if len(chunk) <= 64:
+                if len(chunk) <= SHORT:
                     kept[chunk] = got
             if got[0]:
                 chunks.append(got)
