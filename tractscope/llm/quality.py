@@ -13,8 +13,12 @@ n-grams, so scoring needs one pass and no per-text table.
 
 Defined cases: null texts have no words and fail; texts without words fail;
 with fewer than two classes among the labels the classifier is left out and the
-base rules decide alone; labels of unknown ids or null quality are ignored;
-repeated rows give repeated results; other columns are carried or ignored.
+base rules decide alone; labels of unknown ids or null quality are ignored; of
+conflicting labels of an id the good one counts, of several texts of a labelled
+id the one of least hash is trained on, so partitioning decides nothing;
+repeated rows give repeated results; very long texts are scored whole; other
+columns are carried or ignored.  Two thousand rows cannot tell more than a few
+thousand features apart, hence the small number of buckets.
 
 The classifier (weights of fixed size) is the only thing that passes through
 the driver.
@@ -137,12 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     picked = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
               .agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(sample))
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(
-        F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__id", "y", "text")
+        F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__id", "y", F.xxhash64("text").alias("th"), "text")
 
     def features(cols: dict[str, list]) -> dict[str, list]:
-        return {"id": cols["__id"], "y": cols["y"], "x": [_shares((t or "").encode("utf-8", "surrogatepass")).tobytes() for t in cols["text"]]}
+        return {"id": cols["__id"], "y": cols["y"], "th": cols["th"], "x": [_shares((t or "").encode("utf-8", "surrogatepass")).tobytes() for t in cols["text"]]}
 
-    got = sorted(map_rows(rows, features, "id long, y int, x binary").dropDuplicates(["id"]).collect(), key=lambda r: r.id)
+    # of texts that share an id the one of least hash, whatever the partitioning
+    one = map_rows(rows, features, "id long, y int, th long, x binary").groupBy("id", "y").agg(F.min(F.struct("th", "x")).alias("t"))
+    got = sorted(one.select("id", "y", "t.x").collect(), key=lambda r: r.id)
     y = np.array([r.y for r in got], dtype=np.float64)
     if len(set(y)) < 2:
         return None
