@@ -108,6 +108,8 @@ MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA NPOSL-3.0 ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-
 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby SISSL Sleepycat SSPL-1.0 Unicode-DFS-2016 Unlicense UPL-1.0 Vim
 W3C WTFPL X11 Xnet Zlib zlib-acknowledgement ZPL-2.0 ZPL-2.1
 """.split()
+# Ids that also name a program, a format or a body; in a sentence they need the word license after them.
+PLAIN_WORDS = frozenset("curl FTL ICU IJG JSON Libpng NCSA OpenSSL PostgreSQL Ruby SISSL Sleepycat Vim W3C X11 Xnet Zlib".split())
 SPDX_LABEL = {"Python-2.0": "python-2", "PSF-2.0": "python-2"}
 # Exceptions and own ids that stand in SPDX expressions and are no license here.
 SPDX_OTHER = r"(?:[^ ]+ )?(?:[^ ]+ )?exception(?: [0-9]+)*|linux syscall note|(?:documentref [^ ]+ )?licenseref(?: [^ ]+){1,3}?|none|noassertion"
@@ -182,8 +184,9 @@ def _hand_written() -> list[tuple[str, str, str, int, float]]:
     for i, words in ids.items():
         label = SPDX_LABEL.get(i, i.lower())
         out.append((label, "spdx", rf"{before}({words}(?: only| or later)?)", 95, 1.0))
+        word = f"{words} licen[cs]e" if i in PLAIN_WORDS else words
         out.append((label, max(words.split(), key=len),
-                    rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{words}", 75, 0.9))
+                    rf"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{word}", 75, 0.9))
     for label, name, versions in JOINED:
         for v in versions:
             major, _, minor = v.partition(".")
