@@ -32,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, map_rows, saved
+from .common import map_rows, saved, ship_package
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))   # (lowest bit, width): three, as 4 // 3 == 1
 CELL = 2048                                # rows of a bucket compared in one go
+VARIANTS = 64                              # per fingerprint
+TASK_ROWS = 8 << 20                        # index rows of a task, at most on average
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -168,6 +171,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits // len(SEGMENTS) > 1:
         raise ValueError(f"{len(SEGMENTS)} segments with one wildcard find at most {2 * len(SEGMENTS) - 1} bits")
     spark = fps.sparkSession
+    ship_package(spark)
     variants = _variants(fps)
     sizes = saved(variants.groupBy("key").count().where(F.col("count") > CELL).select(
         F.col("key").alias("hot"), F.ceil(F.col("count") / (CELL // 2)).cast("int").alias("slices")))
@@ -180,13 +184,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         others = F.sequence(F.lit(0).cast("long"), (F.col("slices") - 1).cast("long"))
         cell = F.transform(others, lambda o: F.xxhash64("key", F.least(mine, o), F.greatest(mine, o)))
         cells = cells.select("fp", F.explode(F.when(F.col("slices").isNull(), F.array("key")).otherwise(cell)).alias("cell"))
-    n = spark.conf.get("spark.sql.shuffle.partitions")
-    dealt = cells.select("cell", "fp").repartition(int(n), "cell").sortWithinPartitions("cell", "fp")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    found = dealt.mapInArrow(_verify(max_bits), "u long, v long")
-    out = saved(found.distinct())
-    arrow_batches(spark)
-    return out
+    # the tasks follow the rows: a fixed number is neither split nor merged later
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * VARIANTS // TASK_ROWS))
+    dealt = cells.select("cell", "fp").repartition(tasks, "cell").sortWithinPartitions("cell", "fp")
+    caller = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, "65536")
+    try:
+        return saved(dealt.mapInArrow(_verify(max_bits), "u long, v long").distinct())
+    finally:
+        spark.conf.set(BATCH_CONF, caller)
 
 
 def components(edges: DataFrame) -> DataFrame:
