@@ -1,7 +1,10 @@
 """Operators over several rows, HTML, the chat template and the pipeline."""
 
 import hashlib
+import html
 import random
+import re
+import time
 
 import duckdb
 import numpy as np
@@ -280,6 +283,25 @@ def test_flow_is_the_minimum_cut():
         assert side[n] and not side[n + 1] and cost(side) == least
 
 
+def article_blocks(page):
+    """The blocks of the page's own article, by plain cutting at its block tags."""
+    inner = page.partition("<article>")[2].partition("</article>")[0]
+    inner = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", inner, flags=re.S).replace("<br>", " ")
+    blocks = re.split(r"</?(?:h[1-6]|p|ul|ol|li|div|blockquote|pre|table|tr|td|th|section|figure|figcaption)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+    return [t for t in texts if t]
+
+
+@pytest.mark.parametrize("page,length", [
+    ("<a " * 333_333, None), ("<div>" * 20_000 + "</section>" * 20_000, 0), ("<div>" * 100_000 + "</section>" * 50_000, 0),
+    ("".join(f"<x{i} class=nav>" for i in range(62_500)), 0), ("<td><table>" + "<div>" * 20_000 + "<tr></tr>" * 20_000, 0),
+    ('<a "" ' * 160_000 + "' >", None), ("<" * 1_000_000, 1_000_000), ("<p>some words in it. " * 50_000, None), ("<ul>" + "<li>item " * 110_000, None)])
+def test_no_page_stalls_a_task(page, length):
+    began = time.time()
+    text = html_mincut.main_text(page)
+    assert time.time() - began < 5 and (length is None or len(text) == length)
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     extra = spark.createDataFrame([(None, None, None), (1, "u", PAGE), (1, "u", PAGE)], pages.schema)
@@ -291,6 +313,7 @@ def test_pages_table(spark):
         assert got and "©" not in got and "\n\n".join(" ".join(b.split()) for b in got.split("\n\n")) == got
         ad = r.html.partition('<div class="ad">')[2].partition("</div>")[0]
         assert " ".join(ad.split()) not in got.split("\n\n")
+        assert got.split("\n\n") == article_blocks(r.html)
     assert html_mincut.extract_pages(df.limit(0)).count() == 0
 
 
@@ -314,11 +337,66 @@ def test_pipeline(spark):
     assert all(f.columns == docs.columns for f in (corpus_pipeline.quality_stage(spark, docs, SF), corpus_pipeline.simhash_stage(spark, docs, SF)))
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+SAMPLE_KEY, RARE_KEY = "0f1e2d3c4b5a69788796a5b4c3d2e1f0", "1a2b3c4d5e6f708192a3b4c5d6e7f809"
+
+
+def prose(seed, n=90):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+
+
+def stored(spark, folder, documents, columns="doc_id long, text string, lang string, source string, n_chars long", labels=()):
+    spark.createDataFrame(documents, columns).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_value_of_many_owners_stays_though_one_copy_is_left(spark, scratch):
+    copied, alone = prose(1) + f" token = '{SAMPLE_KEY}'", prose(2) + f" token = '{RARE_KEY}'"
+    rows = [(i, copied, "en", f"owner{i}", 0) for i in range(8)] + [(20, alone, "en", "me", 0)]
+    d = stored(spark, scratch, rows)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    left = corpus_pipeline.simhash_stage(spark, docs, d)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 20]
+    masked = {r.doc_id: r for r in corpus_pipeline.secret_stage(spark, left, d).collect()}
+    assert masked[0].text == copied and masked[20].text == prose(2) + " token = '[SECRET]'" and masked[20].n_chars == len(masked[20].text)
+    # a row that the corpus lacks is masked all the same
+    own = spark.createDataFrame([(99, f"{prose(3)} {RARE_KEY} secret={RARE_KEY[::-1]}", "en", "me", 0)], docs.schema)
+    assert corpus_pipeline.secret_stage(spark, own, d).first().text == f"{prose(3)} [SECRET] secret=[SECRET]"
+
+
+def test_pipeline_on_odd_rows(spark, scratch):
+    text = prose(5)
+    rows = [(1, text, "en", "s", 1, "a", 2), (1, text, "en", "s", 1, "a", 2), (2, None, None, None, None, None, None), (3, "", "en", "s", 0, "b", 3),
+            (None, prose(6), None, None, None, None, None), (4, prose(7, 20_000), "en", "s", 0, "c", 4), (5, " \t\n", "en", "s", 3, "d", 5)]
+    d = stored(spark, scratch, rows, "doc_id long, text string, lang string, source string, n_chars long, cand string, start int")
+    out = corpus_pipeline.run(spark, d).collect()
+    assert {r.doc_id for r in out} == {1, None, 4} and len([r for r in out if r.doc_id == 1]) == 1
+    long = [r for r in out if r.doc_id == 4]
+    assert sum(r.length for r in long) == long[0].doc_tokens > 20_000
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, d).columns == docs.columns
+        assert stage(spark, docs.limit(0), d).count() == 0
+    empty = stored(spark, f"{scratch}/empty", [], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pipeline_leaves_its_last_folder_only(spark):
+    import glob
+
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{root}/**/pipeline-*/*", recursive=True))
+    corpus_pipeline.run(spark, SF)
+    new = set(glob.glob(f"{root}/**/pipeline-*/*", recursive=True)) - before
+    assert [p.rpartition("/")[2] for p in new if not p.endswith(".crc")] == ["3-packing"]
+
+
+def test_operators_and_the_pipeline_are_registered():
     from __spark_entry__ import queries
 
     names = set(queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
 
 
 def test_digest_of_the_probe_conversation(spark):

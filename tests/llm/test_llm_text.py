@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -118,6 +119,58 @@ def test_short_and_one_class_secrets_are_live(spark):
     assert clean[5].text == "token = '[SECRET]'" and clean[6].text == "see [SECRET]"
 
 
+@pytest.mark.parametrize("unit", ["-eyJaaaaaaaaaa", "eyJaaaaaaaaaa.", "eyJaaaaaaaaaa.eyJaaaaaaaaaa.", "token=", "sk-", "xoxb-", "password ", "AKIA", "glpat-aaa_"])
+def test_no_text_stalls_the_secret_scan(spark, unit):
+    text = unit * (1_000_000 // len(unit))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    got = secret_scan.secret_spans(df).collect()
+    assert time.time() - began < 25 and got[0].base_sha256 == digest(brute_secrets(text))
+
+
+def test_masks_of_many_and_overlapping_values(spark):
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000)]
+    text = "\ufeff😀 " + " é ".join(f"token={k}" if i % 2 else k for i, k in enumerate(keys)) + " end"
+    df = spark.createDataFrame([(1, text, "s", 5), (2, None, "s", 5), (3, "plain", "s", 5)], "doc_id long, text string, source string, n_chars long")
+    assert all(set(k) & set("abcdef") for k in keys)
+    want = "\ufeff😀 " + " é ".join("token=[SECRET]" if i % 2 else "[SECRET]" for i in range(len(keys))) + " end"
+    began = time.time()
+    got = by_row(secret_scan.redact_live(df))
+    assert time.time() - began < 60 and got[1].text == want and got[1].n_chars == len(want)
+    assert got[2].text is None and got[3].text == "plain"
+
+
+def test_masking_by_shuffle_equals_masking_by_broadcast(spark, monkeypatch):
+    rows = [(i, f"id {i} token = '{hashlib.md5(str(i // 2).encode()).hexdigest()}'" if i % 3 else f"none {i}", "me", i) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, None, None, None)], "doc_id long, text string, source string, n_chars long")
+    one = sorted(secret_scan.redact_live(df).collect(), key=str)
+    monkeypatch.setattr(secret_scan, "MAX_BROADCAST_SPANS", 0)
+    assert sorted(secret_scan.redact_live(df).collect(), key=str) == one and sum("[SECRET]" in (r.text or "") for r in one) == 40
+
+
+@pytest.mark.parametrize("text", ["available under Ruby on Rails", "distributed under X11 forwarding", "released under JSON format",
+                                  "released under Vim mode", "available under curl and licensed under PostgreSQL tables"])
+def test_plain_words_are_no_license(text):
+    assert licenses.detect(licenses.words_joined(text)[0]) == []
+
+
+@pytest.mark.parametrize("text,label", [("licensed under the Ruby license", "ruby"), ("released under X11 licence", "x11"), ("licensed under MIT", "mit"),
+                                        ("distributed under ISC", "isc"), ("SPDX-License-Identifier: Vim", "vim")])
+def test_named_licenses_of_plain_words(text, label):
+    assert {d[2] for d in licenses.detect(licenses.words_joined(text)[0])} == {label}
+
+
+def test_classifier_does_not_depend_on_partitioning(spark):
+    rng = random.Random(8)
+    words = [["alpha", "beta", "gamma", "delta"], ["qq", "zz", "xx", "ww"]]
+    rows = [(i % 60, " ".join(rng.choice(words[i % 2]) for _ in range(60))) for i in range(240)]
+    rows += [(i, " ".join(rng.choice(words[1 - i % 2]) for _ in range(60))) for i in range(60)]     # other texts of the same ids
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(3, 0, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    models = [quality.train(docs.repartition(n), labels.repartition(n)) for n in (1, 3, 7)]
+    assert len({m.weights.tobytes() for m in models}) == 1 and len({(m.bias, m.slope, m.offset) for m in models}) == 1
+
+
 def test_pii_classifier(spark):
     good = [(i, f"please call 555-{100 + i}-4{i:03d} today", "s") for i in range(60)]
     poor = [(1000 + i, f"version x555-{100 + i}-4{i:03d}z", "s") for i in range(60)]
@@ -174,7 +227,7 @@ def test_licenses(spark, docs):
 
 
 @pytest.mark.parametrize("text,labels", [
-    ("SPDX-License-Identifier: Apache-2.0", ""), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
     ("GNU Lesser General Public License v2.1 or later", "lgpl-2.1"), ("see the MIT license", "mit"), ("CC BY-SA 4.0", "cc-by-sa-4.0"),
     ("we mit you in cc", ""), ("Mozilla Public License 2.0 and BSD 3-Clause License", "bsd-3-clause,mpl-2.0")])
 def test_license_rules(text, labels):
@@ -348,3 +401,28 @@ def test_packing(spark, docs):
         assert at == len(ids)
     assert sum(r.length for r in rows) / 1024 / len(sequences) > 0.9
     assert packing.pack_documents(docs.limit(0), BYTE_BPE).count() == 0
+
+
+def test_bpe_equals_the_library_on_every_code_point():
+    """Every code point between letters; below U+20000 also after a blank and beside itself."""
+    library = Tokenizer.from_file(WORD_BPE)
+    library.no_truncation()
+    library.no_padding()
+    bpe = wordbpe.load(WORD_BPE)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+    def placed(c):
+        return f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}x" if c < 0x20000 else f"a{chr(c)}b"
+
+    for first in range(0, len(points), 4000):
+        text = " | ".join(map(placed, points[first:first + 4000]))
+        want = library.encode(text, add_special_tokens=False).ids
+        if bpe.digest(text)[1] != np.array(want, dtype="<u4").tobytes():
+            for c in points[first:first + 4000]:
+                assert bpe.encode(placed(c)) == library.encode(placed(c), add_special_tokens=False).ids, hex(c)
+
+
+def test_long_pieces_are_not_remembered():
+    bpe = wordbpe.WordBpe(WORD_BPE)
+    bpe.encode("x" * 5000 + " " + "日" * 3000 + " short")
+    assert bpe._pieces and max(map(len, bpe._pieces)) <= wordbpe.SHORT

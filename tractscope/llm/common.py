@@ -141,12 +141,18 @@ SUM_CHUNK = 128
 
 
 def sums_before(numbers: Column) -> Column:
-    """For each element of an array, the sum of those before it.
+    """For each element of an array, the sum of those before it."""
+    return folded_before(numbers, lambda a, x: a + x)
 
-    Adding to an array copies it, so sums run within chunks and over the
-    chunks' totals: a text of many matches does not cost their square."""
+
+def folded_before(numbers: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, those before it and 0 folded by an
+    associative function that 0 does not change (a sum, a maximum).
+
+    Adding to an array copies it, so folds run within chunks and over the
+    chunks' results: a text of many matches does not cost their square."""
     def running(c: Column) -> Column:
-        return F.aggregate(c, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.aggregate(c, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(fold(F.element_at(a, -1), x))))
 
     last = F.floor(F.size(numbers) / SUM_CHUNK).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), last), lambda k: running(F.slice(numbers, k * SUM_CHUNK + 1, F.lit(SUM_CHUNK))))
@@ -154,7 +160,7 @@ def sums_before(numbers: Column) -> Column:
     def joined(cs: Column) -> Column:
         offsets = running(F.transform(cs, lambda c: F.element_at(c, -1)))
         return _let(offsets, lambda o: F.flatten(F.transform(cs, lambda c, k: F.transform(
-            F.slice(c, F.lit(1), F.size(c) - 1), lambda x: x + F.get(o, k)))))
+            F.slice(c, F.lit(1), F.size(c) - 1), lambda x: fold(F.get(o, k), x)))))
 
     return _let(chunks, joined)
 
@@ -162,3 +168,9 @@ def sums_before(numbers: Column) -> Column:
 def spans_text(spans: Column) -> Column:
     """``kind:start:end`` comma-joined, from an array of structs with those fields."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data, wherever Spark stores it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -16,7 +16,10 @@
 Defined cases: a null text has no spans; a null owner or repository counts as
 one nameless owner or repository; equal rows get equal results, each its own
 row; an empty table gives an empty result; columns beside the named ones are
-carried by :func:`redact_live` and ignored otherwise, whatever their names.
+carried by :func:`redact_live` and ignored otherwise, whatever their names;
+very long texts and texts of many matches are scanned whole.  ``documents`` has
+no repository column, so a document is its own repository there and exact
+copies of one count as many.
 
 Scale: the text is read once, what it yields (hashes and offsets) is saved;
 distinct counts are partial before each shuffle; a hash that a third of all
@@ -29,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import regex_spans, saved, spans_text
+from .common import folded_before, regex_spans, saved, spans_text
 
 # The base detectors.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,7 +42,7 @@ HEX = r"[0-9a-f]{16,}+"
 # Public provider formats; placeholder words of documentation.
 PROVIDER = (r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
             r"|sk_live_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9]{20,}+|AIza[A-Za-z0-9_-]{35}"
-            r"|eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)")
+            r"|(?<!-)eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)")
 PROVIDER_GATE = r"gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-[A-Za-z0-9]{20}|AIza|eyJ"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0{8}|12345678|abcdef01|^(.)\1*$"
 
@@ -101,11 +104,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return freq.select("vh", "n_owners", "n_repos", verdict.alias("verdict"))
 
 
-def live_spans(scanned: DataFrame) -> DataFrame:
+def live_spans(scanned: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """(id, th, live, n_repos): the live spans of every document that has any,
-    and the most repositories that hold one of its live values."""
+    and the most repositories that hold one of its live values.  ``owners``:
+    verdicts of :func:`ownership` over a larger corpus than ``scanned``."""
     each = scanned.where(F.size("cand") > 0).select("id", "th", F.explode("cand").alias("c"))
-    live = ownership(scanned).where("verdict = 'live'").select("vh", "n_repos")
+    live = (ownership(scanned) if owners is None else owners).where("verdict = 'live'").select("vh", "n_repos")
     value = F.struct(F.col("c.value_start").alias("start"), F.lit(KINDS.index("live")).alias("ord"),
                      F.col("c.end").alias("end"), F.lit("live").alias("kind"))
     whole = F.struct(F.col("c.start").alias("start"), F.lit(KINDS.index("provider")).alias("ord"),
@@ -134,31 +138,57 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 MASK = "[SECRET]"
+MAX_BROADCAST_SPANS = 250_000    # live spans up to which they go to every task (about 20 MB)
+
+
+def _masked(text: Column, spans: Column) -> tuple[Column, Column]:
+    """(column ``__wide`` to add first, ``text`` with every span replaced by
+    ``MASK``): spans in order, one inside
+    an earlier one adds nothing, one that begins inside an earlier one prolongs
+    its mask.  Pieces are cut from four bytes a character, which finds a place
+    at once, so many spans in a long text cost no square of their number."""
+    wide = F.encode(text, "UTF-32")
+
+    def cut(start: Column, end: Column) -> Column:  # a mark of order first, so that one in the text stays
+        return F.decode(F.concat(F.lit(bytes.fromhex("0000feff")), F.substring(F.col("__wide"), 4 * start + 1, 4 * (end - start))), "UTF-32")
+
+    reach = folded_before(F.transform(spans, lambda s: s["end"]), F.greatest)
+    pieces = F.transform(F.arrays_zip(spans.alias("s"), reach.alias("at")), lambda z: F.when(
+        z["s"]["start"] >= z["at"], F.concat(cut(z["at"], z["s"]["start"]), F.lit(MASK))).otherwise(F.lit("")))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return wide, F.concat(F.array_join(pieces, ""), cut(last, F.length(text)))
 
 
 def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                repo_col: str = "doc_id", chars_col: str = "n_chars") -> DataFrame:
+                repo_col: str = "doc_id", chars_col: str = "n_chars", corpus: DataFrame | None = None) -> DataFrame:
     """``docs`` with every live value replaced by ``MASK``; all rows and columns
-    stay, copied examples too.  ``chars_col``, where present, follows the text.
+    stay, copied examples too.  ``chars_col``, where present, follows a masked text.
+
+    ``corpus`` is a table whose owners and repositories count beside those of
+    ``docs``; where ``docs`` is what a filter left of a corpus, a value that
+    many owners hold in the corpus is a copied example though one is left.
 
-    Only documents with a candidate are joined (by id and text hash); all
-    others pass by without a shuffle."""
+    The live spans, known by id and text hash, are counted: up to
+    ``MAX_BROADCAST_SPANS`` they are broadcast and ``docs`` is read once more
+    and not moved; beyond, documents that may hold a candidate are joined by
+    shuffle and the others pass by."""
     scanned = scan(docs, id_col, text_col, owner_col, repo_col)
-    live = live_spans(scanned).select(F.col("id").alias("__l_id"), F.col("th").alias("__l_th"), F.col("live").alias("__live"))
+    # distinct owners and repositories: rows that both tables hold count once
+    owners = None if corpus is None else ownership(scanned.unionByName(scan(corpus, id_col, text_col, owner_col, repo_col)))
+    live = saved(live_spans(scanned, owners).select(F.col("id").alias("__l_id"), F.col("th").alias("__l_th"), F.col("live").alias("__live")))
     text = F.col(text_col)
-    may = F.coalesce(text.rlike(ASSIGN_GATE) | text.contains("AKIA") | text.rlike("[0-9a-f]{16}")
-                     | text.rlike(PROVIDER_GATE), F.lit(False))
-    joined = docs.where(may).join(live, F.col(id_col).eqNullSafe(F.col("__l_id"))
-                                  & (F.xxhash64(text) == F.col("__l_th")), "left")
-    # spans in order; a span inside an earlier one adds nothing
-    cut = F.aggregate(
-        F.col("__live"), F.struct(F.lit(0).alias("at"), F.lit("").alias("done")),
-        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["done"], F.when(s["start"] >= a["at"], F.concat(
-                F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK))).otherwise(F.lit(""))).alias("done"))),
-        lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
-    done = joined.withColumn(text_col, F.when(F.col("__live").isNull(), text).otherwise(cut)).select(*docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col("__l_id")) & (F.xxhash64(text) == F.col("__l_th"))
+    n_spans = live.agg(F.sum(F.size("__live"))).first()[0] or 0
+    if n_spans <= MAX_BROADCAST_SPANS:
+        rest, joined = None, docs.join(F.broadcast(live), same, "left")
+    else:
+        may = F.coalesce(text.rlike(ASSIGN_GATE) | text.contains("AKIA") | text.rlike("[0-9a-f]{16}")
+                         | text.rlike(PROVIDER_GATE), F.lit(False))
+        rest, joined = docs.where(~may), docs.where(may).join(live, same, "left")
+    wide, cut = _masked(text, F.col("__live"))
+    hit = F.col("__live").isNotNull()
+    done = joined.withColumn("__wide", F.when(hit, wide)).withColumn(text_col, F.when(hit, cut).otherwise(text))
     if chars_col in docs.columns:
-        done = done.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return docs.where(~may).unionByName(done)
+        done = done.withColumn(chars_col, F.when(hit, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    done = done.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return done if rest is None else rest.unionByName(done)
