@@ -97,10 +97,11 @@ def test_partitioned_files_are_few_and_narrow(spark, scratch):
     assert spark.read.parquet(f"{scratch}/t").count() == 20000
 
 
-def test_reports_without_a_limit_hold_what_the_limited_ones_cut(spark):
-    from __spark_entry__ import queries
-
-    d, found = "/root/testdata/sf0.01", queries()
-    for name, limit in (("map_points_box", 20), ("hotspots_scale_200", 1000), ("hotspots_scale_1000", 1000)):
-        limited, whole = found[name](spark, d), found[f"{name}_all"](spark, d)
-        assert limited.count() == limit < whole.count() and limited.exceptAll(whole).count() == 0
+def test_limits_of_points_and_cells_bind(spark):
+    from tractscope.plans import frames as B
+
+    geo = B.geo(spark, "/root/testdata/sf0.01")
+    cells, points = G.hotspots(geo, 200), G.map_points(geo)
+    few_cells, few_points = G.hotspots(geo, 200, 1000), G.map_points(geo, 20)
+    assert few_cells.count() == 1000 < cells.count() and few_cells.exceptAll(cells).count() == 0
+    assert few_points.count() == 20 < points.count() and few_points.exceptAll(points).count() == 0

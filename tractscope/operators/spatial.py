@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..schemas import EARTH_RADIUS_KM
-from .rank import first_k_by, top_per_group
+from ..session import reliable_checkpoint
+from .joins import MAX_BROADCAST_ROWS, join_small
+from .rank import first_k_by, rank_all, top_per_group
 
 
 def within_box(df: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float,
@@ -66,13 +68,13 @@ def hotspots_by_part(df: DataFrame, scale: int = 500, k: int | None = None,
                      part: str = "day_part", weight: str | None = None) -> DataFrame:
     """Cells of each day part in one job: ``(part, cell)`` counts, ranked
     within the part; with ``k`` the first ``k`` of each, cut before the
-    shuffle."""
+    shuffle; without, every cell, ranked by stretches (``rank_all``)."""
     if part not in df.columns:
         df = df.withColumn(part, X.day_part("Hour"))
     cells = _cell_counts(df, scale, (part,), weight)
     order = [F.col("count").desc(), F.col("lat_i"), F.col("lon_i")]
     if k is None:
-        return cells.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
+        return rank_all(cells, [part], order).withColumn("rank", F.col("rank").cast("int"))
     return top_per_group(cells, [part], order, k, rank_col="rank")
 
 
@@ -178,6 +180,81 @@ def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
     return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key])
 
 
+# Cells of the whole globe for `nearest_rings`: 2^BITS along a circle of longitude at the finest level.
+BITS = 16
+
+
+def _globe_cells(lat: str, lon: str, level: int) -> list[F.Column]:
+    """Cell indexes of a point ``level`` doublings above the finest cells; longitudes wrap."""
+    size = 360.0 / (1 << (BITS - level))
+    row = F.floor((F.col(lat) + 90.0) / size).cast("int")
+    col = F.pmod(F.floor((F.col(lon) + 180.0) / size), F.lit(1 << (BITS - level))).cast("int")
+    return [row, col]
+
+
+def _settled_km(lat0: F.Column, size: float, radius_km: float = EARTH_RADIUS_KM) -> F.Column:
+    """A distance within which every point of the globe lies in the 3 x 3 cells
+    of ``size`` degrees around a center (0 near the poles, where it needs all)."""
+    edge = F.abs(lat0) + F.lit(size)
+    narrow = F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    return F.when(edge < 89.9, F.lit(radius_km * math.radians(size) * 0.998) * narrow).otherwise(F.lit(0.0))
+
+
+def nearest_rings(points: DataFrame, centers: DataFrame, n: int, start_level: int = 0, key: str = "DR_NO", center_key: str = "center_id",
+                  lat: str = "LAT_d", lon: str = "LON_d", center_lat: str = "center_lat", center_lon: str = "center_lon") -> DataFrame:
+    """The ``n`` nearest points of every center, at any distance: (center,
+    rank, key, dist_km), nearest first, ties to the lowest key.
+
+    Centers look into the 3 x 3 cells around them by an equality join on the
+    cell.  One whose n-th distance is below the cells' inner edge is done, the
+    others look again in cells twice as wide, which holds all that was seen
+    before; the widest cells hold the globe.  A round thus joins only centers
+    that sparse surroundings left open, at nine cells each.  A center far from
+    all points meets those of the first cells wide enough to reach them.
+
+    Defined cases: points and centers without finite coordinates, and centers
+    without a key, take no part; centers that share a key and place count
+    once; fewer than ``n`` points give all of them.  No center meets
+    points outside its cells, and each task keeps ``n`` points of a center
+    before the shuffle.  Rounds: at most ``BITS`` - ``start_level``."""
+    finite = lambda a, b: (F.abs(F.col(a)) <= 90.0) & (F.abs(F.col(b)) <= 360.0)
+    pts = points.where(finite(lat, lon) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
+    open_ = reliable_checkpoint(centers.where(finite(center_lat, center_lon) & F.col(center_key).isNotNull()).select(
+        F.col(center_key).alias("center"), F.col(center_lat).cast("double").alias("clat"), F.col(center_lon).cast("double").alias("clon")).distinct())
+    done: list[DataFrame] = []
+    for level in range(start_level, BITS):
+        left = open_.count()
+        if not left:
+            break
+        size, last = 360.0 / (1 << (BITS - level)), level == BITS - 1
+        row, col = _globe_cells("clat", "clon", level)
+        steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        around = open_.withColumns({"r": row, "c": col}).withColumn("s", F.explode(steps)).select(
+            "center", "clat", "clon", (F.col("r") + F.col("s.a")).alias("cell_r"),
+            F.pmod(F.col("c") + F.col("s.b"), F.lit(1 << (BITS - level))).alias("cell_c")).distinct()
+        prow, pcol = _globe_cells("plat", "plon", level)
+        met = join_small(pts.withColumns({"cell_r": prow, "cell_c": pcol}), around, ["cell_r", "cell_c"], "inner", known_rows=9 * left,
+                         max_broadcast_rows=MAX_BROADCAST_ROWS, salt_buckets=8, salt_on=["key"])
+        dist = X.haversine_km(F.col("clat"), F.col("clon"), "plat", "plon")
+        near = top_per_group(met.select("center", "clat", "clon", "key", dist.alias("dist_km")), ["center", "clat", "clon"],
+                             [F.col("dist_km"), F.col("key")], n, rank_col="rank")
+        near = reliable_checkpoint(near)
+        if last:
+            done.append(near)
+            break
+        full = near.groupBy("center", "clat", "clon").agg(F.count(F.lit(1)).alias("found"), F.max("dist_km").alias("far"))
+        settled = full.where((F.col("found") >= n) & (F.col("far") < _settled_km(F.col("clat"), size))).select("center", "clat", "clon")
+        same = ["center", "clat", "clon"]
+        done.append(near.join(settled, same, "left_semi"))
+        open_ = reliable_checkpoint(open_.join(settled, same, "left_anti"))
+    out = None
+    for d in done:
+        out = d if out is None else out.unionByName(d)
+    if out is None:
+        out = open_.select("center", F.lit(0).alias("rank"), F.lit(None).cast(points.schema[key].dataType).alias("key"), F.lit(0.0).alias("dist_km")).limit(0)
+    return out.select(F.col("center").alias(center_key), "rank", F.col("key").alias(key), "dist_km")
+
+
 def hexbin(df: DataFrame, gridsize: int = 80,
            extent: tuple[float, float, float, float] = (-118.7, -118.15, 33.7, 34.35),
            x: str = "LON_d", y: str = "LAT_d", weight: str | None = None) -> DataFrame:

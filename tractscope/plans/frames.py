@@ -111,3 +111,14 @@ def stored_cube(spark: SparkSession, d: str) -> CountCube:
     """The count cube of the folder's incidents, stored once per session and
     folder in the shared checkpoint folder."""
     return cube.store(enriched_both(spark, d), f"{ensure_checkpoint_dir(spark)}/cube-{uuid.uuid4()}")
+
+
+@_memo
+def centers(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in rows of a table of centers, from ``supplier``: most inside the
+    city, one in ten in the empty country around it."""
+    k = "s_suppkey"
+    return spark.read.parquet(f"{d}/supplier.parquet").selectExpr(
+        f"{k} AS center_id",
+        f"CASE WHEN {k} % 10 = 0 THEN 30.0D + CAST(({k} * 7) % 100 AS DOUBLE) * 0.1D ELSE 33.7D + CAST(({k} * 37) % 1000 AS DOUBLE) * 0.00065D END AS center_lat",
+        f"CASE WHEN {k} % 10 = 0 THEN -125.0D + CAST(({k} * 11) % 100 AS DOUBLE) * 0.15D ELSE -118.7D + CAST(({k} * 91) % 1000 AS DOUBLE) * 0.00055D END AS center_lon")
