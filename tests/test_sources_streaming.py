@@ -7,7 +7,7 @@ from tractscope.operators import spatial as G
 from tractscope.plans import frames as B
 from tractscope.plans.pipeline import run_batch_pipeline
 from tractscope.sources import files as S
-from tractscope.streaming import start_cell_counts
+from tractscope.streaming import read_cell_counts, start_cell_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,7 +62,7 @@ def test_streaming_cell_counts_match_batch(spark, scratch):
     clean.filter("Occured_Year >= 1998").write.parquet(f"{src}/b")
     q = start_cell_counts(spark, f"{src}/*", clean.schema, f"{scratch}/cells", f"{scratch}/ckpt")
     q.awaitTermination(120)
-    got = spark.read.parquet(f"{scratch}/cells")
+    got = read_cell_counts(spark, f"{scratch}/cells")
     from tractscope.operators.clean import valid_geo
     want = G.hotspots(valid_geo(clean), 500, None)
     cols = ["lat_i", "lon_i", "count"]

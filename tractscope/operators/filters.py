@@ -36,6 +36,18 @@ def filter_latest_years(df: DataFrame, n: int = 3, col: str = "Occured_Year") ->
     return join_small(df, latest_years(df, n, col), col, "left_semi", known_rows=n)
 
 
+def filter_years_known(df: DataFrame, years: Sequence[int], n: int = 3, col: str = "Occured_Year") -> DataFrame:
+    """The latest ``n`` of ``years`` known beforehand (partition values, a
+    manifest): a literal filter that prunes the scan, and no pass to find them."""
+    latest = sorted({int(y) for y in years}, reverse=True)[:n]
+    return df.filter(F.col(col).isin(*latest)) if latest else df.limit(0)
+
+
+def filter_defaults_known(df: DataFrame, years: Sequence[int], n_years: int = 3) -> DataFrame:
+    """:func:`filter_defaults` with the table's years known beforehand: one scan."""
+    return filter_years_known(df, years, n_years).filter(F.col("Occured_Month").isNotNull())
+
+
 def filter_defaults(df: DataFrame, n_years: int = 3) -> DataFrame:
     """The report's default choice: every region, the latest ``n_years``
     years and every listed (non-null) month."""

@@ -1,3 +1,3 @@
 """Query plans: the registered catalog, its SQL oracles and the flagship."""
 
-from .catalog import CATALOG  # noqa: F401
+from .registry import CATALOG  # noqa: F401

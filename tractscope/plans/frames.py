@@ -20,7 +20,8 @@ from ..operators import cube
 from ..operators import enrich as J
 from ..operators.cube import CountCube
 from ..session import ensure_checkpoint_dir
-from ..sources import load_incidents, load_tracts
+from ..sources import layout, load_incidents, load_tracts
+from ..sources.files import write_table
 
 Held = TypeVar("Held")
 _SLOT = "_tractscope_frames"  # kept on the session, so the frames go with it
@@ -122,3 +123,20 @@ def centers(spark: SparkSession, d: str) -> DataFrame:
         f"{k} AS center_id",
         f"CASE WHEN {k} % 10 = 0 THEN 30.0D + CAST(({k} * 7) % 100 AS DOUBLE) * 0.1D ELSE 33.7D + CAST(({k} * 37) % 1000 AS DOUBLE) * 0.00065D END AS center_lat",
         f"CASE WHEN {k} % 10 = 0 THEN -125.0D + CAST(({k} * 11) % 100 AS DOUBLE) * 0.15D ELSE -118.7D + CAST(({k} * 91) % 1000 AS DOUBLE) * 0.00055D END AS center_lon")
+
+
+@_memo
+def stored_enriched(spark: SparkSession, d: str) -> str:
+    """The enriched incidents as year-partitioned Parquet, stored once per
+    session and folder; the place."""
+    path = f"{ensure_checkpoint_dir(spark)}/enriched-{uuid.uuid4()}"
+    write_table(enriched(spark, d), path, partition_by=["Occured_Year"], sort_by=["LAT", "LON"])
+    return path
+
+
+@_memo
+def published(spark: SparkSession, d: str) -> str:
+    """The enriched incidents as a published table (layout by area, manifest); the place."""
+    root = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4()}"
+    layout.publish(enriched(spark, d), root)
+    return root

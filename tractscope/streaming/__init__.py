@@ -5,4 +5,8 @@ DataFrame operators on a file stream of new incident drops, so the
 hotspot counts stay current without rescanning history.
 """
 
-from .hotspots import incremental_cell_counts, start_cell_counts  # noqa: F401
+from .hotspots import (  # noqa: F401
+    incremental_cell_counts,
+    read_cell_counts,
+    start_cell_counts,
+)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import clean as C
 from ..operators import spatial as G
+from ..sources import layout
 
 
 def incremental_cell_counts(stream: DataFrame, scale: int = 500) -> DataFrame:
@@ -27,14 +28,22 @@ def start_cell_counts(spark: SparkSession, source_dir: str, schema: T.StructType
     """Read new Parquet files from ``source_dir`` and keep the cell counts
     in ``sink_dir``.  State lives in ``checkpoint_dir`` (shared storage on a
     cluster), so a restarted query resumes after lost executors or drivers;
-    each micro-batch overwrites the small result table."""
+    each micro-batch publishes the small result table as a new version, so a
+    reader (:func:`read_cell_counts`) never meets a half-written one.  A version
+    stays until the second batch after it, for readers still at it."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
     counts = incremental_cell_counts(stream, scale)
 
     def _write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        layout.publish(batch, sink_dir, year=None, lat="lat_grid", lon="lon_grid")
+        layout.vacuum(batch.sparkSession, sink_dir, keep=2)
 
     writer = (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir)
               .foreachBatch(_write))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def read_cell_counts(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The latest whole result of :func:`start_cell_counts`."""
+    return layout.read_current(spark, sink_dir)
