@@ -91,7 +91,7 @@ def test_index_retrieves_every_code_within_the_radius():
     index = mih.Index(code)
     for q in code[:20] ^ np.uint16(3):
         for radius in (0, 5, 20, 27):
-            want = np.flatnonzero(mih._POP[code ^ q].sum(axis=1) <= radius)
+            want = np.flatnonzero(np.bitwise_count(code ^ q).sum(axis=1) <= radius)
             assert index.within(q, radius).tolist() == want.tolist()
 
 
@@ -115,6 +115,15 @@ def test_template_round_trip(spark):
     assert chat.chat_digests(df.limit(0)).count() == 0
 
 
+def test_one_long_conversation(spark):
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    row = chat.chat_digests(df.repartition(4)).collect()
+    assert len(row) == 1 and row[0].n_turns == 20_000
+    said = "".join(f"{'user' if i % 2 == 0 else 'assistant'}\nt{i}\n" for i in range(20_000))
+    assert row[0].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_reply_trees_rank_branches(spark):
     rows = [("t", 1, None, 1.0), ("t", 2, 1, 1.0), ("t", 3, 1, 5.0), ("t", 4, 2, 9.0), ("t", 5, 3, 1.0), ("t", 6, 3, 1.0), ("t", 7, 99, 0.5),
             ("c", 1, 2, 1.0), ("c", 2, 1, 1.0), ("c", 3, 2, 1.0), (None, 1, None, 1.0)]

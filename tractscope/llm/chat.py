@@ -19,7 +19,8 @@ Defined cases: null text or role is empty; messages on a parent cycle lie on no
 root-to-leaf path and yield nothing; node ids must be
 unique within a tree (callers number repeated rows first, as
 :func:`conversation_nodes` does); null tree ids are one tree; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored.  A conversation is one
+result row, so its messages must fit one task (20,000 turns are tested).
 
 Scale: every round is an equality join on (tree, node); nothing is collected
 but one conversation's own messages, which are its result row.
