@@ -179,6 +179,41 @@ def test_pii_classifier(spark):
     assert sum(r.n_added for k, r in got.items() if 1000 <= k < 5000) <= 3
 
 
+def test_words_around_a_span_carry_what_votes_know():
+    """Candidates of undecided votes are told apart by words that, elsewhere, stand beside decided ones."""
+    votes = {"yes": (1, 0, 1, 1, 1), "no": (1, 0, -1, 0, -1), "open": (1, 0, 0, 0, 1)}
+    post = {("account", *votes["yes"], 2): 0.97, ("account", *votes["no"], 2): 0.03, ("account", *votes["open"], 2): 0.5}
+    rows = [("account", *votes[v], 2, 7, before, after, 1) for v, before, after, n in (
+        ("yes", 3, 11, 300), ("no", 4, 12, 300), ("open", 3, 11, 30), ("open", 4, 12, 30)) for _ in range(n)]
+    weights = pii.train(rows, post)
+    z = lambda row: sum(weights.get(f, 0.0) for f in pii._features(row))
+    assert z(("account", *votes["open"], 2, 7, 3, 11)) > 0 > z(("account", *votes["open"], 2, 7, 4, 12))
+
+
+def test_pii_of_other_kinds_held_against_planted_spans(spark):
+    rng = random.Random(9)
+    make = {"national_id": lambda: f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+            "account": lambda: f"DE{rng.randint(10, 99)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}",
+            "local_phone": lambda: f"{rng.randint(200, 899)}-{rng.randint(200, 899)}-{rng.randint(2000, 9999)}"}
+    lead = {"national_id": "his ssn:", "account": "the iban is", "local_phone": "please call"}
+    rows, want = [], {}
+    for i in range(600):
+        kind, personal = list(make)[i % 3], i % 2 == 0
+        span = make[kind]()
+        other = f"see order {span.replace('DE', 'XX')}=5" if kind == "account" else f"see version x_{span}z or so"
+        rows.append((i, f"{lead[kind]} {span} today" if personal else other))
+        want[i] = (kind, personal)
+    rows += [(1000 + i, f"Dr. {rng.choice(['Anna', 'John', 'Sophie'])} {rng.choice(['Weber', 'Martin', 'Garcia'])} wrote") for i in range(60)]
+    got = by_row(pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum((f"{kind}:" in got[i].spans) == personal for i, (kind, personal) in want.items()) >= 0.95 * len(want)
+    assert sum(got[1000 + i].n_added > 0 for i in range(60)) >= 57
+
+
+@pytest.mark.parametrize("code,known", [("+1 555 123 4567", True), ("+49 30 1234567", True), ("+358 40 123 4567", True), ("+852 1234 5678 9", True), ("+280 1234 56789", False)])
+def test_calling_codes(code, known):
+    assert bool(re.search(pii.CALLING, code)) == known
+
+
 def test_votes_estimated_from_agreement():
     patterns = [("card", 1, 1, 1, 1, 1, 1, 900), ("card", 1, 1, 1, 1, -1, 1, 100), ("card", -1, -1, -1, -1, 1, 1, 450), ("card", -1, -1, -1, -1, -1, 1, 50)]
     prior, likely, post = pii.reliabilities(patterns)

@@ -14,15 +14,18 @@ every candidate: +1 personal, -1 not, 0 abstain.
 Expectation-maximisation over the counts of the vote patterns estimates how
 reliable each labeler is and how common personal spans are per kind.  Its
 posteriors are the soft labels of the final span classifier, a logistic
-regression over kind, votes and length class, applied to every candidate.
+regression over kind, votes, length class, the span's shape and the words
+around it (hashed), trained on a bounded sample of candidates and applied to
+all of them: what votes know of some spans is carried to others like them.
 Candidates of the looser kinds with a probability of ``THRESHOLD`` or more
 are added to the base spans.
 
-The driver sees only pattern counts: at most ``len(KINDS) * 3**5 * 4`` rows
-however large the corpus.  The texts are read once; spans and votes are saved
+The driver sees pattern counts, at most ``len(KINDS) * 3**5 * 4`` rows however
+large the corpus, and the features of at most ``SAMPLE`` candidates.  The texts are read once; spans and votes are saved
 and scored where they lie, without a join.
 
-Defined cases: null text has no span; equal rows give equal results; empty
+Defined cases: null text has no span; very long texts and texts of many matches
+are scanned whole; equal rows give equal results; empty
 tables give no row (the classifier then keeps its prior); other columns are
 ignored.
 """
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +63,25 @@ EM_ROUNDS, FIT_ROUNDS = 50, 300
 CONTEXT = (r"(?i)(?:mail|contact|kontakt|correo|courriel|tel|phone|call|fax|mobile|anruf|card|visa|karte|carte|tarjeta"
            r"|ssn|social|iban|account|konto|compte|cuenta|address|adresse|host|server|ip|name|from|user)\W{0,6}(?:\w+\W{1,3}){0,2}$")
 COUNTER = r"(?i)(?:version|ver|release|section|figure|table|page|isbn|order|invoice|v)\W{0,4}$"
-MAIL_TLD = r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|co|me)$"
+MAIL_TLD = (r"(?i)\.(?:com|org|net|edu|gov|mil|int|io|info|biz|name|pro|dev|app|me|tv|cc|eu|de|at|ch|fr|be|lu|es|pt|it|nl|uk|ie|dk|se|no|fi|is|pl|cz|sk"
+            r"|hu|ro|bg|gr|tr|ru|ua|ee|lv|lt|si|hr|rs|il|ae|sa|in|pk|cn|hk|tw|jp|kr|sg|my|th|vn|id|ph|au|nz|ca|us|mx|br|ar|cl|co|pe|ve|uy|za|ng|ke|eg|ma)$")
 PLACEHOLDER = r"(?i)(?:^|[@.])(?:noreply|example|test|localhost)(?:$|@)|^(?:0\.0\.0\.0|127\.0\.0\.1|255\.255\.255\.255)$"
-NAMES = r"(?i)\x20(?:anna|maria|john|james|mary|peter|paul|thomas|michael|david|jean|marie|carlos|jose|laura|sarah)\b"
+NAMES = (r"(?i)\x20(?:anna|maria|john|james|mary|peter|paul|thomas|michael|david|jean|marie|carlos|jose|laura|sarah|robert|william|richard|joseph"
+         r"|charles|christopher|daniel|matthew|anthony|mark|donald|steven|andrew|joshua|kenneth|kevin|brian|george|timothy|ronald|edward|jason|jeffrey"
+         r"|ryan|jacob|gary|nicholas|eric|jonathan|stephen|patricia|jennifer|linda|elizabeth|barbara|susan|jessica|karen|lisa|nancy|betty|margaret"
+         r"|sandra|ashley|kimberly|emily|donna|michelle|carol|amanda|melissa|deborah|stephanie|rebecca|sharon|cynthia|kathleen|amy|angela|hans|klaus"
+         r"|jürgen|wolfgang|dieter|uwe|stefan|andreas|martin|christian|markus|sabine|petra|monika|ursula|renate|ingrid|heike|birgit|katrin|julia|pierre"
+         r"|michel|philippe|alain|nicolas|christophe|laurent|françois|julien|antoine|isabelle|nathalie|sylvie|catherine|sophie|céline|juan|antonio"
+         r"|manuel|francisco|luis|javier|miguel|ángel|pedro|alejandro|carmen|ana|isabel|dolores|pilar|teresa|rosa|lucía|elena|marta|cristina)\b")
+# The zones of international calling codes.
+CALLING = (r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+           r"|(?:2[1-69]|3[578]|42|5[09]|6[789]|8[0578]|9[679])[0-9])")
+
+# Features of a span beside the votes: its shape and the words around it, hashed.
+BUCKETS = 64
+SAMPLE_PER_KIND = 4000   # candidates of a kind the classifier is trained on, about
+SAMPLE = 40_000          # and at most in all
+EXTRA = ("shape", "word_before", "word_after")
 
 
 def _luhn(digits: Column) -> Column:
@@ -97,7 +117,7 @@ def _votes(kind: str, s: Column) -> dict[str, Column]:
         "email": _vote(v.rlike(MAIL_TLD), v.rlike(PLACEHOLDER)),
         "ip": _vote(~v.rlike(r"^(?:0|10|127|255)\.|^192\.168\."), v.rlike(PLACEHOLDER)),
         "card": _vote(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), d.rlike("^[01789]")),
-        "phone": _vote(v.rlike(r"^\+(?:1|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"), v.rlike(r"^\+0")),
+        "phone": _vote(v.rlike(CALLING), v.rlike(r"^\+0")),
         "local_phone": _vote(v.rlike(r"^\(?(?:0[1-9]|[2-9][0-9]{2})"), v.rlike("555.0[01]")),
         "national_id": F.lit(0),
         "account": _vote(v.rlike("^(?:DE|FR|ES|IT|NL|BE|AT|CH|GB|PT|PL)"), v.rlike("^(?:XX|AA|ZZ)")),
@@ -112,11 +132,27 @@ def _votes(kind: str, s: Column) -> dict[str, Column]:
     }
 
 
+def _bucket(text: Column) -> Column:
+    """0 for an empty text, else one of ``BUCKETS`` - 1 by hash."""
+    return F.when(text == "", F.lit(0)).otherwise(F.pmod(F.xxhash64(text), F.lit(BUCKETS - 1)).cast("int") + 1)
+
+
+def _extra(s: Column) -> dict[str, Column]:
+    """The span's character classes without repeats (``Aa 9-9``), and the nearest words on either side."""
+    classes = s["g0"]
+    for pattern, sign in ((r"\p{Ll}", "a"), (r"\p{Lu}", "A"), ("[0-9]", "9"), (r"(.)\1+", "$1")):
+        classes = F.regexp_replace(classes, pattern, sign)
+    return {"shape": _bucket(F.left(classes, F.lit(12))),
+            "word_before": _bucket(F.lower(F.regexp_extract(s["before"], r"(\p{L}+)\P{L}*$", 1))),
+            "word_after": _bucket(F.lower(F.regexp_extract(s["after"], r"^\P{L}*(\p{L}+)", 1)))}
+
+
 def _voted(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"),
         *[v.cast("int").alias(n) for n, v in _votes(kind, s).items()],
-        F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(3)).cast("int").alias("len")))
+        F.least(F.floor((s["end"] - s["start"]) / 8), F.lit(3)).cast("int").alias("len"),
+        *[c.alias(n) for n, c in _extra(s).items()]))
 
 
 def _candidates(text: Column) -> Column:
@@ -180,26 +216,43 @@ def reliabilities(patterns: list[tuple]) -> tuple[dict, dict, dict]:
     return prior, likely, post
 
 
-def _features(key: tuple) -> list[tuple]:
-    kind, votes, length = key[0], key[1:1 + len(LABELERS)], key[-1]
-    return [("bias",), ("kind", kind), ("len", length), *[(j, v) for j, v in zip(LABELERS, votes) if v]]
-
-
-def train(patterns: list[tuple], post: dict[tuple, float]) -> dict[tuple, float]:
-    """Logistic regression on the soft labels, rows weighted by the square root
-    of their count; gradient descent with a small ridge."""
-    rows = [(_features(tuple(p[:-1])), post[tuple(p[:-1])], math.sqrt(p[-1])) for p in sorted(patterns)]
-    weights = {f: 0.0 for fs, _, _ in rows for f in fs} | {("bias",): 0.0}
-    total = sum(w for _, _, w in rows) or 1.0
-    for _ in range(FIT_ROUNDS):
-        slope = {f: 1e-3 * x for f, x in weights.items()}
-        for fs, q, w in rows:
-            e = (1 / (1 + math.exp(-max(-50.0, min(50.0, sum(weights[f] for f in fs))))) - q) * w / total
-            for f in fs:
-                slope[f] += e
-        for f in weights:
-            weights[f] -= 2.0 * slope[f]
-    return weights
+def examples(scanned: DataFrame, patterns: list[tuple]) -> list[tuple]:
+    """(kind, votes..., len, shape, words around, 1) of the candidates the
+    classifier is trained on: those of least hash, about ``SAMPLE_PER_KIND`` of
+    each kind and at most ``SAMPLE``."""
+    held = {k: sum(p[-1] for p in patterns if p[0] == k) for k in KINDS}
+    share = F.coalesce(*[F.when(F.col("c.kind") == k, F.lit(min(1.0, SAMPLE_PER_KIND / n))) for k, n in held.items() if n], F.lit(0.0))
+    each = scanned.where(F.size("cand") > 0).select("id", F.explode("cand").alias("c"))
+    place = F.xxhash64("id", "c.start", "c.ord")
+    picked = each.withColumn("place", place).where(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
+    names = ["kind", *LABELERS, "len", *EXTRA]
+    rows = picked.orderBy("place", *[f"c.{n}" for n in names]).limit(SAMPLE).select(*[f"c.{n}" for n in names])
+    return [(*r, 1) for r in rows.collect()]
+
+
+def _features(row: tuple) -> list[tuple]:
+    """Of (kind, votes..., len, shape and words where known)."""
+    kind, votes, length, extra = row[0], row[1:1 + len(LABELERS)], row[1 + len(LABELERS)], row[2 + len(LABELERS):]
+    return [("bias",), ("kind", kind), ("len", length), *[(j, v) for j, v in zip(LABELERS, votes) if v], *zip(EXTRA, extra)]
+
+
+def train(rows: list[tuple], post: dict[tuple, float]) -> dict[tuple, float]:
+    """Logistic regression on the soft labels of ``rows`` (vote patterns with
+    their counts, or :func:`examples`), weighted by the square root of the
+    count; gradient descent with a small ridge."""
+    width = 2 + len(LABELERS)
+    data = [(_features(r[:-1]), post[r[:width]], math.sqrt(r[-1])) for r in sorted(rows)]
+    names = sorted({f for fs, _, _ in data for f in fs} | {("bias",)}, key=str)
+    place = {f: i for i, f in enumerate(names)}
+    at = np.array([place[f] for fs, _, _ in data for f in fs], dtype=np.int64)
+    of = np.array([i for i, (fs, _, _) in enumerate(data) for _ in fs], dtype=np.int64)
+    label, weight = np.array([q for _, q, _ in data]), np.array([w for _, _, w in data])
+    weights, total = np.zeros(len(names)), weight.sum() or 1.0
+    for _ in range(FIT_ROUNDS if data else 0):
+        z = np.bincount(of, weights[at], minlength=len(data))
+        e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) * weight / total
+        weights -= 2.0 * (np.bincount(at, e[of], minlength=len(names)) + 1e-3 * weights)
+    return {f: float(weights[i]) for f, i in place.items()}
 
 
 def _probability(s: Column, weights: dict[tuple, float]) -> Column:
@@ -210,6 +263,8 @@ def _probability(s: Column, weights: dict[tuple, float]) -> Column:
         for v in of:
             case = F.when(s[field] == v, F.lit(weights.get((field, v), 0.0))).otherwise(case)
         z = z + case
+    for field in EXTRA:
+        z = z + F.element_at(F.array(*[F.lit(weights.get((field, v), 0.0)) for v in range(BUCKETS)]), s[field] + 1)
     return 1 / (1 + F.exp(-z))
 
 
@@ -220,7 +275,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     scanned = scan(docs, id_col, text_col)
     patterns = vote_patterns(scanned)
     _, _, post = reliabilities(patterns)
-    weights = train(patterns, post)
+    weights = train(examples(scanned, patterns), post)
     base = F.filter("cand", lambda s: s["kind"].isin(*BASE))
     kept = F.filter("cand", lambda s: s["kind"].isin(*BASE) | (_probability(s, weights) >= THRESHOLD))
     doubt = F.filter(base, lambda s: _probability(s, weights) < THRESHOLD)
