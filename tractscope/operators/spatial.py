@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -182,12 +182,14 @@ def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
 
 # Cells of the whole globe for `nearest_rings`: 2^BITS along a circle of longitude at the finest level.
 BITS = 16
+RINGS = 3          # rounds of growing cells before the cells that lie empty are skipped
 
 
 def _globe_cells(lat: str, lon: str, level: int) -> list[F.Column]:
-    """Cell indexes of a point ``level`` doublings above the finest cells; longitudes wrap."""
+    """Cell indexes of a point ``level`` doublings above the finest cells: rows
+    from the south pole (the north pole in the last), columns wrap."""
     size = 360.0 / (1 << (BITS - level))
-    row = F.floor((F.col(lat) + 90.0) / size).cast("int")
+    row = F.least(F.floor((F.col(lat) + 90.0) / size), F.lit((1 << (BITS - level)) // 2 - 1)).cast("int")
     col = F.pmod(F.floor((F.col(lon) + 180.0) / size), F.lit(1 << (BITS - level))).cast("int")
     return [row, col]
 
@@ -200,6 +202,47 @@ def _settled_km(lat0: F.Column, size: float, radius_km: float = EARTH_RADIUS_KM)
     return F.when(edge < 89.9, F.lit(radius_km * math.radians(size) * 0.998) * narrow).otherwise(F.lit(0.0))
 
 
+_CENTER = ["center", "clat", "clon"]
+
+
+def _nearest_in(points: DataFrame, around: DataFrame, n: int, known_rows: int) -> DataFrame:
+    """The ``n`` nearest points of each center among those in its cells
+    (``around``: center and cell), each task keeping ``n`` of a center before the shuffle."""
+    met = join_small(points, around, ["cell_r", "cell_c"], "inner", known_rows=known_rows, max_broadcast_rows=MAX_BROADCAST_ROWS,
+                     salt_buckets=8, salt_on=["key"])
+    dist = X.haversine_km(F.col("clat"), F.col("clon"), "plat", "plon")
+    return top_per_group(met.select(*_CENTER, "key", dist.alias("dist_km")), _CENTER, [F.col("dist_km"), F.col("key")], n, rank_col="rank")
+
+
+def _occupied_near(cells: DataFrame, n_cells: int, centers: DataFrame, n: int) -> DataFrame:
+    """(center, finest cell) of the occupied cells that can hold one of a
+    center's ``n`` nearest points: from the two halves of the globe down, each
+    cell gives way to its occupied quarters, and those go whose nearest point
+    must lie beyond ``n`` points that other cells hold for certain.
+
+    ``cells``: occupied finest cells with their number of points.  A cell's
+    points lie within R * size of its middle, which bounds their distances."""
+    top = BITS - 1
+    now = centers.select(*_CENTER, F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).withColumn("r", F.lit(0))
+    for level in range(top, -1, -1):
+        size = 360.0 / (1 << (BITS - level))
+        here = cells.groupBy(F.shiftright("r", level).alias("r"), F.shiftright("c", level).alias("c")).agg(F.sum("n").alias("n"))
+        if level < top:
+            here = here.withColumnsRenamed({"r": "cr", "c": "cc"}).withColumns({"r": F.shiftright("cr", 1), "c": F.shiftright("cc", 1)})
+            now = join_small(now, here, ["r", "c"], "inner", known_rows=n_cells).drop("r", "c").withColumnsRenamed({"cr": "r", "cc": "c"})
+        else:
+            now = join_small(now, here, ["r", "c"], "inner", known_rows=2)
+        middle = X.haversine_km(F.col("clat"), F.col("clon"), F.lit(-90.0) + (F.col("r") + 0.5) * F.lit(size), F.lit(-180.0) + (F.col("c") + 0.5) * F.lit(size))
+        reach = EARTH_RADIUS_KM * math.radians(size) + 1e-6
+        by_far = Window.partitionBy(*_CENTER).orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
+        held = now.withColumn("mid", middle).withColumn("held", F.sum("n").over(by_far))
+        enough = F.min(F.when(F.col("held") >= n, F.col("mid") + reach)).over(Window.partitionBy(*_CENTER))
+        now = held.withColumn("enough", enough).where(F.col("enough").isNull() | (F.col("mid") - reach <= F.col("enough"))).select(*_CENTER, "r", "c")
+        if level % 4 == 0:
+            now = reliable_checkpoint(now)
+    return now.withColumnsRenamed({"r": "cell_r", "c": "cell_c"})
+
+
 def nearest_rings(points: DataFrame, centers: DataFrame, n: int, start_level: int = 0, key: str = "DR_NO", center_key: str = "center_id",
                   lat: str = "LAT_d", lon: str = "LON_d", center_lat: str = "center_lat", center_lon: str = "center_lon") -> DataFrame:
     """The ``n`` nearest points of every center, at any distance: (center,
@@ -208,50 +251,49 @@ def nearest_rings(points: DataFrame, centers: DataFrame, n: int, start_level: in
     Centers look into the 3 x 3 cells around them by an equality join on the
     cell.  One whose n-th distance is below the cells' inner edge is done, the
     others look again in cells twice as wide, which holds all that was seen
-    before; the widest cells hold the globe.  A round thus joins only centers
-    that sparse surroundings left open, at nine cells each.  A center far from
-    all points meets those of the first cells wide enough to reach them.
+    before.  Centers that ``RINGS`` rounds left open lie in sparse country:
+    for them the occupied cells are searched from the globe's halves down by
+    equality joins on the parent cell (:func:`_occupied_near`), so that they
+    meet only points of cells that can hold a nearest one, however far.
 
     Defined cases: points and centers without finite coordinates, and centers
     without a key, take no part; centers that share a key and place count
-    once; fewer than ``n`` points give all of them.  No center meets
-    points outside its cells, and each task keeps ``n`` points of a center
-    before the shuffle.  Rounds: at most ``BITS`` - ``start_level``."""
+    once; fewer than ``n`` points give all of them.
+
+    Scale: points are never moved while the open centers' cells are few (they
+    are counted), else joined on the cell with hot cells salted; the occupied
+    cells are bounded by geography and are written once."""
     finite = lambda a, b: (F.abs(F.col(a)) <= 90.0) & (F.abs(F.col(b)) <= 360.0)
-    pts = points.where(finite(lat, lon) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
-    open_ = reliable_checkpoint(centers.where(finite(center_lat, center_lon) & F.col(center_key).isNotNull()).select(
+    pts = points.where(finite(lat, lon) & F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
+    left = reliable_checkpoint(centers.where(finite(center_lat, center_lon) & F.col(center_key).isNotNull()).select(
         F.col(center_key).alias("center"), F.col(center_lat).cast("double").alias("clat"), F.col(center_lon).cast("double").alias("clon")).distinct())
-    done: list[DataFrame] = []
-    for level in range(start_level, BITS):
-        left = open_.count()
-        if not left:
+    out = None
+
+    def add(found: DataFrame) -> None:
+        nonlocal out
+        out = found if out is None else out.unionByName(found)
+
+    for level in range(start_level, min(start_level + RINGS, BITS - 1)):
+        n_left = left.count()
+        if not n_left:
             break
-        size, last = 360.0 / (1 << (BITS - level)), level == BITS - 1
-        row, col = _globe_cells("clat", "clon", level)
+        size, row, col = 360.0 / (1 << (BITS - level)), *_globe_cells("clat", "clon", level)
         steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        around = open_.withColumns({"r": row, "c": col}).withColumn("s", F.explode(steps)).select(
-            "center", "clat", "clon", (F.col("r") + F.col("s.a")).alias("cell_r"),
-            F.pmod(F.col("c") + F.col("s.b"), F.lit(1 << (BITS - level))).alias("cell_c")).distinct()
+        around = left.withColumns({"r": row, "c": col}).withColumn("s", F.explode(steps)).select(
+            *_CENTER, (F.col("r") + F.col("s.a")).alias("cell_r"), F.pmod(F.col("c") + F.col("s.b"), F.lit(1 << (BITS - level))).alias("cell_c")).distinct()
         prow, pcol = _globe_cells("plat", "plon", level)
-        met = join_small(pts.withColumns({"cell_r": prow, "cell_c": pcol}), around, ["cell_r", "cell_c"], "inner", known_rows=9 * left,
-                         max_broadcast_rows=MAX_BROADCAST_ROWS, salt_buckets=8, salt_on=["key"])
-        dist = X.haversine_km(F.col("clat"), F.col("clon"), "plat", "plon")
-        near = top_per_group(met.select("center", "clat", "clon", "key", dist.alias("dist_km")), ["center", "clat", "clon"],
-                             [F.col("dist_km"), F.col("key")], n, rank_col="rank")
-        near = reliable_checkpoint(near)
-        if last:
-            done.append(near)
-            break
-        full = near.groupBy("center", "clat", "clon").agg(F.count(F.lit(1)).alias("found"), F.max("dist_km").alias("far"))
-        settled = full.where((F.col("found") >= n) & (F.col("far") < _settled_km(F.col("clat"), size))).select("center", "clat", "clon")
-        same = ["center", "clat", "clon"]
-        done.append(near.join(settled, same, "left_semi"))
-        open_ = reliable_checkpoint(open_.join(settled, same, "left_anti"))
-    out = None
-    for d in done:
-        out = d if out is None else out.unionByName(d)
-    if out is None:
-        out = open_.select("center", F.lit(0).alias("rank"), F.lit(None).cast(points.schema[key].dataType).alias("key"), F.lit(0.0).alias("dist_km")).limit(0)
+        near = reliable_checkpoint(_nearest_in(pts.withColumns({"cell_r": prow, "cell_c": pcol}), around, n, 9 * n_left))
+        full = near.groupBy(*_CENTER).agg(F.count(F.lit(1)).alias("found"), F.max("dist_km").alias("far"))
+        settled = full.where((F.col("found") >= n) & (F.col("far") < _settled_km(F.col("clat"), size))).select(*_CENTER)
+        add(near.join(settled, _CENTER, "left_semi"))
+        left = reliable_checkpoint(left.join(settled, _CENTER, "left_anti"))
+    if out is None or left.count():
+        prow, pcol = _globe_cells("plat", "plon", 0)
+        placed = pts.withColumns({"cell_r": prow, "cell_c": pcol})
+        cells = reliable_checkpoint(placed.groupBy(F.col("cell_r").alias("r"), F.col("cell_c").alias("c")).agg(F.count(F.lit(1)).alias("n")))
+        around = _occupied_near(cells, cells.count(), left, n)
+        add(_nearest_in(placed, around, n, around.count()))
     return out.select(F.col("center").alias(center_key), "rank", F.col("key").alias(key), "dist_km")
 
 
