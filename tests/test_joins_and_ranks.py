@@ -117,3 +117,37 @@ def test_nearest_rings_has_no_cross_join(spark):
     p = spark.createDataFrame([(7, 0.0, 1.0)], "DR_NO long, LAT_d double, LON_d double")
     out = G.nearest_rings(p, spark.createDataFrame([(1, 0.0, 0.9999)], "center_id int, center_lat double, center_lon double"), 1)
     assert out.count() == 1 and "CartesianProduct" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_crowded_places_are_not_met_whole(spark, monkeypatch, shuffled):
+    """Centers in and around a crowd meet a few of its points, one at a place of very many too, and find the nearest."""
+    rng = random.Random(8)
+    points = [(i, 34 + rng.gauss(0, 0.0008), -118.2 + rng.gauss(0, 0.0008)) for i in range(4000)]
+    points += [(9000 - i, 34.0005, -118.2005) for i in range(3000)]           # one place, lowest keys last
+    points += [(10_000 + i, rng.uniform(33.9, 34.1), rng.uniform(-118.3, -118.1)) for i in range(200)]
+    centers = [(i, 34 + rng.gauss(0, 0.001), -118.2 + rng.gauss(0, 0.001)) for i in range(40)]
+    centers += [(100, 34.0005, -118.2005), (101, 34.0005, -118.2005), (102, 34.0, -118.19), (103, 36.0, -118.2), (104, -34.0, 61.8), (105, -0.0, 0.0), (106, 0.0, -0.0)]
+    p = spark.createDataFrame(points, "DR_NO long, LAT_d double, LON_d double").repartition(3)
+    c = spark.createDataFrame(centers, "center_id int, center_lat double, center_lon double")
+    if shuffled:
+        monkeypatch.setattr(G, "MAX_BROADCAST_ROWS", 10)
+        monkeypatch.setattr(G, "TASK_CENTERS", 3)
+    pairs, meet = [], G._nearest_in
+
+    def counted(points, around, *more):
+        pairs.append(points.join(around, sorted(set(points.columns) & set(around.columns))).count())
+        return meet(points, around, *more)
+
+    monkeypatch.setattr(G, "_nearest_in", counted)
+    got = {}
+    for r in G.nearest_rings(p, c, 4).collect():
+        got.setdefault(r.center_id, {})[r["rank"]] = (round(r.dist_km, 6), r.DR_NO)
+    for name, a, b in centers:
+        want = sorted((round(km((a, b), (y, x)), 6), i) for i, y, x in points)[:4]
+        mine = [got[name][k] for k in (1, 2, 3, 4)]
+        assert [d for d, _ in mine] == [d for d, _ in want], name
+        if name != 104:           # near the antipode doubles tell distances apart less finely
+            assert mine == want, name
+    assert [i for _, i in sorted(got[100].values(), key=lambda v: v[1])] == [6001, 6002, 6003, 6004]
+    assert sum(pairs) < 1000 * len(centers)       # of 7,200 points each

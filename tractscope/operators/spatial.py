@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..schemas import EARTH_RADIUS_KM
 from ..session import reliable_checkpoint
-from .joins import MAX_BROADCAST_ROWS, join_small
+from .joins import MAX_BROADCAST_ROWS, join_hot, join_small
 from .rank import first_k_by, rank_all, top_per_group
 
 
@@ -180,9 +180,13 @@ def nearest(df: DataFrame, lat0: float, lon0: float, r_km: float, n: int,
     return first_k_by(within_radius(df, lat0, lon0, r_km), "dist_km", n, [key])
 
 
-# Cells of the whole globe for `nearest_rings`: 2^BITS along a circle of longitude at the finest level.
+# Cells of the whole globe for `nearest_rings`: 2^BITS along a circle of longitude at the finest level that every point gets.
 BITS = 16
 RINGS = 3          # rounds of growing cells before the cells that lie empty are skipped
+FINEST = -14       # level of the smallest cells (4 cm) that crowded cells are cut into
+LEAF_ROWS = 64     # points that the pieces of a crowded cell shall hold at most; up to 4 times as many stay together
+BLOCK_ROWS = 1024  # a center meets the 3 x 3 cells around it as a whole if they hold no more points
+TASK_CENTERS = 20_000  # cells of centers that meet the points of one cell in one task
 
 
 def _globe_cells(lat: str, lon: str, level: int) -> list[F.Column]:
@@ -202,45 +206,98 @@ def _settled_km(lat0: F.Column, size: float, radius_km: float = EARTH_RADIUS_KM)
     return F.when(edge < 89.9, F.lit(radius_km * math.radians(size) * 0.998) * narrow).otherwise(F.lit(0.0))
 
 
-_CENTER = ["center", "clat", "clon"]
+_CENTER = ["clat", "clon"]
+_CELL = ["level", "r", "c"]
+
+
+def _at_level(df: DataFrame, lat: str, lon: str, level: int) -> DataFrame:
+    row, col = _globe_cells(lat, lon, level)
+    return df.withColumns({"level": F.lit(level), "r": row, "c": col})
 
 
 def _nearest_in(points: DataFrame, around: DataFrame, n: int, known_rows: int) -> DataFrame:
     """The ``n`` nearest points of each center among those in its cells
-    (``around``: center and cell), each task keeping ``n`` of a center before the shuffle."""
-    met = join_small(points, around, ["cell_r", "cell_c"], "inner", known_rows=known_rows, max_broadcast_rows=MAX_BROADCAST_ROWS,
-                     salt_buckets=8, salt_on=["key"])
+    (``around``: center, cell and ``within``, the distance in km beyond which
+    points do not matter), each task keeping ``n`` of a center before the shuffle.  Cells hold a bounded number of points, so where ``around`` is too
+    long to broadcast a cell's centers, if many, are dealt over tasks."""
+    if known_rows <= MAX_BROADCAST_ROWS:
+        met = join_small(points, around, _CELL, "inner", known_rows=known_rows)
+    else:
+        met = join_hot(around, points, _CELL, "inner", task_rows=TASK_CENTERS, salt_on=_CENTER)
     dist = X.haversine_km(F.col("clat"), F.col("clon"), "plat", "plon")
-    return top_per_group(met.select(*_CENTER, "key", dist.alias("dist_km")), _CENTER, [F.col("dist_km"), F.col("key")], n, rank_col="rank")
-
-
-def _occupied_near(cells: DataFrame, n_cells: int, centers: DataFrame, n: int) -> DataFrame:
-    """(center, finest cell) of the occupied cells that can hold one of a
-    center's ``n`` nearest points: from the two halves of the globe down, each
-    cell gives way to its occupied quarters, and those go whose nearest point
-    must lie beyond ``n`` points that other cells hold for certain.
-
-    ``cells``: occupied finest cells with their number of points.  A cell's
-    points lie within R * size of its middle, which bounds their distances."""
-    top = BITS - 1
-    now = centers.select(*_CENTER, F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).withColumn("r", F.lit(0))
-    for level in range(top, -1, -1):
-        size = 360.0 / (1 << (BITS - level))
-        here = cells.groupBy(F.shiftright("r", level).alias("r"), F.shiftright("c", level).alias("c")).agg(F.sum("n").alias("n"))
-        if level < top:
-            here = here.withColumnsRenamed({"r": "cr", "c": "cc"}).withColumns({"r": F.shiftright("cr", 1), "c": F.shiftright("cc", 1)})
-            now = join_small(now, here, ["r", "c"], "inner", known_rows=n_cells).drop("r", "c").withColumnsRenamed({"cr": "r", "cc": "c"})
-        else:
-            now = join_small(now, here, ["r", "c"], "inner", known_rows=2)
-        middle = X.haversine_km(F.col("clat"), F.col("clon"), F.lit(-90.0) + (F.col("r") + 0.5) * F.lit(size), F.lit(-180.0) + (F.col("c") + 0.5) * F.lit(size))
-        reach = EARTH_RADIUS_KM * math.radians(size) + 1e-6
-        by_far = Window.partitionBy(*_CENTER).orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
-        held = now.withColumn("mid", middle).withColumn("held", F.sum("n").over(by_far))
-        enough = F.min(F.when(F.col("held") >= n, F.col("mid") + reach)).over(Window.partitionBy(*_CENTER))
-        now = held.withColumn("enough", enough).where(F.col("enough").isNull() | (F.col("mid") - reach <= F.col("enough"))).select(*_CENTER, "r", "c")
+    near = met.select(*_CENTER, "key", "within", dist.alias("dist_km")).where(F.col("dist_km") <= F.col("within")).drop("within")
+    return top_per_group(near, _CENTER, [F.col("dist_km"), F.col("key")], n, rank_col="rank")
+
+
+def _can_hold(now: DataFrame, n: int) -> DataFrame:
+    """Of the cells of each center (``now``: center, cell, points in it) those
+    that can hold one of its ``n`` nearest points, with the distance ``within``
+    which other cells hold ``n`` points for certain: those go whose nearest
+    point must lie beyond it.
+
+    By the haversine formula a cell's points lie within half its diagonal, taken
+    flat, of its middle, which bounds their distances."""
+    size = F.pow(F.lit(2.0), F.col("level") - F.lit(BITS)) * F.lit(360.0)
+    mid = X.haversine_km(F.col("clat"), F.col("clon"), F.lit(-90.0) + (F.col("r") + 0.5) * size, F.lit(-180.0) + (F.col("c") + 0.5) * size)
+    spread = F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.radians(size) / F.lit(2.0 * math.sqrt(2.0))))
+    slack = F.when(F.col("mid") > 20_000.0, F.lit(1e-3)).otherwise(F.lit(1e-6))   # doubles resolve distances to the antipode less finely
+    by_far = Window.partitionBy(*_CENTER).orderBy("far").rowsBetween(Window.unboundedPreceding, 0)
+    held = (now.withColumn("mid", mid).withColumn("reach", spread + slack).withColumn("far", F.col("mid") + F.col("reach"))
+            .withColumn("held", F.sum("n").over(by_far)))
+    enough = F.min(F.when(F.col("held") >= n, F.col("far"))).over(Window.partitionBy(*_CENTER))
+    within = F.coalesce(enough, F.lit(float("inf")))
+    return held.withColumn("within", within).where(F.col("mid") - F.col("reach") <= F.col("within")).select(*_CENTER, *_CELL, "n", "within")
+
+
+def _cells_at(cells: DataFrame, level: int) -> DataFrame:
+    """(r, c, n) at ``level`` of the counted cells of this and finer levels."""
+    up = lambda c: F.expr(f"shiftright({c}, {level} - level)").alias(c)
+    return cells.where(F.col("level") <= level).select(up("r"), up("c"), "n").groupBy("r", "c").agg(F.sum("n").alias("n"))
+
+
+def _quartered(now: DataFrame, cells: DataFrame, n_cells: int, level: int, n: int) -> DataFrame:
+    """``now`` with its cells of the level above giving way to their quarters
+    occupied by ``cells``, of all of which those stay that :func:`_can_hold`."""
+    quarters = _cells_at(cells, level).select(F.lit(level + 1).alias("level"), F.shiftright("r", 1).alias("r"), F.shiftright("c", 1).alias("c"),
+                           F.struct(F.lit(level).alias("level"), "r", "c", "n").alias("quarter"))
+    cut = join_small(now, quarters, _CELL, "left", known_rows=min(n_cells, 1 << (2 * (BITS - level) - 1)))
+    return _can_hold(cut.select(*_CENTER, F.coalesce("quarter", F.struct(*_CELL, "n")).alias("cell")).select(*_CENTER, "cell.*"), n)
+
+
+def _occupied_near(points: DataFrame, cells: DataFrame, n_cells: int, centers: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(center, cell) of the occupied cells that can hold one of a center's
+    ``n`` nearest points, and the points with their cell.
+
+    From the globe down to level 0 each cell gives way to its occupied quarters
+    that :func:`_can_hold`.  Those cells that are still crowded are counted
+    again in cells as fine as their number of points asks for, and searched the
+    same way, until every cell holds few points: so a center meets a bounded
+    number of them however many there are in all.
+
+    ``cells``: occupied cells of level 0 or finer with their number of points."""
+    now = centers.withColumns({"level": F.lit(BITS), "r": F.lit(0), "c": F.lit(0), "n": F.lit(0).cast("long")})
+    for level in range(BITS - 1, -1, -1):
+        now = _quartered(now, cells, n_cells, level, n)
         if level % 4 == 0:
             now = reliable_checkpoint(now)
-    return now.withColumnsRenamed({"r": "cell_r", "c": "cell_c"})
+    row, col = _globe_cells("plat", "plon", FINEST)
+    placed = _at_level(points, "plat", "plon", 0).withColumns({"fine_r": row, "fine_c": col})
+    leaf = max(LEAF_ROWS, n)
+    while True:
+        halvings = F.least(F.ceil(F.log(F.col("n") / F.lit(leaf)) / F.lit(math.log(4.0))), F.col("level") - F.lit(FINEST)).cast("int")
+        crowded = reliable_checkpoint(now.where((F.col("n") > 4 * leaf) & (F.col("level") > FINEST)).select(*_CELL, (F.col("level") - halvings).alias("deeper")).distinct())
+        n_crowded, first, last = crowded.agg(F.count(F.lit(1)), F.max("level"), F.min("deeper")).first()
+        if not n_crowded:
+            return now, placed
+        placed = join_small(placed, crowded, _CELL, "left", known_rows=n_crowded).withColumns({
+            "cut": F.col("deeper").isNotNull(), "level": F.coalesce("deeper", "level")}).drop("deeper").withColumns(
+                {c: F.expr(f"shiftright(fine_{c}, level - ({FINEST}))") for c in ("r", "c")})
+        pieces = reliable_checkpoint(placed.where("cut").groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")))
+        placed, n_pieces = placed.drop("cut"), pieces.count()
+        for level in range(first - 1, last - 1, -1):
+            now = _quartered(now, pieces, n_pieces, level, n)
+            if level % 4 == 0 or level == last:
+                now = reliable_checkpoint(now)
 
 
 def nearest_rings(points: DataFrame, centers: DataFrame, n: int, start_level: int = 0, key: str = "DR_NO", center_key: str = "center_id",
@@ -251,50 +308,63 @@ def nearest_rings(points: DataFrame, centers: DataFrame, n: int, start_level: in
     Centers look into the 3 x 3 cells around them by an equality join on the
     cell.  One whose n-th distance is below the cells' inner edge is done, the
     others look again in cells twice as wide, which holds all that was seen
-    before.  Centers that ``RINGS`` rounds left open lie in sparse country:
-    for them the occupied cells are searched from the globe's halves down by
-    equality joins on the parent cell (:func:`_occupied_near`), so that they
-    meet only points of cells that can hold a nearest one, however far.
+    before.  A round's points are counted first: a center meets them if they
+    are ``n`` to ``BLOCK_ROWS``.  Centers that ``RINGS`` rounds left open lie in
+    sparse or in crowded country: for them the occupied cells are searched from
+    the globe's halves down by equality joins on the parent cell, as deep as
+    the points lie dense (:func:`_occupied_near`), so that they meet only
+    points of cells that can hold a nearest one, however far.
 
     Defined cases: points and centers without finite coordinates, and centers
     without a key, take no part; centers that share a key and place count
     once; fewer than ``n`` points give all of them.
 
-    Scale: points are never moved while the open centers' cells are few (they
-    are counted), else joined on the cell with hot cells salted; the occupied
-    cells are bounded by geography and are written once."""
+    Scale: of points at one place only the ``n`` lowest keys can be results,
+    the others are dropped in one shuffle; a place of many centers is searched
+    once.  A center meets a bounded number of points however dense they lie, so
+    the work grows as points + centers.  Points are not moved while the open
+    centers' cells are few (they are counted), else joined on the cell; the
+    counted cells are bounded by geography and by points / ``LEAF_ROWS``."""
     finite = lambda a, b: (F.abs(F.col(a)) <= 90.0) & (F.abs(F.col(b)) <= 360.0)
     pts = points.where(finite(lat, lon) & F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.col(lat).cast("double").alias("plat"), F.col(lon).cast("double").alias("plon"))
-    left = reliable_checkpoint(centers.where(finite(center_lat, center_lon) & F.col(center_key).isNotNull()).select(
+    pts = reliable_checkpoint(top_per_group(pts, ["plat", "plon"], [F.col("key")], n))
+    asked = reliable_checkpoint(centers.where(finite(center_lat, center_lon) & F.col(center_key).isNotNull()).select(
         F.col(center_key).alias("center"), F.col(center_lat).cast("double").alias("clat"), F.col(center_lon).cast("double").alias("clon")).distinct())
-    out = None
+    left = reliable_checkpoint(asked.select(*_CENTER).distinct())
+    n_places = n_left = left.count()
+    cells = reliable_checkpoint(_at_level(pts, "plat", "plon", min(start_level, 0)).groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")))
+    n_cells, out = cells.count(), None
 
     def add(found: DataFrame) -> None:
         nonlocal out
         out = found if out is None else out.unionByName(found)
 
     for level in range(start_level, min(start_level + RINGS, BITS - 1)):
-        n_left = left.count()
         if not n_left:
             break
-        size, row, col = 360.0 / (1 << (BITS - level)), *_globe_cells("clat", "clon", level)
+        size, placed = 360.0 / (1 << (BITS - level)), _at_level(pts, "plat", "plon", level)
         steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        around = left.withColumns({"r": row, "c": col}).withColumn("s", F.explode(steps)).select(
-            *_CENTER, (F.col("r") + F.col("s.a")).alias("cell_r"), F.pmod(F.col("c") + F.col("s.b"), F.lit(1 << (BITS - level))).alias("cell_c")).distinct()
-        prow, pcol = _globe_cells("plat", "plon", level)
-        near = reliable_checkpoint(_nearest_in(pts.withColumns({"cell_r": prow, "cell_c": pcol}), around, n, 9 * n_left))
-        full = near.groupBy(*_CENTER).agg(F.count(F.lit(1)).alias("found"), F.max("dist_km").alias("far"))
-        settled = full.where((F.col("found") >= n) & (F.col("far") < _settled_km(F.col("clat"), size))).select(*_CENTER)
+        around = _at_level(left, "clat", "clon", level).withColumn("s", F.explode(steps)).select(
+            *_CENTER, "level", (F.col("r") + F.col("s.a")).alias("r"), F.pmod(F.col("c") + F.col("s.b"), F.lit(1 << (BITS - level))).alias("c")).distinct()
+        counted = join_small(around, _cells_at(cells, level), ["r", "c"], "inner", known_rows=n_cells)
+        held = F.sum("n").over(Window.partitionBy(*_CENTER))
+        met = reliable_checkpoint(counted.withColumn("held", held).where(F.col("held").between(n, max(BLOCK_ROWS, 4 * n)))
+                                  .select(*_CENTER, *_CELL, _settled_km(F.col("clat"), size).alias("within")))
+        n_met = met.count()
+        if not n_met:
+            continue
+        near = reliable_checkpoint(_nearest_in(placed, met, n, n_met))
+        settled = near.groupBy(*_CENTER).agg(F.count(F.lit(1)).alias("found"), F.max("dist_km").alias("far"))
+        settled = settled.where((F.col("found") >= n) & (F.col("far") < _settled_km(F.col("clat"), size))).select(*_CENTER)
         add(near.join(settled, _CENTER, "left_semi"))
         left = reliable_checkpoint(left.join(settled, _CENTER, "left_anti"))
-    if out is None or left.count():
-        prow, pcol = _globe_cells("plat", "plon", 0)
-        placed = pts.withColumns({"cell_r": prow, "cell_c": pcol})
-        cells = reliable_checkpoint(placed.groupBy(F.col("cell_r").alias("r"), F.col("cell_c").alias("c")).agg(F.count(F.lit(1)).alias("n")))
-        around = _occupied_near(cells, cells.count(), left, n)
-        add(_nearest_in(placed, around, n, around.count()))
-    return out.select(F.col("center").alias(center_key), "rank", F.col("key").alias(key), "dist_km")
+        n_left = left.count()
+    if out is None or n_left:
+        around, placed = _occupied_near(pts, cells, n_cells, left, n)
+        add(_nearest_in(placed, around.drop("n"), n, around.count()))
+    return (join_small(asked, out, _CENTER, "inner", known_rows=n_places * n)
+            .select(F.col("center").alias(center_key), "rank", F.col("key").alias(key), "dist_km"))
 
 
 def hexbin(df: DataFrame, gridsize: int = 80,
